@@ -1,6 +1,10 @@
 """All queries and their check SQL."""
 
-from supportlens.plans import text_queries  # noqa: F401
+from supportlens.plans import (  # noqa: F401
+    profile_queries,
+    support_queries,
+    text_queries,
+)
 from supportlens.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
