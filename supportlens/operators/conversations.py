@@ -211,6 +211,17 @@ def common_issues(feedback: DataFrame, turns: DataFrame, n: int = 10, unhappy_to
     )
 
 
+def retrieved_context(matches: DataFrame, documents: DataFrame, id_column: str, text: str) -> DataFrame:
+    """Texts of the few retrieved documents per query, nearest first."""
+    texts = documents.select(F.col(id_column).alias("match_id"), F.col(text).alias("_text"))
+    found = F.array_sort(F.collect_list(F.struct("rank", "_text")))
+    return (
+        matches.join(texts, "match_id")
+        .groupBy("query_id")
+        .agg(F.transform(found, lambda item: item["_text"]).alias("context"))
+    )
+
+
 def prompts(messages: DataFrame) -> DataFrame:
     """Add ``prompt``, the full text handed to a language model.
 

@@ -157,8 +157,9 @@ def _final_rank(partial: DataFrame, k: int) -> DataFrame:
 
 
 def _as_side(df: DataFrame, id_column: str, vector: str, keys: list[str]) -> DataFrame:
+    # Aliased, since both sides are often the same table.
     return df.where(F.col(vector).isNotNull()).select(
-        *keys, F.col(id_column).cast("bigint").alias("id"), F.col(vector).alias("vector")
+        *[F.col(key).alias(key) for key in keys], F.col(id_column).cast("bigint").alias("id"), F.col(vector).alias("vector")
     )
 
 
@@ -258,6 +259,24 @@ def vector_topk_within(
     return _final_rank(partial.distinct() if keys else partial, k)
 
 
+def retrieve(
+    queries: DataFrame,
+    corpus: DataFrame,
+    id_column: str,
+    vector: str,
+    category: str,
+    k: int = C.RETRIEVED_DOCUMENTS,
+    skip_self: bool = False,
+) -> DataFrame:
+    """Nearest documents of the query's own category; general queries search everything."""
+    general = F.coalesce(F.col(category) == C.DEFAULT_CATEGORY, F.lit(True))
+    within = vector_topk_within(
+        queries.where(~general), corpus, id_column, vector, [category], k, skip_self
+    )
+    anywhere = vector_topk(queries.where(general), corpus, id_column, vector, k, skip_self)
+    return within.unionByName(anywhere)
+
+
 def retrieved_labels(matches: DataFrame, corpus: DataFrame, id_column: str, label: str) -> DataFrame:
     """Label of the nearest match of every query."""
     nearest = matches.where(F.col("rank") == 1).select("query_id", "match_id")

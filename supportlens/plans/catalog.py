@@ -2,6 +2,8 @@
 
 from supportlens.plans import (  # noqa: F401
     profile_queries,
+    retrieval_queries,
+    stream_queries,
     support_queries,
     text_queries,
 )
