@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from supportlens import constants as C
+from supportlens.functions import text as X
 
 
 def _text(value: str) -> str:
@@ -17,18 +18,16 @@ def _list(values: list[str]) -> str:
 
 def function_bodies() -> dict[str, tuple[str, str]]:
     """Name -> (return type, SQL body over the argument ``t``)."""
-    letters = _text(f"[{C.VIETNAMESE_LETTERS}]")
-    plain = (
-        f"regexp_replace(lower(coalesce(t, '')), {_text(f'[{C.ASCII_PUNCTUATION}{C.DIGITS}]+')}, '')"
-    )
-    words = f"regexp_extract_all({plain}, {_text(f'[^{C.WHITESPACE}]+')}, 0)"
+    letters = _text(X.VIETNAMESE)
+    plain = f"regexp_replace(lower(coalesce(t, '')), {_text(f'{X.PUNCTUATION_OR_DIGIT}+')}, '')"
+    words = f"split({plain}, {_text(f'{X.SPACE}+')})"
     category = " ".join(
         "WHEN " + " OR ".join(f"contains(lower(t), {_text(word)})" for word in keywords)
         + f" THEN {_text(label)}"
         for label, keywords in C.KEYWORD_RULES
     )
     products = ", ".join(
-        f"CASE WHEN contains(lower(t), {_text(word)}) THEN {_text('PRODUCT_TYPE:' + word)} END"
+        f"CASE WHEN contains(lower(t), {_text(word)}) THEN {_text('PRODUCT_TYPE:' + word)} ELSE '' END"
         for word in C.PRODUCT_TYPES
     )
     order_ids = f"regexp_extract_all(lower(coalesce(t, '')), {_text(C.ORDER_ID_PATTERN)}, 1)"
@@ -36,8 +35,8 @@ def function_bodies() -> dict[str, tuple[str, str]]:
         "clean_text": (
             "STRING",
             f"CASE WHEN lower(coalesce(t, '')) RLIKE {letters}"
-            f" THEN array_join(filter({words}, w -> w NOT IN ({_list(C.VIETNAMESE_STOPWORDS)})), ' ')"
-            f" ELSE array_join(filter({words}, w -> w NOT IN ({_list(C.ENGLISH_STOPWORDS)})), ' ') END",
+            f" THEN array_join(filter({words}, w -> w NOT IN ('', {_list(C.VIETNAMESE_STOPWORDS)})), ' ')"
+            f" ELSE array_join(filter({words}, w -> w NOT IN ('', {_list(C.ENGLISH_STOPWORDS)})), ' ') END",
         ),
         "detect_language": (
             "STRING",
@@ -45,7 +44,7 @@ def function_bodies() -> dict[str, tuple[str, str]]:
         ),
         "extract_entities": (
             "ARRAY<STRING>",
-            f"concat(transform({order_ids}, n -> concat('ORDER_ID:', n)), array_compact(array({products})))",
+            f"concat(transform({order_ids}, n -> concat('ORDER_ID:', n)), array_remove(array({products}), ''))",
         ),
         "keyword_category": ("STRING", f"CASE {category} ELSE {_text(C.DEFAULT_CATEGORY)} END"),
     }

@@ -8,6 +8,18 @@ from supportlens import constants as C
 
 ColumnOrName = Column | str
 
+# Regex classes in Java form. Characters below 256 are listed one by one, which Java
+# looks up in a table; the rare ones are tried only for characters above.
+SPACE = (
+    r"[\t\n\x0B\f\r\x1C\x1D\x1E\x1F \x85\xA0"
+    r"[[^\x00-\xFF]&&[\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]]]"
+)
+SPACE_CHARACTERS = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(
+    map(chr, [*range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
+PUNCTUATION_OR_DIGIT = r"[\p{Punct}\p{Nd}]"
+VIETNAMESE = rf"[[^\x00-\x7F]&&[{C.VIETNAMESE_LETTERS}]]"
+
 
 def _column(value: ColumnOrName) -> Column:
     return F.col(value) if isinstance(value, str) else value
@@ -15,25 +27,27 @@ def _column(value: ColumnOrName) -> Column:
 
 def words(text: ColumnOrName) -> Column:
     """Whitespace-separated words."""
-    return F.regexp_extract_all(_column(text), F.lit(f"[^{C.WHITESPACE}]+"), F.lit(0))
+    return F.array_remove(F.split(_column(text), f"{SPACE}+"), "")
 
 
 def strip(text: ColumnOrName) -> Column:
-    """Remove whitespace of any kind at both ends (``trim`` knows only blanks)."""
-    return F.regexp_replace(_column(text), f"^[{C.WHITESPACE}]+|[{C.WHITESPACE}]+$", "")
+    """Remove whitespace of any kind at both ends (a plain ``trim`` knows only blanks)."""
+    return F.btrim(_column(text), F.lit(SPACE_CHARACTERS))
 
 
 def has_vietnamese_letter(text: ColumnOrName) -> Column:
-    return F.lower(_column(text)).rlike(f"[{C.VIETNAMESE_LETTERS}]")
+    return F.lower(_column(text)).rlike(VIETNAMESE)
 
 
 def clean_text(text: ColumnOrName) -> Column:
     """Lower-cased words without ASCII punctuation, digits and stopwords; null gives ''."""
     raw = F.coalesce(_column(text), F.lit(""))
-    plain = F.regexp_replace(F.lower(raw), f"[{C.ASCII_PUNCTUATION}{C.DIGITS}]+", "")
+    plain = F.regexp_replace(F.lower(raw), f"{PUNCTUATION_OR_DIGIT}+", "")
 
     def without(stopwords: list[str]) -> Column:
-        return F.array_join(F.filter(words(plain), lambda word: ~word.isin(stopwords)), " ")
+        dropped = ["", *stopwords]
+        kept = F.filter(F.split(plain, f"{SPACE}+"), lambda word: ~word.isin(dropped))
+        return F.array_join(kept, " ")
 
     return F.when(has_vietnamese_letter(raw), without(C.VIETNAMESE_STOPWORDS)).otherwise(
         without(C.ENGLISH_STOPWORDS)
@@ -66,11 +80,11 @@ def extract_order_ids(text: ColumnOrName) -> Column:
 
 def extract_product_types(text: ColumnOrName) -> Column:
     lowered = F.lower(F.coalesce(_column(text), F.lit("")))
-    return F.array_compact(
-        F.array(
-            *[F.when(lowered.contains(word), f"PRODUCT_TYPE:{word}") for word in C.PRODUCT_TYPES]
-        )
-    )
+    found = [
+        F.when(lowered.contains(word), f"PRODUCT_TYPE:{word}").otherwise("")
+        for word in C.PRODUCT_TYPES
+    ]
+    return F.array_remove(F.array(*found), "")
 
 
 def extract_entities(text: ColumnOrName) -> Column:

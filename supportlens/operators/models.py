@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from supportlens import constants as C
 from supportlens.operators.filters import split_train_test
 from supportlens.operators.profile import standardize
+from supportlens.session import materialize
 
 
 def label_index(df: DataFrame, column: str) -> DataFrame:
@@ -60,22 +61,30 @@ def feature_importance(model: PipelineModel, features: list[str], like: DataFram
 def train_intent_classifier(
     df: DataFrame, id_column: str, text: str, target: str, hashes: int = 1 << 12, iterations: int = 20
 ) -> tuple[PipelineModel, DataFrame]:
-    """Text to intent: hashed TF-IDF and a logistic regression, scored on the held-out rows."""
+    """Text to intent: hashed TF-IDF and a logistic regression, scored on the held-out rows.
+
+    Texts are hashed once and stored as sparse counts; training reads only those. The
+    returned model starts from the texts again.
+    """
+    tokens = RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=r"[^\p{L}\p{N}_]+")
+    hashing = HashingTF(inputCol="_tokens", outputCol="_counts", numFeatures=hashes)
     split = split_train_test(df, id_column)
+    counts = materialize(
+        hashing.transform(tokens.transform(split)).select(id_column, target, "split", "_counts"),
+        "intent-counts",
+    )
     indexer = StringIndexer(
         inputCol=target, outputCol="class_id", stringOrderType="alphabetAsc"
-    ).fit(df)
+    ).fit(counts)
     stages = [
-        indexer,
-        RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=r"[^\p{L}\p{N}_]+"),
-        HashingTF(inputCol="_tokens", outputCol="_counts", numFeatures=hashes),
         IDF(inputCol="_counts", outputCol="features"),
         LogisticRegression(
             featuresCol="features", labelCol="class_id", maxIter=iterations, regParam=0.01
         ),
     ]
-    model = Pipeline(stages=stages).fit(split.where("split = 'train'"))
-    return model, model.transform(split.where("split = 'test'"))
+    fitted = Pipeline(stages=[indexer, *stages]).fit(counts.where("split = 'train'"))
+    model = PipelineModel([indexer, tokens, hashing, *fitted.stages[1:]])
+    return model, fitted.transform(counts.where("split = 'test'"))
 
 
 def score_labels(scored: DataFrame, model: PipelineModel, id_column: str, target: str) -> DataFrame:

@@ -307,9 +307,14 @@ def distinct_up_to(df: DataFrame, columns: list[str], limit: int = C.MAX_PLOT_VA
 def clean_frame(df: DataFrame) -> DataFrame:
     """Drop sparse columns, fill nulls, drop copies; clip and scale numeric columns.
 
-    The frame without copies is written once, since three passes read it.
+    The frame without copies is written once, since several passes read it.
     """
-    unique = materialize(fill_mode(fill_median(drop_sparse_columns(df))).distinct(), "profile")
+    missing = {row["column"]: row for row in missing_stats(df).collect()}
+    kept = df.select(*[c for c in df.columns if not (missing[c].percent or 0.0) > C.SPARSE_PERCENT])
+    gaps = [c for c in kept.columns if missing[c].missing > 0]
+    filled = fill_median(kept, [c for c in numeric_columns(kept) if c in gaps])
+    filled = fill_mode(filled, [c for c in text_columns(kept) if c in gaps])
+    unique = materialize(filled.distinct(), "profile")
     columns = numeric_columns(unique)
     return standardize(clip_outliers(unique, columns), columns, minmax=True)
 

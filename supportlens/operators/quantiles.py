@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -23,113 +24,152 @@ def number(df: DataFrame, column: str) -> Column:
     return value
 
 
+@dataclass
+class _Target:
+    """One wanted quantile: its position and the bracket known to hold it."""
+
+    column: str
+    probability: float
+    position: float
+    low: float
+    high: float
+    below: int
+    inside: int
+    margin: float
+    settled: bool = False
+
+    def holds(self, below: int, inside: int) -> bool:
+        return below <= math.floor(self.position) and math.ceil(self.position) < below + inside
+
+
 def exact_quantiles(
-    df: DataFrame, columns: list[str], probabilities: list[float], accuracy: int = 10_000
+    df: DataFrame,
+    columns: list[str],
+    probabilities: list[float],
+    accuracy: int = 10_000,
+    rank_rows: int = 100_000,
 ) -> dict[str, dict[float, float | None]]:
     """Linear-interpolation quantiles of every column, as plain numbers.
 
-    A sketch first brackets each quantile within about 4/accuracy of the rows. Then
-    the rows below the bracket are counted and only the distinct values inside it
-    are ranked. A bracket that misses is widened and tried again, so results are
-    exact; only a few numbers per column reach the driver.
+    A sketch brackets each quantile and the rows below and inside the bracket are
+    counted, again and again until at most ``rank_rows`` rows are inside; their
+    distinct values are then ranked. A bracket that misses the position is thrown
+    away and drawn wider, so results are exact. All quantiles share every pass, and
+    only a few numbers per column reach the driver.
     """
     values = df.select(*[number(df, c).alias(c) for c in columns])
-    margin = 2.0 / accuracy
-    bounds = values.agg(
-        *[F.count(c).alias(f"n_{i}") for i, c in enumerate(columns)],
-        *[F.min(c).alias(f"min_{i}") for i, c in enumerate(columns)],
-        *[F.max(c).alias(f"max_{i}") for i, c in enumerate(columns)],
+    targets = _whole_range(values, columns, probabilities, accuracy)
+    while True:
+        wide = [t for t in targets if t.inside > rank_rows and t.low < t.high and not t.settled]
+        if not wide:
+            break
+        _narrow(values, wide, accuracy)
+    result: dict[str, dict[float, float | None]] = {
+        c: {p: None for p in probabilities} for c in columns
+    }
+    for target, (left, right) in zip(targets, _ranked(values, targets)):
+        fraction = target.position - math.floor(target.position)
+        result[target.column][target.probability] = left + (right - left) * fraction
+    return result
+
+
+def _whole_range(values, columns, probabilities, accuracy) -> list[_Target]:
+    row = values.agg(
         *[
-            F.percentile_approx(
-                c,
-                [min(max(p + side, 0.0), 1.0) for p in probabilities for side in (-margin, margin)],
-                accuracy,
-            ).alias(f"bracket_{i}")
+            F.struct(F.count(c).alias("n"), F.min(c).alias("low"), F.max(c).alias("high")).alias(f"_{i}")
             for i, c in enumerate(columns)
-        ],
+        ]
     ).first()
-
-    result: dict[str, dict[float, float | None]] = {c: {} for c in columns}
-    todo = {}
-    for i, column in enumerate(columns):
-        n, low, high = bounds[f"n_{i}"], bounds[f"min_{i}"], bounds[f"max_{i}"]
-        for j, p in enumerate(probabilities):
-            if n == 0:
-                result[column][p] = None
-                continue
-            position = (n - 1) * p
-            bracket = bounds[f"bracket_{i}"][2 * j : 2 * j + 2]
-            lo = low if p <= margin else bracket[0]
-            hi = high if p >= 1 - margin else bracket[1]
-            todo[(column, p)] = (position, lo, hi, low, high)
-
-    while todo:
-        keys = list(todo)
-        below_row = values.agg(
-            *[F.count_if(F.col(c) < todo[(c, p)][1]).alias(f"b_{k}") for k, (c, p) in enumerate(keys)]
-        ).first()
-        ranked = _ranked_candidates(values, keys, todo, below_row)
-        retry = {}
-        for k, key in enumerate(keys):
-            position, lo, hi, low, high = todo[key]
-            found = ranked.get(k)
-            if found is None or not found["covers"]:
-                span = max(hi - lo, abs(lo), abs(hi), 1.0)
-                retry[key] = (position, max(low, lo - span), min(high, hi + span), low, high)
-                continue
-            fraction = position - math.floor(position)
-            column, p = key
-            result[column][p] = found["left"] + (found["right"] - found["left"]) * fraction
-        todo = retry
-    return result
+    return [
+        _Target(c, p, (stats.n - 1) * p, stats.low, stats.high, 0, stats.n, 2.0 / accuracy)
+        for c, stats in zip(columns, row)
+        for p in probabilities
+        if stats.n
+    ]
 
 
-def _ranked_candidates(values: DataFrame, keys, todo, below_row) -> dict[int, dict]:
-    """Per wanted quantile the one or two values around its position."""
+def _narrow(values: DataFrame, targets: list[_Target], accuracy: int) -> None:
+    """Draw a narrower bracket for every target and keep it if it holds the position."""
+    wanted = [(t.position - t.below) / (t.inside - 1) for t in targets]
+    # Targets that still share a range share one sketch.
+    asked: dict[tuple, list[float]] = {}
+    for target, q in zip(targets, wanted):
+        sides = [max(q - target.margin, 0.0), min(q + target.margin, 1.0)]
+        asked.setdefault((target.column, target.low, target.high), []).extend(sides)
+    drawn = values.agg(
+        *[
+            F.percentile_approx(F.when(F.col(c).between(low, high), F.col(c)), sides, accuracy)
+            for (c, low, high), sides in asked.items()
+        ]
+    ).first()
+    answers = {key: iter(row) for key, row in zip(asked, drawn)}
+    sketches = [
+        [next(answers[t.column, t.low, t.high]) for _ in range(2)] for t in targets
+    ]
+    brackets = [
+        (
+            t.low if q <= t.margin else left,
+            t.high if q >= 1.0 - t.margin else right,
+        )
+        for t, q, (left, right) in zip(targets, wanted, sketches)
+    ]
+    counts = values.agg(
+        *[
+            F.struct(
+                F.count_if(F.col(t.column) < low).alias("below"),
+                F.count_if(F.col(t.column).between(low, high)).alias("inside"),
+            ).alias(f"_{k}")
+            for k, (t, (low, high)) in enumerate(zip(targets, brackets))
+        ]
+    ).first()
+    for target, (low, high), counted in zip(targets, brackets, counts):
+        if not target.holds(counted.below, counted.inside):
+            target.margin *= 10.0
+            continue
+        # A bracket that hardly shrinks is made of a few frequent values.
+        target.settled = counted.inside > 0.9 * target.inside
+        target.low, target.high = low, high
+        target.below, target.inside = counted.below, counted.inside
+        target.margin = 2.0 / accuracy
+
+
+def _ranked(values: DataFrame, targets: list[_Target]) -> list[tuple[float, float]]:
+    """The values left and right of every position."""
+    # A bracket of one value is the answer already.
+    found = {k: (t.low, t.low) for k, t in enumerate(targets) if t.low == t.high}
+    if len(found) == len(targets):
+        return [found[k] for k in range(len(targets))]
     inside = [
         F.when(
-            F.col(c).between(todo[(c, p)][1], todo[(c, p)][2]),
-            F.struct(F.lit(k).alias("k"), F.col(c).alias("value")),
+            F.col(t.column).between(t.low, t.high),
+            F.struct(F.lit(k).alias("k"), F.col(t.column).alias("value")),
         )
-        for k, (c, p) in enumerate(keys)
+        for k, t in enumerate(targets)
+        if k not in found
     ]
     counted = (
-        values.select(F.explode(F.array_compact(F.array(*inside))).alias("item"))
+        values.select(F.explode(F.array(*inside)).alias("item"))
+        .where(F.col("item").isNotNull())
         .groupBy("item.k", "item.value")
         .agg(F.count("*").alias("n"))
     )
-    below = _case([below_row[f"b_{k}"] for k in range(len(keys))])
-    left = _case([math.floor(todo[key][0]) for key in keys])
-    right = _case([math.ceil(todo[key][0]) for key in keys])
-    end = F.sum("n").over(Window.partitionBy("k").orderBy("value")) + below
-    ranked = (
+    end = F.sum("n").over(Window.partitionBy("k").orderBy("value")) + _by_target(
+        [t.below for t in targets]
+    )
+    around = (
         counted.withColumn("end", end)
-        .withColumn("start", F.col("end") - F.col("n"))
-        .where((F.col("start") <= right) & (F.col("end") > left))
+        .where(F.col("end") - F.col("n") <= _by_target([math.ceil(t.position) for t in targets]))
+        .where(F.col("end") > _by_target([math.floor(t.position) for t in targets]))
         .groupBy("k")
-        .agg(
-            F.min("value").alias("left"),
-            F.max("value").alias("right"),
-            F.min("start").alias("start"),
-            F.max("end").alias("end"),
-        )
+        .agg(F.min("value").alias("left"), F.max("value").alias("right"))
     )
-    rows = {}
-    for row in ranked.collect():
-        position = todo[keys[row.k]][0]
-        rows[row.k] = {
-            "left": row.left,
-            "right": row.right,
-            "covers": row.start <= math.floor(position) and row.end > math.ceil(position),
-        }
-    return rows
-
-
-def _case(numbers: list[int]) -> Column:
-    result = F.when(F.col("k") == 0, F.lit(numbers[0]))
-    for k, value in enumerate(numbers[1:], start=1):
-        result = result.when(F.col("k") == k, F.lit(value))
-    return result
+    found.update({row.k: (row.left, row.right) for row in around.collect()})
+    return [found[k] for k in range(len(targets))]
+
+
+def _by_target(numbers: list[int]) -> Column:
+    """The number of the target ``k`` of a row."""
+    return F.element_at(F.array(*[F.lit(n).cast("bigint") for n in numbers]), F.col("k") + 1)
 
 
 def quantile_table(df: DataFrame, columns: list[str], probabilities: list[float]) -> DataFrame:

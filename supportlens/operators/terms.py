@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from supportlens import constants as C
 from supportlens.functions import text as X
 from supportlens.operators.ordered import first_n_per_group
+from supportlens.session import materialize
 
 
 def vocabulary(df: DataFrame, cleaned: str, size: int = C.MAX_TERMS) -> list[str]:
@@ -111,7 +112,7 @@ def cluster_texts(
 ) -> tuple[DataFrame, TfidfModel]:
     """Add ``features`` and ``cluster`` by k-means over the TF-IDF rows."""
     model = fit_tfidf(df, cleaned, size)
-    features = model.transform(df, cleaned)
+    features = materialize(model.transform(df, cleaned), "features")
     kmeans = KMeans(k=k, seed=C.SEED, featuresCol="features", predictionCol="cluster")
     return kmeans.fit(features.select("features")).transform(features), model
 
@@ -133,6 +134,6 @@ def pca_features(df: DataFrame, cleaned: str, components: int = 50) -> DataFrame
     """Project the TF-IDF rows on their first principal components."""
     model = fit_tfidf(df, cleaned)
     k = max(1, min(components, len(model.terms) - 1))
-    features = model.transform(df, cleaned)
+    features = materialize(model.transform(df, cleaned), "features")
     pca = PCA(k=k, inputCol="features", outputCol="components").fit(features.select("features"))
     return pca.transform(features).drop("features")

@@ -10,6 +10,7 @@ from supportlens.operators import conversations as V, evaluate as E, models as M
 from supportlens.operators import retrieval as R, terms as T
 from supportlens.plans import oracle_text as O, views
 from supportlens.plans.registry import query
+from supportlens.session import materialize
 
 # --- chunks -----------------------------------------------------------------------------------
 
@@ -25,7 +26,7 @@ def chunk_documents(spark, sf_dir):
 
 @query()
 def chunk_at_separators(spark, sf_dir):
-    return R.chunk_at_separators(views.table(spark, sf_dir, "documents"), "doc_id", "text")
+    return R.chunk_at_separators(views.texts(spark, sf_dir), "doc_id", "text")
 
 
 # --- vectors ----------------------------------------------------------------------------------
@@ -166,12 +167,12 @@ def _weights_sql(table: str, key: str, text: str, size: int = C.MAX_TERMS) -> st
 
 @query(f"WITH {_weights_sql('documents', 'doc_id', 'text')} SELECT doc_id, term, round(weight, 6) AS weight FROM weights")
 def tfidf_weights(spark, sf_dir):
-    rows = views.cleaned_documents(spark, sf_dir)
+    rows = views.stored_cleaned_documents(spark, sf_dir)
     return T.tfidf_weights(rows, "doc_id", "cleaned").withColumn("weight", F.round("weight", 6))
 
 
 def _utterance_weights(spark, sf_dir):
-    rows = views.utterances(spark, sf_dir).select("utt_id", X.clean_text("text").alias("cleaned"))
+    rows = views.stored_cleaned_utterances(spark, sf_dir)
     return T.tfidf_weights(rows, "utt_id", "cleaned").select(
         F.substring("utt_id", 1, 1).alias("cluster"), "term", "weight"
     )
@@ -205,13 +206,13 @@ def name_clusters(spark, sf_dir):
 
 @query()
 def cluster_texts(spark, sf_dir):
-    clustered, _ = T.cluster_texts(views.cleaned_documents(spark, sf_dir), "cleaned")
+    clustered, _ = T.cluster_texts(views.stored_cleaned_documents(spark, sf_dir), "cleaned")
     return clustered.select("doc_id", "cluster")
 
 
 @query()
 def cluster_categories(spark, sf_dir):
-    rows = views.utterances(spark, sf_dir).select("utt_id", X.clean_text("text").alias("cleaned"))
+    rows = views.stored_cleaned_utterances(spark, sf_dir)
     return T.cluster_categories(rows, "cleaned").select("utt_id", "cluster", "category")
 
 
@@ -219,7 +220,7 @@ def cluster_categories(spark, sf_dir):
 def pca_features(spark, sf_dir):
     from pyspark.ml.functions import vector_to_array
 
-    projected = T.pca_features(views.cleaned_documents(spark, sf_dir), "cleaned", 50)
+    projected = T.pca_features(views.stored_cleaned_documents(spark, sf_dir), "cleaned", 50)
     return projected.select(
         "doc_id", F.posexplode(vector_to_array("components")).alias("component", "value")
     )
@@ -242,7 +243,8 @@ def _feature_rows(spark, sf_dir):
         F.col("lang").alias("intent"),
         F.when(F.col("quality") == 1, "good").otherwise("poor").alias("category"),
     )
-    return M.scale_features(M.with_label_id(rows, "intent"), FEATURES)
+    stored = materialize(M.with_label_id(rows, "intent"), "features")
+    return M.scale_features(stored, FEATURES)
 
 
 @query()
@@ -262,7 +264,7 @@ sort_importance = query(name="sort_importance")(feature_importance)
 
 
 def _intent_scores(spark, sf_dir):
-    documents = views.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    documents = views.texts(spark, sf_dir).select("doc_id", "text", "lang")
     model, scored = M.train_intent_classifier(documents, "doc_id", "text", "lang")
     return M.score_labels(scored, model, "doc_id", "lang")
 

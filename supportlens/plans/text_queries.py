@@ -254,7 +254,7 @@ def _documents(spark, sf_dir):
 
 @query(O.clean_table("documents", "doc_id", "text"))
 def clean_text(spark, sf_dir):
-    return _documents(spark, sf_dir).select("doc_id", X.clean_text("text").alias("cleaned"))
+    return views.texts(spark, sf_dir).select("doc_id", X.clean_text("text").alias("cleaned"))
 
 
 @query(

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from supportlens import constants as C
+from supportlens.functions.text import clean_text
 from supportlens.operators.conversations import pair_turns
+from supportlens.session import materialize, spread
 from supportlens.sources.messages import criteria_message, order_message
 
 CATEGORY_SQL = (
@@ -31,6 +33,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, for operators that do much work per text."""
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations")
 
@@ -160,8 +167,16 @@ def product_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cleaned_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from supportlens.functions.text import clean_text
-
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir).select(
         "doc_id", "lang", "source", clean_text("text").alias("cleaned")
     )
+
+
+def stored_cleaned_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned texts written once, for the operators that read them several times."""
+    return materialize(cleaned_documents(spark, sf_dir).select("doc_id", "cleaned"), "cleaned")
+
+
+def stored_cleaned_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = utterances(spark, sf_dir).select("utt_id", clean_text("text").alias("cleaned"))
+    return materialize(rows, "cleaned")
