@@ -12,38 +12,50 @@ from supportlens.operators.profile import correlation_matrix, distinct_up_to
 from supportlens.operators.quantiles import exact_quantiles, number
 
 
-def histogram(df: DataFrame, value: Column | str, bins: int = C.HISTOGRAM_BINS) -> DataFrame:
-    """Equal-width bins from minimum to maximum, the last one closed, empty ones kept."""
-    values = df.select((F.col(value) if isinstance(value, str) else value).cast("double").alias("x")).where(
-        F.col("x").isNotNull()
-    )
-    edges = values.agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi"))).scalar()
-    position = F.floor((F.col("x") - edges.lo) * float(bins) / F.nullif(edges.hi - edges.lo, F.lit(0.0)))
-    # A constant column falls into the middle bin of a range one wide.
-    bin_of = F.least(F.coalesce(position, F.lit(bins // 2)), F.lit(bins - 1)).cast("int")
-    counts = values.groupBy(bin_of.alias("bin")).agg(F.count("*").alias("n"))
-    constant = edges.hi == edges.lo
-    low = F.when(constant, edges.lo - 0.5).otherwise(edges.lo)
-    width = F.when(constant, 1.0).otherwise(edges.hi - edges.lo) / bins
-    grid = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-    return (
-        grid.join(counts, "bin", "left")
-        .select(
-            "bin",
-            F.round(low + F.col("bin") * width, 6).alias("bin_start"),
-            F.round(low + (F.col("bin") + 1) * width, 6).alias("bin_end"),
-            F.coalesce("n", F.lit(0)).alias("n"),
+def histograms(df: DataFrame, columns: dict[str, Column], bins: int = C.HISTOGRAM_BINS) -> DataFrame:
+    """Equal-width bins from minimum to maximum per value, the last one closed, empty ones kept.
+
+    All values share one pass for the ranges and one for the counts.
+    """
+    names = list(columns)
+    wide = df.select(*[columns[name].cast("double").alias(f"_{i}") for i, name in enumerate(names)])
+    ranges = wide.agg(
+        F.array(
+            *[
+                F.struct(F.min(f"_{i}").alias("lo"), F.max(f"_{i}").alias("hi"))
+                for i in range(len(names))
+            ]
         )
+    ).scalar()
+    own = ranges[F.col("which")]
+    low, width = own.lo, own.hi - own.lo
+    # A constant value falls into the middle bin of a range one wide.
+    flat = width == 0.0
+    position = F.floor((F.col("x") - low) * float(bins) / F.nullif(width, F.lit(0.0)))
+    bin_of = F.least(F.coalesce(position, F.lit(bins // 2)), F.lit(bins - 1)).cast("int")
+    counts = (
+        wide.select(F.posexplode(F.array(*wide.columns)).alias("which", "x"))
+        .where(F.col("x").isNotNull())
+        .groupBy("which", bin_of.alias("bin"))
+        .agg(F.count("*").alias("n"))
+    )
+    grid = df.sparkSession.range(len(names) * bins).select(
+        F.floor(F.col("id") / bins).cast("int").alias("which"), (F.col("id") % bins).cast("int").alias("bin")
+    )
+    start = F.when(flat, low - 0.5).otherwise(low)
+    step = F.when(flat, 1.0).otherwise(width) / bins
+    return grid.join(counts, ["which", "bin"], "left").select(
+        F.get(F.array(*[F.lit(name) for name in names]), "which").alias("column"),
+        "bin",
+        F.round(start + F.col("bin") * step, 6).alias("bin_start"),
+        F.round(start + (F.col("bin") + 1) * step, 6).alias("bin_end"),
+        F.coalesce("n", F.lit(0)).alias("n"),
     )
 
 
-def histograms(df: DataFrame, columns: dict[str, Column], bins: int = C.HISTOGRAM_BINS) -> DataFrame:
-    """Histograms of several values stacked, named in ``column``."""
-    result = None
-    for name, value in columns.items():
-        one = histogram(df, value, bins).select(F.lit(name).alias("column"), "*")
-        result = one if result is None else result.unionByName(one)
-    return result
+def histogram(df: DataFrame, value: Column | str, bins: int = C.HISTOGRAM_BINS) -> DataFrame:
+    column = F.col(value) if isinstance(value, str) else value
+    return histograms(df, {"value": column}, bins).drop("column")
 
 
 def kde_curve(df: DataFrame, value: str, points: int = 50, bins: int = 200) -> DataFrame:

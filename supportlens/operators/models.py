@@ -15,9 +15,24 @@ from supportlens.session import materialize
 
 
 def label_index(df: DataFrame, column: str) -> DataFrame:
-    """Labels with ids in alphabetical order; one row per label, so the window is small."""
+    """Labels with ids in alphabetical order.
+
+    Labels are sorted in ranges; an id is the position in its range plus the size of
+    the ranges before it. The ranges are stored, since both steps must see the same.
+    """
     labels = df.select(F.col(column).alias("label")).where("label IS NOT NULL").distinct()
-    return labels.withColumn("class_id", F.row_number().over(Window.orderBy("label")) - 1)
+    ranged = labels.repartitionByRange("label").sortWithinPartitions("label")
+    position = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    stored = materialize(
+        ranged.select("label", F.spark_partition_id().alias("part"), position.alias("position")), "labels"
+    )
+    sizes = stored.groupBy("part").agg(F.count("*").alias("size"))
+    # One row per range.
+    before = F.sum("size").over(Window.orderBy("part")) - F.col("size")
+    offsets = sizes.select("part", before.alias("offset"))
+    return stored.join(offsets, "part").select(
+        "label", (F.col("offset") + F.col("position")).alias("class_id")
+    )
 
 
 def with_label_id(df: DataFrame, column: str) -> DataFrame:
