@@ -274,6 +274,48 @@ CHAT_PROMPT_LINES = [
     "Assistant:",
 ]
 
+SHORT_PROMPT_INDENT = " " * 16
+SHORT_PROMPT_LINES = [
+    "You are a helpful customer support chatbot. Use the following context to answer "
+    "the user's question.",
+    "",
+    "Context:",
+    "{context}",
+    "",
+    "User message: {message}",
+    "",
+    "Response:",
+]
+
+LABEL_PROMPT_INDENT = " " * 12
+INTENT_PROMPT_LINES = [
+    "You are an intent classifier for a customer support chatbot.",
+    "Classify the following message into one of these categories:",
+    "- order_tracking: Questions about order status, tracking, or delivery",
+    "- product_info: Questions about product details, specifications, or availability",
+    "- returns: Questions about returning products, refunds, or exchanges",
+    "- shipping: Questions about shipping methods, costs, or times",
+    "- payment: Questions about payment methods, issues, or billing",
+    "- account: Questions about user accounts, login, or registration",
+    "- product_recommendation: Requests for product recommendations or comparisons",
+    "- general: General inquiries or greetings",
+    "",
+    "User message: {message}",
+    "",
+    "Intent:",
+]
+SENTIMENT_PROMPT_LINES = [
+    "You are a sentiment analyzer for a customer support chatbot.",
+    "Analyze the sentiment of the following message and classify it as:",
+    "- positive: The user is happy, satisfied, or expressing gratitude",
+    "- neutral: The user is asking a question or making a neutral statement",
+    "- negative: The user is frustrated, angry, or expressing dissatisfaction",
+    "",
+    "User message: {message}",
+    "",
+    "Sentiment:",
+]
+
 # --- fixed values: limits and parameters ---------------------------------------------------
 
 RATING_RANGE = (1, 5)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from supportlens import constants as C
 from supportlens.functions import text as X
@@ -222,6 +222,14 @@ def retrieved_context(matches: DataFrame, documents: DataFrame, id_column: str,
     )
 
 
+def _filled(lines: list[str], indent: str, values: dict[str, Column]) -> Column:
+    """Lines joined with their indent; every ``{slot}`` takes its column, in line order."""
+    template = f"\n{indent}".join(lines)
+    for slot in values:
+        template = template.replace("{" + slot + "}", "%s")
+    return F.format_string(template, *values.values())
+
+
 def prompts(messages: DataFrame) -> DataFrame:
     """Add ``prompt``, the full text handed to a language model.
 
@@ -229,18 +237,51 @@ def prompts(messages: DataFrame) -> DataFrame:
     retrieved documents).
     """
     base = f"\n{C.SYSTEM_PROMPT_INDENT}".join(C.SYSTEM_PROMPT_LINES)
-    # An empty last line keeps its indent; empty lines inside carry it as well.
     tone = F.when(F.col("sentiment") == "negative", "\n" + C.NEGATIVE_PROMPT_LINE).when(
         F.col("sentiment") == "positive", "\n" + C.POSITIVE_PROMPT_LINE
     ).otherwise("")
     language = F.when(F.col("language") == "vi", "\n" + C.VIETNAMESE_PROMPT_LINE).otherwise("")
     values = {
-        "{system}": F.concat(F.lit(base), tone, language),
-        "{context}": F.coalesce(F.array_join("context", "\n\n"), F.lit("")),
-        "{intent}": F.col("intent"),
-        "{message}": F.col("message"),
+        "system": F.concat(F.lit(base), tone, language),
+        "context": F.coalesce(F.array_join("context", "\n\n"), F.lit("")),
+        "intent": F.col("intent"),
+        "message": F.col("message"),
     }
-    template = f"\n{C.CHAT_PROMPT_INDENT}".join(C.CHAT_PROMPT_LINES)
-    for slot in values:
-        template = template.replace(slot, "%s")
-    return messages.withColumn("prompt", F.format_string(template, *values.values()))
+    return messages.withColumn(
+        "prompt", _filled(C.CHAT_PROMPT_LINES, C.CHAT_PROMPT_INDENT, values)
+    )
+
+
+def short_prompts(messages: DataFrame) -> DataFrame:
+    """Add ``prompt`` in the short form: context and message only."""
+    values = {
+        "context": F.coalesce(F.array_join("context", "\n"), F.lit("")),
+        "message": F.col("message"),
+    }
+    return messages.withColumn(
+        "prompt", _filled(C.SHORT_PROMPT_LINES, C.SHORT_PROMPT_INDENT, values)
+    )
+
+
+def label_prompts(messages: DataFrame, message: str = "message") -> DataFrame:
+    """Add the prompts whose answers ``normalize_intent`` and ``normalize_sentiment`` read."""
+    values = {"message": F.col(message)}
+    return messages.withColumns(
+        {
+            "intent_prompt": _filled(C.INTENT_PROMPT_LINES, C.LABEL_PROMPT_INDENT, values),
+            "sentiment_prompt": _filled(C.SENTIMENT_PROMPT_LINES, C.LABEL_PROMPT_INDENT, values),
+        }
+    )
+
+
+def analyze_pairs(pairs: DataFrame) -> DataFrame:
+    """Question/answer pairs with cleaned texts, word counts and entities."""
+    return pairs.withColumns(
+        {
+            "question_clean": X.clean_text("question"),
+            "answer_clean": X.clean_text("answer"),
+            "question_length": X.word_count("question"),
+            "answer_length": X.word_count("answer"),
+            "entities": X.extract_entities("question"),
+        }
+    )

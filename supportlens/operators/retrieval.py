@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from supportlens import constants as C
 from supportlens.functions import text as X
@@ -219,13 +219,41 @@ def vector_topk_within(
 ) -> DataFrame:
     """Exact ``k`` nearest corpus vectors per query among rows with equal ``keys``.
 
-    Every group is split into blocks of about ``block_rows`` vectors on both sides,
-    however large it is. A task compares one pair of blocks and keeps ``k`` matches
-    per query; the pairs themselves are never emitted.
+    Equal vectors are searched once: of equal corpus vectors only those with the
+    smallest ids can be in a result, and equal queries share theirs. What is left is
+    split into blocks of about ``block_rows`` vectors on both sides, however large a
+    group is. A task compares one pair of blocks and keeps the best matches per
+    query; the pairs themselves are never emitted.
     """
-    left = _as_side(queries, id_column, vector, keys).withColumn("_all", F.lit(0))
-    right = _as_side(corpus, id_column, vector, keys).withColumn("_all", F.lit(0))
+    wanted = k + 1 if skip_self else k
+    asked = _as_side(queries, id_column, vector, keys)
+    distinct = asked.groupBy(*keys, "vector").agg(F.min("id").alias("id"))
+    copies = Window.partitionBy(*keys, "vector").orderBy("id")
+    found = (
+        _as_side(corpus, id_column, vector, keys)
+        .withColumn("_copy", F.row_number().over(copies))
+        .where(F.col("_copy") <= wanted)
+        .drop("_copy")
+    )
+    # A match may be found in several groups, e.g. in several hash tables.
+    shared = _compare_blocks(distinct, found, keys, wanted, block_rows)
+    own = (
+        asked.withColumnRenamed("id", "query_id")
+        .join(distinct.withColumnRenamed("id", "_shared_id"), [*keys, "vector"])
+        .join(shared.withColumnsRenamed({"query_id": "_shared_id"}), [*keys, "_shared_id"])
+        .select("query_id", "match_id", "distance")
+    )
+    if skip_self:
+        own = own.where(F.col("query_id") != F.col("match_id"))
+    return _final_rank(own.distinct() if keys else own, k)
+
+
+def _compare_blocks(
+    left: DataFrame, right: DataFrame, keys: list[str], k: int, block_rows: int
+) -> DataFrame:
+    """Best ``k`` matches of every left vector in the right vectors of its group, with the keys."""
     group = [*keys, "_all"]
+    left, right = left.withColumn("_all", F.lit(0)), right.withColumn("_all", F.lit(0))
 
     def blocks(side: DataFrame, name: str) -> DataFrame:
         return side.groupBy(*group).agg(F.ceil(F.count("*") / F.lit(block_rows)).alias(name))
@@ -233,6 +261,7 @@ def vector_topk_within(
     counts = blocks(left, "left_blocks").join(blocks(right, "right_blocks"), group)
 
     def placed(side: DataFrame, own: str, other: str, own_part: str, other_part: str) -> DataFrame:
+        """Each vector in its own block, once per block of the other side."""
         return (
             side.join(counts, group)
             .withColumn(own_part, F.pmod(F.xxhash64("id"), F.col(own)))
@@ -241,22 +270,25 @@ def vector_topk_within(
         )
 
     cell = [*group, "left_part", "right_part"]
+    schema = T.StructType(
+        [left.schema[key] for key in keys]
+        + T.StructType.fromDDL(MATCH_SCHEMA).fields
+    )
 
     def nearest(asked: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         if asked.empty or found.empty:
-            return pd.DataFrame({"query_id": [], "match_id": [], "distance": []})
-        return _nearest(
+            return pd.DataFrame({name: [] for name in schema.names})
+        best = _nearest(
             asked["id"].to_numpy(), _matrix(asked["vector"]),
-            found["id"].to_numpy(), _matrix(found["vector"]), k, skip_self,
+            found["id"].to_numpy(), _matrix(found["vector"]), k, False,
         )
+        return best.assign(**{key: asked[key].iloc[0] for key in keys})[schema.names]
 
     asked = placed(left, "left_blocks", "right_blocks", "left_part", "right_part")
     found = placed(right, "right_blocks", "left_blocks", "right_part", "left_part")
-    partial = (
-        asked.groupBy(*cell).cogroup(found.groupBy(*cell)).applyInPandas(nearest, MATCH_SCHEMA)
-    )
-    # A pair may be found in several groups, e.g. in several hash tables.
-    return _final_rank(partial.distinct() if keys else partial, k)
+    partial = asked.groupBy(*cell).cogroup(found.groupBy(*cell)).applyInPandas(nearest, schema)
+    order = Window.partitionBy(*keys, "query_id").orderBy("distance", "match_id")
+    return partial.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k).drop("_rank")
 
 
 def retrieve(

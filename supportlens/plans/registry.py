@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from supportlens.plans.oracle_views import VIEWS
+from supportlens.session import apply_settings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,7 +22,7 @@ def query(sql: str | None = None, views: str = "", name: str | None = None):
         key = name or function.__name__
         if key in QUERIES:
             raise ValueError(f"query {key} is listed twice")
-        QUERIES[key] = function
+        QUERIES[key] = lambda spark, sf_dir: function(apply_settings(spark), sf_dir)
         if sql is not None:
             ORACLES[key] = with_views(sql, views)
         return function

@@ -122,32 +122,58 @@ def _prompt_sql() -> str:
             FROM asked JOIN context USING (query_id))"""
 
 
-@query(_prompt_sql(), "model_outputs")
-def build_prompts(spark, sf_dir):
+def _asked(spark, sf_dir):
     """Every embedded document asks, and its three nearest documents are the context."""
     vectors = _embeddings(spark, sf_dir)
     documents = views.table(spark, sf_dir, "documents").select("doc_id", "text")
     matches = R.vector_topk(vectors, vectors, "vec_id", "embedding", skip_self=True)
     context = V.retrieved_context(matches, documents, "doc_id", "text")
-    outputs = views.model_outputs(spark, sf_dir).select(
-        F.col("out_id").alias("query_id"), "raw_sentiment"
-    )
-    asked = (
-        vectors.join(documents, F.col("doc_id") == F.col("vec_id"))
-        .select(
-            F.col("vec_id").alias("query_id"),
-            F.col("text").alias("message"),
-            F.expr(CATEGORY_OF_LABEL_SQL).alias("intent"),
-            X.detect_language("text").alias("language"),
-        )
-        .join(outputs, "query_id", "left")
-        .withColumn("sentiment", X.normalize_sentiment("raw_sentiment"))
+    asked = vectors.join(documents, F.col("doc_id") == F.col("vec_id")).select(
+        F.col("vec_id").alias("query_id"), F.col("text").alias("message"), "label"
     )
-    return V.prompts(asked.join(context, "query_id")).select(
+    return asked.join(context, "query_id")
+
+
+def _digest(prompts):
+    return prompts.select(
         "query_id", F.md5("prompt").alias("prompt_md5"), F.length("prompt").alias("prompt_length")
     )
 
 
+@query(_prompt_sql(), "model_outputs")
+def build_prompts(spark, sf_dir):
+    outputs = views.model_outputs(spark, sf_dir).select(F.col("out_id").alias("query_id"), "raw_sentiment")
+    labelled = (
+        _asked(spark, sf_dir)
+        .join(outputs, "query_id", "left")
+        .withColumns(
+            {
+                "intent": F.expr(CATEGORY_OF_LABEL_SQL),
+                "language": X.detect_language("message"),
+                "sentiment": X.normalize_sentiment("raw_sentiment"),
+            }
+        )
+    )
+    return _digest(V.prompts(labelled))
+
+
+def _short_prompt_sql() -> str:
+    gap = f"chr(10) || '{C.SHORT_PROMPT_INDENT}'"
+    return f"""
+        WITH context AS (
+            SELECT query_id, string_agg(text, chr(10) ORDER BY rank) AS context
+            FROM ({TOPK_SQL}) JOIN documents ON doc_id = match_id GROUP BY query_id)
+        SELECT query_id, md5(prompt) AS prompt_md5, length(prompt) AS prompt_length FROM (
+            SELECT query_id, {O.quote(C.SHORT_PROMPT_LINES[0])} || {gap} || {gap} || 'Context:' || {gap} || context
+                   || {gap} || {gap} || 'User message: ' || text || {gap} || {gap} || 'Response:' AS prompt
+            FROM context JOIN documents ON doc_id = query_id)"""
+
+
+@query(_short_prompt_sql())
+def build_prompts_short(spark, sf_dir):
+    return _digest(V.short_prompts(_asked(spark, sf_dir)))
+
+
 # --- terms ------------------------------------------------------------------------------------------
 
 

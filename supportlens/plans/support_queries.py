@@ -141,6 +141,34 @@ def preprocess_records(spark, sf_dir):
     return D.keep_first(normal, ["instruction"], ["rec_id"]).na.drop("any")
 
 
+@query(
+    f"""WITH question AS ({O.clean_table('qa', 'qa_id', 'question')}),
+             answer AS ({O.clean_table('qa', 'qa_id', 'answer')})
+        SELECT qa_id, question, answer, category, source, q.cleaned AS question_clean, a.cleaned AS answer_clean,
+               coalesce(len({O.words('question')}), 0) AS question_length,
+               coalesce(len({O.words('answer')}), 0) AS answer_length,
+               array_to_string({O.entities('question')}, ',') AS entities
+        FROM qa JOIN question q USING (qa_id) JOIN answer a USING (qa_id)""",
+    "qa",
+)
+def analyzed_pairs(spark, sf_dir):
+    return V.analyze_pairs(views.qa(spark, sf_dir)).withColumn("entities", F.array_join("entities", ","))
+
+
+def _label_prompt_sql(lines: list[str]) -> str:
+    before, after = f"\n{C.LABEL_PROMPT_INDENT}".join(lines).split("{message}")
+    return f"{O.quote(before)} || text || {O.quote(after)}"
+
+
+@query(
+    f"""SELECT conv_id, {_label_prompt_sql(C.INTENT_PROMPT_LINES)} AS intent_prompt,
+               {_label_prompt_sql(C.SENTIMENT_PROMPT_LINES)} AS sentiment_prompt FROM ({LAST_USER_SQL})"""
+)
+def build_label_prompts(spark, sf_dir):
+    last = V.last_user_message(views.turns(spark, sf_dir))
+    return V.label_prompts(last, "text").select("conv_id", "intent_prompt", "sentiment_prompt")
+
+
 # --- feedback ------------------------------------------------------------------------------------
 
 

@@ -34,6 +34,13 @@ def build_session(master: str | None = None, app: str = "supportlens", **extra)
     return builder.getOrCreate()
 
 
+def apply_settings(spark: SparkSession) -> SparkSession:
+    """Give a session built elsewhere the settings above."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 @cache
 def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="supportlens-")
