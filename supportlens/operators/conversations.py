@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from supportlens import constants as C
 from supportlens.functions import text as X
 from supportlens.operators.filters import filter_user_turns, valid_ratings
-from supportlens.operators.lookups import latest_by_session
+from supportlens.operators.lookups import known_sessions, latest_by_session
 from supportlens.operators.ordered import keep_last, with_next_row
 
 # A nested list holds at most this many messages or pairs; longer groups take more rows.
@@ -137,10 +137,12 @@ def conversation_analytics(
 ) -> DataFrame:
     """Long table (metric, key, value): sessions, mean rating and label counts.
 
-    Sessions without a user message count in the total only.
+    Sessions without a user message count in the total only; ratings of unknown
+    sessions are not accepted.
     """
     total = turns.agg(F.countDistinct("conv_id").cast("double").alias("value"))
-    rating = average_rating(feedback).withColumnRenamed("average_rating", "value")
+    sessions = turns.select(F.col("conv_id").alias("session_id"))
+    rating = average_rating(known_sessions(feedback, sessions)).withColumnRenamed("average_rating", "value")
     labels = label_last_messages(turns, model_outputs).select(
         F.explode(
             F.array(

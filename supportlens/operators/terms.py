@@ -130,6 +130,14 @@ def cluster_categories(df: DataFrame, cleaned: str) -> DataFrame:
     )
 
 
+def categorize_pairs(analyzed: DataFrame) -> DataFrame:
+    """Give analyzed pairs a category by clustering, unless they have one."""
+    if "category" in analyzed.columns:
+        return analyzed
+    texts = analyzed.withColumn("_both", F.concat_ws(" ", "question_clean", "answer_clean"))
+    return cluster_categories(materialize(texts, "pairs"), "_both").drop("_both", "cluster")
+
+
 def pca_features(df: DataFrame, cleaned: str, components: int = 50) -> DataFrame:
     """Project the TF-IDF rows on their first principal components."""
     model = fit_tfidf(df, cleaned)

@@ -242,6 +242,13 @@ def cluster_categories(spark, sf_dir):
     return T.cluster_categories(rows, "cleaned").select("utt_id", "cluster", "category")
 
 
+@query()
+def categorize_pairs(spark, sf_dir):
+    """Pairs without a category column, analyzed and then clustered."""
+    pairs = views.qa(spark, sf_dir).drop("category")
+    return T.categorize_pairs(V.analyze_pairs(pairs)).select("qa_id", "question_clean", "category")
+
+
 @query()
 def pca_features(spark, sf_dir):
     from pyspark.ml.functions import vector_to_array

@@ -234,7 +234,8 @@ def common_issues(spark, sf_dir):
                      FROM last LEFT JOIN model_outputs ON out_id = conv_id)
         SELECT 'total_conversations' AS metric, 'all' AS key, CAST(count(DISTINCT conv_id) AS DOUBLE) AS value
         FROM conversations
-        UNION ALL SELECT 'average_rating', 'all', round(avg(rating), 6) FROM ({LATEST_RATING_SQL})
+        UNION ALL SELECT 'average_rating', 'all', round(avg(rating), 6)
+        FROM ({LATEST_RATING_SQL}) WHERE session_id IN (SELECT conv_id FROM conversations)
         UNION ALL SELECT 'language', language, count(*) FROM labelled GROUP BY language
         UNION ALL SELECT 'intent', intent, count(*) FROM labelled GROUP BY intent
         UNION ALL SELECT 'sentiment', sentiment, count(*) FROM labelled GROUP BY sentiment""",
