@@ -10,24 +10,32 @@ def with_next_row(
 ) -> DataFrame:
     """Add ``next_row``, a struct of the following row of the group, null at its end.
 
-    ``block`` must grow with ``order``. The window runs per (keys, block), so a huge
-    group is spread over many tasks; only the first row of every block is then
-    carried over to the block before it.
+    ``block`` must grow with ``order``, which is unique in a group. The window runs
+    per (keys, block), so a huge group is spread over many tasks. The end of a block
+    then looks up the first row of the next one: block starts come from an aggregate
+    over keys and order alone, and rows are fetched for groups of several blocks only.
     """
     row = F.struct(*order, *columns)
+    position = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     blocked = df.withColumn("_block", block)
     inside = Window.partitionBy(*keys, "_block").orderBy(*order)
-    heads = blocked.groupBy(*keys, "_block").agg(F.min(row).alias("_head"))
-    carried = (
-        heads.withColumn("_carry", F.lead("_head").over(Window.partitionBy(*keys).orderBy("_block")))
-        .where(F.col("_carry").isNotNull())
-        .drop("_head")
+    starts = blocked.groupBy(*keys, "_block").agg(F.min(position).alias("_start"))
+    following = (
+        starts.withColumn("_position", F.lead("_start").over(Window.partitionBy(*keys).orderBy("_block")))
+        .where(F.col("_position").isNotNull())
+        .select(*keys, "_block", "_position")
+    )
+    fetched = (
+        df.select(*keys, position.alias("_position"), row.alias("_row"))
+        .join(following, [*keys, "_position"])
+        .groupBy(*keys, "_block")
+        .agg(F.min("_row").alias("_carried"))
     )
     return (
         blocked.withColumn("_next", F.lead(row).over(inside))
-        .join(carried, [*keys, "_block"], "left")
-        .withColumn("next_row", F.coalesce("_next", "_carry"))
-        .drop("_block", "_next", "_carry")
+        .join(fetched, [*keys, "_block"], "left")
+        .withColumn("next_row", F.coalesce("_next", "_carried"))
+        .drop("_block", "_next", "_carried")
     )
 
 
