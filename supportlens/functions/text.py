@@ -18,6 +18,7 @@ SPACE_CHARACTERS = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(
     map(chr, [*range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 )
 PUNCTUATION_OR_DIGIT = r"[\p{Punct}\p{Nd}]"
+TERM = r"[a-zA-Z0-9_[[^\x00-\x7F]&&[\p{L}\p{N}]]]{2,}"
 VIETNAMESE = rf"[[^\x00-\x7F]&&[{C.VIETNAMESE_LETTERS}]]"
 
 
@@ -152,4 +153,4 @@ def instruction_document(*values: ColumnOrName) -> Column:
 
 def term_tokens(text: ColumnOrName) -> Column:
     """Terms of two or more word characters."""
-    return F.regexp_extract_all(_column(text), F.lit(C.WORD_TOKEN), F.lit(0))
+    return F.regexp_extract_all(_column(text), F.lit(TERM), F.lit(0))

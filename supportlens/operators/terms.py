@@ -20,10 +20,15 @@ from supportlens.operators.ordered import first_n_per_group
 from supportlens.session import materialize
 
 
-def vocabulary(df: DataFrame, cleaned: str, size: int = C.MAX_TERMS) -> list[str]:
+def with_terms(df: DataFrame, cleaned: str) -> DataFrame:
+    """Add ``terms``, the array that the operators below count."""
+    return df.withColumn("terms", X.term_tokens(F.coalesce(cleaned, F.lit(""))))
+
+
+def vocabulary(df: DataFrame, size: int = C.MAX_TERMS) -> list[str]:
     """The ``size`` most frequent terms, alphabetical among equals, in sorted order."""
     top = (
-        df.select(F.explode(X.term_tokens(cleaned)).alias("term"))
+        df.select(F.explode("terms").alias("term"))
         .groupBy("term")
         .agg(F.count("*").alias("n"))
         .orderBy(F.desc("n"), "term")
@@ -39,31 +44,33 @@ class TfidfModel:
         self.terms = terms
         self.weights = weights
 
-    def transform(self, df: DataFrame, cleaned: str, output: str = "features") -> DataFrame:
+    def transform(self, df: DataFrame, output: str = "features") -> DataFrame:
         """Add a sparse vector per row; every step works row by row."""
-        spark_model = CountVectorizerModel.from_vocabulary(self.terms, "_tokens", "_counts")
+        counts = CountVectorizerModel.from_vocabulary(self.terms, "terms", "_counts")
         weigh = ElementwiseProduct(
             scalingVec=Vectors.dense(self.weights), inputCol="_counts", outputCol="_weighted"
         )
         unit = Normalizer(p=2.0, inputCol="_weighted", outputCol=output)
-        counted = spark_model.transform(df.withColumn("_tokens", X.term_tokens(cleaned)))
-        return unit.transform(weigh.transform(counted)).drop("_tokens", "_counts", "_weighted")
+        return unit.transform(weigh.transform(counts.transform(df))).drop("_counts", "_weighted")
 
 
-def fit_tfidf(df: DataFrame, cleaned: str, size: int = C.MAX_TERMS) -> TfidfModel:
-    """Choose the terms, then learn their document frequencies in one pass."""
-    terms = vocabulary(df, cleaned, size)
-    counts = CountVectorizerModel.from_vocabulary(terms, "_tokens", "_counts").transform(
-        df.select(X.term_tokens(cleaned).alias("_tokens"))
-    )
+def fit_tfidf(df: DataFrame, size: int = C.MAX_TERMS) -> TfidfModel:
+    """Choose the terms, then learn their document frequencies in one pass.
+
+    ``df`` is read twice here and once more by ``transform``, so store the terms
+    first where they are expensive to make.
+    """
+    chosen = vocabulary(df, size)
+    counts = CountVectorizerModel.from_vocabulary(chosen, "terms", "_counts").transform(df.select("terms"))
     model: IDFModel = IDF(inputCol="_counts", outputCol="_idf").fit(counts)
-    return TfidfModel(terms, [float(w) + 1.0 for w in model.idf])
+    return TfidfModel(chosen, [float(w) + 1.0 for w in model.idf])
 
 
-def tfidf_weights(df: DataFrame, id_column: str, cleaned: str, size: int = C.MAX_TERMS) -> DataFrame:
+def tfidf_weights(df: DataFrame, id_column: str, size: int = C.MAX_TERMS) -> DataFrame:
     """Long table (id, term, weight) of the non-zero weights."""
-    model = fit_tfidf(df, cleaned, size)
-    return vector_entries(model.transform(df.select(id_column, cleaned), cleaned), [id_column], model.terms)
+    rows = df.select(id_column, "terms")
+    model = fit_tfidf(rows, size)
+    return vector_entries(model.transform(rows), [id_column], model.terms)
 
 
 def vector_entries(df: DataFrame, keys: list[str], terms: list[str], vector: str = "features") -> DataFrame:
@@ -108,18 +115,18 @@ def name_clusters(top_terms: DataFrame, cluster: str = "cluster") -> DataFrame:
 
 
 def cluster_texts(
-    df: DataFrame, cleaned: str, k: int = len(C.CATEGORIES), size: int = C.MAX_TERMS
+    df: DataFrame, k: int = len(C.CATEGORIES), size: int = C.MAX_TERMS
 ) -> tuple[DataFrame, TfidfModel]:
     """Add ``features`` and ``cluster`` by k-means over the TF-IDF rows."""
-    model = fit_tfidf(df, cleaned, size)
-    features = materialize(model.transform(df, cleaned), "features")
+    model = fit_tfidf(df, size)
+    features = materialize(model.transform(df).drop("terms"), "features")
     kmeans = KMeans(k=k, seed=C.SEED, featuresCol="features", predictionCol="cluster")
     return kmeans.fit(features.select("features")).transform(features), model
 
 
-def cluster_categories(df: DataFrame, cleaned: str) -> DataFrame:
+def cluster_categories(df: DataFrame) -> DataFrame:
     """Give uncategorised rows the category of their cluster."""
-    clustered, model = cluster_texts(df, cleaned)
+    clustered, model = cluster_texts(df)
     entries = vector_entries(clustered, ["cluster"], model.terms)
     names = name_clusters(top_terms_per_cluster(entries))
     # At most one row per cluster, of which there are k.
@@ -134,14 +141,15 @@ def categorize_pairs(analyzed: DataFrame) -> DataFrame:
     """Give analyzed pairs a category by clustering, unless they have one."""
     if "category" in analyzed.columns:
         return analyzed
-    texts = analyzed.withColumn("_both", F.concat_ws(" ", "question_clean", "answer_clean"))
-    return cluster_categories(materialize(texts, "pairs"), "_both").drop("_both", "cluster")
+    both = analyzed.withColumn("_both", F.concat_ws(" ", "question_clean", "answer_clean"))
+    stored = materialize(with_terms(both, "_both").drop("_both"), "pairs")
+    return cluster_categories(stored).drop("cluster")
 
 
-def pca_features(df: DataFrame, cleaned: str, components: int = 50) -> DataFrame:
+def pca_features(df: DataFrame, components: int = 50) -> DataFrame:
     """Project the TF-IDF rows on their first principal components."""
-    model = fit_tfidf(df, cleaned)
+    model = fit_tfidf(df)
     k = max(1, min(components, len(model.terms) - 1))
-    features = materialize(model.transform(df, cleaned), "features")
+    features = materialize(model.transform(df).drop("terms"), "features")
     pca = PCA(k=k, inputCol="features", outputCol="components").fit(features.select("features"))
     return pca.transform(features).drop("features")

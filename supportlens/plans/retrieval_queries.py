@@ -193,13 +193,11 @@ def _weights_sql(table: str, key: str, text: str, size: int = C.MAX_TERMS) -> st
 
 @query(f"WITH {_weights_sql('documents', 'doc_id', 'text')} SELECT doc_id, term, round(weight, 6) AS weight FROM weights")
 def tfidf_weights(spark, sf_dir):
-    rows = views.stored_cleaned_documents(spark, sf_dir)
-    return T.tfidf_weights(rows, "doc_id", "cleaned").withColumn("weight", F.round("weight", 6))
+    return T.tfidf_weights(views.document_terms(spark, sf_dir), "doc_id").withColumn("weight", F.round("weight", 6))
 
 
 def _utterance_weights(spark, sf_dir):
-    rows = views.stored_cleaned_utterances(spark, sf_dir)
-    return T.tfidf_weights(rows, "utt_id", "cleaned").select(
+    return T.tfidf_weights(views.utterance_terms(spark, sf_dir), "utt_id").select(
         F.substring("utt_id", 1, 1).alias("cluster"), "term", "weight"
     )
 
@@ -232,14 +230,13 @@ def name_clusters(spark, sf_dir):
 
 @query()
 def cluster_texts(spark, sf_dir):
-    clustered, _ = T.cluster_texts(views.stored_cleaned_documents(spark, sf_dir), "cleaned")
+    clustered, _ = T.cluster_texts(views.document_terms(spark, sf_dir))
     return clustered.select("doc_id", "cluster")
 
 
 @query()
 def cluster_categories(spark, sf_dir):
-    rows = views.stored_cleaned_utterances(spark, sf_dir)
-    return T.cluster_categories(rows, "cleaned").select("utt_id", "cluster", "category")
+    return T.cluster_categories(views.utterance_terms(spark, sf_dir)).select("utt_id", "cluster", "category")
 
 
 @query()
@@ -253,7 +250,7 @@ def categorize_pairs(spark, sf_dir):
 def pca_features(spark, sf_dir):
     from pyspark.ml.functions import vector_to_array
 
-    projected = T.pca_features(views.stored_cleaned_documents(spark, sf_dir), "cleaned", 50)
+    projected = T.pca_features(views.document_terms(spark, sf_dir), 50)
     return projected.select(
         "doc_id", F.posexplode(vector_to_array("components")).alias("component", "value")
     )

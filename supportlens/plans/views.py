@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from supportlens import constants as C
 from supportlens.functions.text import clean_text
 from supportlens.operators.conversations import pair_turns
+from supportlens.operators.terms import with_terms
 from supportlens.session import materialize, spread
 from supportlens.sources.messages import criteria_message, order_message
 
@@ -172,11 +173,12 @@ def cleaned_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def stored_cleaned_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cleaned texts written once, for the operators that read them several times."""
-    return materialize(cleaned_documents(spark, sf_dir).select("doc_id", "cleaned"), "cleaned")
+def document_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of the cleaned texts, written once for operators that read them several times."""
+    rows = with_terms(cleaned_documents(spark, sf_dir), "cleaned")
+    return materialize(rows.select("doc_id", "terms"), "terms")
 
 
-def stored_cleaned_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = utterances(spark, sf_dir).select("utt_id", clean_text("text").alias("cleaned"))
-    return materialize(rows, "cleaned")
+def utterance_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = utterances(spark, sf_dir).withColumn("cleaned", clean_text("text"))
+    return materialize(with_terms(rows, "cleaned").select("utt_id", "terms"), "terms")

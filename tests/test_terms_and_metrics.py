@@ -28,8 +28,8 @@ def expected_weights(documents, size):
 
 @pytest.mark.parametrize("size", [1000, 3])
 def test_tfidf_weights(spark, size):
-    frame = spark.createDataFrame(list(enumerate(DOCUMENTS)), "id INT, c STRING")
-    found = {(r.id, r.term): r.weight for r in T.tfidf_weights(frame, "id", "c", size).collect()}
+    frame = T.with_terms(spark.createDataFrame(list(enumerate(DOCUMENTS)), "id INT, c STRING"), "c")
+    found = {(r.id, r.term): r.weight for r in T.tfidf_weights(frame, "id", size).collect()}
     assert found == pytest.approx(expected_weights(DOCUMENTS, size))
 
 
@@ -46,7 +46,7 @@ def test_cluster_names_follow_the_category_order(spark):
 def test_clustering_gives_every_row_a_category(spark):
     texts = ["order track parcel", "return refund item", "pay payment card"] * 8
     frame = spark.createDataFrame(list(enumerate(texts)), "id INT, c STRING")
-    found = T.cluster_categories(frame, "c").collect()
+    found = T.cluster_categories(T.with_terms(frame, "c")).collect()
     assert len(found) == 24
     by_text = {}
     for row in found:

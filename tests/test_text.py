@@ -55,10 +55,15 @@ def test_every_character_is_classified_as_in_python(spark):
         (X.strip("t") == "").alias("stripped"),
         F.col("t").rlike(X.PUNCTUATION_OR_DIGIT).alias("dropped"),
         F.col("t").rlike(X.VIETNAMESE).alias("vietnamese"),
+        (F.size(X.term_tokens(F.concat("t", "t"))) == 1).alias("word"),
+        (F.size(F.regexp_extract_all(F.concat("t", "t"), F.lit(C.WORD_TOKEN), F.lit(0))) == 1).alias("same"),
     ).collect()
     for row in found:
         space = row.t.isspace()
         assert (row.words == 0, row.stripped) == (space, space), hex(ord(row.t))
+        assert row.word == row.same, hex(ord(row.t))
+        if ord(row.t) < 0x300:
+            assert row.word == (row.t.isalnum() or row.t == "_"), hex(ord(row.t))
         assert row.vietnamese == (row.t in C.VIETNAMESE_LETTERS)
         if ord(row.t) < 128:
             assert row.dropped == (row.t in string.punctuation or row.t.isdigit())
