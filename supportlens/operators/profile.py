@@ -209,6 +209,7 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     matrix = values.agg(
         *[F.round(F.corr(a, b), 6).alias(f"_{k}") for k, (a, b) in enumerate(pairs)]
     )
+    matrix = matrix.select(*[F.when(F.col(c) == 0.0, 0.0).otherwise(F.col(c)).alias(c) for c in matrix.columns])
     rows = []
     for k, (a, b) in enumerate(pairs):
         for left, right in {(a, b), (b, a)}:

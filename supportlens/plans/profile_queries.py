@@ -18,6 +18,11 @@ def each(template: str, columns=NUMBERS) -> str:
     return " UNION ALL ".join(template.replace("{c}", c) for c in columns)
 
 
+def _rounded(value: str) -> str:
+    """Six decimals, with one zero instead of two signed ones."""
+    return f"CASE WHEN round({value}, 6) = 0 THEN 0.0 ELSE round({value}, 6) END"
+
+
 MEASURE_COLUMNS = [*NUMBERS, "l_returnflag", "l_linestatus", "return_status"]
 
 
@@ -100,7 +105,7 @@ def class_balance(spark, sf_dir):
 
 def _correlation_sql() -> str:
     return " UNION ALL ".join(
-        f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM measures"
+        f"SELECT '{a}' AS a, '{b}' AS b, {_rounded(f'corr({a}, {b})')} AS r FROM measures"
         for a in NUMBERS
         for b in NUMBERS
     )
@@ -199,20 +204,26 @@ def clip_outliers(spark, sf_dir):
 
 
 def _standard(column: str, table: str) -> str:
-    return f"round(({column} - (SELECT avg({column}) FROM {table})) / (SELECT stddev_pop({column}) FROM {table}), 6)"
+    return _rounded(
+        f"({column} - (SELECT avg({column}) FROM {table})) / (SELECT stddev_pop({column}) FROM {table})"
+    )
 
 
 def _minmax(column: str, table: str) -> str:
-    return (
-        f"round(({column} - (SELECT min({column}) FROM {table}))"
-        f" / (SELECT max({column}) - min({column}) FROM {table}), 6)"
+    return _rounded(
+        f"({column} - (SELECT min({column}) FROM {table})) / (SELECT max({column}) - min({column}) FROM {table})"
     )
 
 
+def _round_columns(df, columns):
+    rounded = {c: F.round(c, 6) for c in columns}
+    return df.withColumns({c: F.when(value == 0.0, 0.0).otherwise(value) for c, value in rounded.items()})
+
+
 @query(f"SELECT event_id, {_standard('value', 'events')} AS value FROM events")
 def standardize(spark, sf_dir):
     rows = views.table(spark, sf_dir, "events").select("event_id", "value")
-    return P.standardize(rows, ["value"]).withColumn("value", F.round("value", 6))
+    return _round_columns(P.standardize(rows, ["value"]), ["value"])
 
 
 @query(
@@ -220,9 +231,7 @@ def standardize(spark, sf_dir):
 )
 def minmax_scale(spark, sf_dir):
     rows = views.table(spark, sf_dir, "events").select("event_id", "value")
-    return P.standardize(rows, ["value"], minmax=True).withColumns(
-        {c: F.round(c, 6) for c in ("value", "value_minmax")}
-    )
+    return _round_columns(P.standardize(rows, ["value"], minmax=True), ["value", "value_minmax"])
 
 
 @query(
@@ -231,9 +240,7 @@ def minmax_scale(spark, sf_dir):
 )
 def scale_features(spark, sf_dir):
     rows = views.table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
-    return P.standardize(rows, ["p_size", "p_retailprice"]).withColumns(
-        {c: F.round(c, 6) for c in ("p_size", "p_retailprice")}
-    )
+    return _round_columns(P.standardize(rows, ["p_size", "p_retailprice"]), ["p_size", "p_retailprice"])
 
 
 @query(
@@ -277,7 +284,7 @@ def _profile_sql() -> str:
 @query(_profile_sql(), "measures")
 def profile_frame(spark, sf_dir):
     cleaned = P.clean_frame(views.measures(spark, sf_dir))
-    return cleaned.withColumns({c: F.round(c, 6) for c in numeric_columns(cleaned)})
+    return _round_columns(cleaned, numeric_columns(cleaned))
 
 
 # --- chart tables -----------------------------------------------------------------------------------------

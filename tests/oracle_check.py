@@ -61,8 +61,9 @@ def compare(spark, connection, query, sql: str | None, sf_dir: str) -> str:
     right = rows_of(columns, result.fetchall())
     if left == right:
         return "" if left else "both empty"
-    only_left = [r for r in left if r not in set(right)][:2]
-    only_right = [r for r in right if r not in set(left)][:2]
+    left_set, right_set = set(left), set(right)
+    only_left = [r for r in left if r not in right_set][:2]
+    only_right = [r for r in right if r not in left_set][:2]
     short = lambda rows: str(rows)[:700]
     return f"{len(left)} rows against {len(right)}; spark only {short(only_left)}; sql only {short(only_right)}"
 
