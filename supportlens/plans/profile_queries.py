@@ -64,7 +64,7 @@ def describe_numeric(spark, sf_dir):
 
 @query(
     each(
-        """SELECT * FROM (SELECT '{c}' AS "column", sum(n) OVER () AS count, count(*) OVER () AS "unique", {c} AS top, n AS freq
+        """SELECT * FROM (SELECT '{c}' AS "column", CAST(sum(n) OVER () AS BIGINT) AS count, count(*) OVER () AS "unique", {c} AS top, n AS freq
                  FROM (SELECT {c}, count(*) AS n FROM records WHERE {c} IS NOT NULL GROUP BY {c})
                  QUALIFY row_number() OVER (ORDER BY n DESC, {c}) = 1)""",
         ["instruction", "category", "intent", "flags"],

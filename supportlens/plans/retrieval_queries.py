@@ -45,12 +45,12 @@ NEAREST_SQL = """
     FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id"""
 TOPK_SQL = f"""
     SELECT query_id, match_id, match_label, distance,
-           row_number() OVER (PARTITION BY query_id ORDER BY distance, match_id) AS rank
+           CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, match_id) AS INT) AS rank
     FROM ({NEAREST_SQL}) QUALIFY rank <= 3"""
 
 
 @query(
-    """SELECT vec_id, i AS position, round(x / norm, 6) AS value
+    """SELECT vec_id, CAST(i AS INT) AS position, round(x / norm, 6) AS value
        FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i,
                     sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda e: e * e))) AS norm
              FROM (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda e: e * (label + 1)) AS embedding
@@ -76,7 +76,7 @@ def vector_topk(spark, sf_dir):
 
 
 @query(
-    f"""SELECT query_id, match_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, match_id) AS rank
+    f"""SELECT query_id, match_id, distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, match_id) AS INT) AS rank
         FROM ({NEAREST_SQL.replace('FROM embeddings q JOIN embeddings c', f'FROM (SELECT *, {CATEGORY_OF_LABEL_SQL} AS category FROM embeddings) q JOIN (SELECT *, {CATEGORY_OF_LABEL_SQL} AS category FROM embeddings) c')}
               AND (q.category = c.category OR q.category = 'general')) QUALIFY rank <= 3"""
 )
@@ -110,7 +110,7 @@ def _prompt_sql() -> str:
             SELECT vec_id AS query_id, text AS message, {CATEGORY_OF_LABEL_SQL} AS intent,
                    {O.language('text')} AS language, {O.sentiment("coalesce(raw_sentiment, '')")} AS sentiment
             FROM embeddings JOIN documents ON doc_id = vec_id LEFT JOIN model_outputs ON out_id = vec_id)
-        SELECT query_id, md5(prompt) AS prompt_md5, length(prompt) AS prompt_length FROM (
+        SELECT query_id, md5(prompt) AS prompt_md5, CAST(length(prompt) AS INT) AS prompt_length FROM (
             SELECT query_id, 'System: ' || {system}
                    || CASE sentiment WHEN 'negative' THEN chr(10) || {O.quote(C.NEGATIVE_PROMPT_LINE)}
                            WHEN 'positive' THEN chr(10) || {O.quote(C.POSITIVE_PROMPT_LINE)} ELSE '' END
@@ -163,7 +163,7 @@ def _short_prompt_sql() -> str:
         WITH context AS (
             SELECT query_id, string_agg(text, chr(10) ORDER BY rank) AS context
             FROM ({TOPK_SQL}) JOIN documents ON doc_id = match_id GROUP BY query_id)
-        SELECT query_id, md5(prompt) AS prompt_md5, length(prompt) AS prompt_length FROM (
+        SELECT query_id, md5(prompt) AS prompt_md5, CAST(length(prompt) AS INT) AS prompt_length FROM (
             SELECT query_id, {O.quote(C.SHORT_PROMPT_LINES[0])} || {gap} || {gap} || 'Context:' || {gap} || context
                    || {gap} || {gap} || 'User message: ' || text || {gap} || {gap} || 'Response:' AS prompt
             FROM context JOIN documents ON doc_id = query_id)"""
@@ -204,7 +204,7 @@ def _utterance_weights(spark, sf_dir):
 
 TOP_TERMS_SQL = f"""
     SELECT cluster, term, round(sum(weight), 6) AS weight,
-           row_number() OVER (PARTITION BY cluster ORDER BY round(sum(weight), 6) DESC, term) AS rank
+           CAST(row_number() OVER (PARTITION BY cluster ORDER BY round(sum(weight), 6) DESC, term) AS INT) AS rank
     FROM (SELECT substr(utt_id, 1, 1) AS cluster, term, weight FROM weights)
     GROUP BY cluster, term QUALIFY rank <= 10"""
 

@@ -105,7 +105,7 @@ def group_examples(spark, sf_dir):
 
 
 @query(
-    """SELECT category, qa_id, question, row_number() OVER (PARTITION BY category ORDER BY qa_id) AS rank,
+    """SELECT category, qa_id, question, CAST(row_number() OVER (PARTITION BY category ORDER BY qa_id) AS INT) AS rank,
               greatest(count(*) OVER (PARTITION BY category) - 3, 0) AS more
        FROM qa QUALIFY rank <= 3""",
     "qa",
@@ -145,8 +145,8 @@ def preprocess_records(spark, sf_dir):
     f"""WITH question AS ({O.clean_table('qa', 'qa_id', 'question')}),
              answer AS ({O.clean_table('qa', 'qa_id', 'answer')})
         SELECT qa_id, question, answer, category, source, q.cleaned AS question_clean, a.cleaned AS answer_clean,
-               coalesce(len({O.words('question')}), 0) AS question_length,
-               coalesce(len({O.words('answer')}), 0) AS answer_length,
+               CAST(coalesce(len({O.words('question')}), 0) AS INT) AS question_length,
+               CAST(coalesce(len({O.words('answer')}), 0) AS INT) AS answer_length,
                array_to_string({O.entities('question')}, ',') AS entities
         FROM qa JOIN question q USING (qa_id) JOIN answer a USING (qa_id)""",
     "qa",
@@ -379,9 +379,9 @@ def weighted_metrics(spark, sf_dir):
 @query(
     f"""WITH s AS ({SCORES_SQL})
         SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM s
-        UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), sum(support) FROM s
+        UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), CAST(sum(support) AS BIGINT) FROM s
         UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6),
-               round(sum(recall * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6), sum(support) FROM s""",
+               round(sum(recall * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM s""",
     "predictions",
 )
 def class_report(spark, sf_dir):
@@ -417,7 +417,7 @@ def run_history_summary(spark, sf_dir):
            SELECT vec_id, i - 1 AS class_id,
                   exp(CAST(embedding[i] AS DOUBLE)) / sum(exp(CAST(embedding[i] AS DOUBLE))) OVER (PARTITION BY vec_id) AS p
            FROM embeddings, (SELECT unnest(range(1, 11)) AS i))
-       SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, class_id) AS rank, class_id,
+       SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, class_id) AS INT) AS rank, CAST(class_id AS INT) AS class_id,
               round(p, 6) AS confidence
        FROM scores QUALIFY rank <= 3"""
 )

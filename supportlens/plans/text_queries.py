@@ -258,13 +258,13 @@ def clean_text(spark, sf_dir):
 
 
 @query(
-    f"SELECT doc_id, coalesce(len({O.words('text')}), 0) AS n_words FROM documents"
+    f"SELECT doc_id, CAST(coalesce(len({O.words('text')}), 0) AS INT) AS n_words FROM documents"
 )
 def word_count(spark, sf_dir):
     return _documents(spark, sf_dir).select("doc_id", X.word_count("text").alias("n_words"))
 
 
-@query("SELECT doc_id, length(text) AS n FROM documents")
+@query("SELECT doc_id, CAST(length(text) AS INT) AS n FROM documents")
 def char_length(spark, sf_dir):
     return _documents(spark, sf_dir).select("doc_id", X.char_length("text").alias("n"))
 
@@ -481,7 +481,7 @@ def top_sentiments(spark, sf_dir):
 @query(
     """SELECT count(*) AS total_samples, count(DISTINCT category) AS unique_categories,
               count(DISTINCT intent) AS unique_intents, round(avg(length(instruction)), 6) AS avg_text_length,
-              max(length(instruction)) AS max_text_length FROM records""",
+              CAST(max(length(instruction)) AS INT) AS max_text_length FROM records""",
     "records",
 )
 def basic_stats(spark, sf_dir):
