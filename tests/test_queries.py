@@ -45,6 +45,23 @@ def test_filters_reach_the_scan(spark):
     assert "EqualTo(role,user)" in plan
 
 
+@pytest.mark.parametrize("name", ["examples_per_category", "vector_topk", "top_terms_per_cluster"])
+def test_groups_are_cut_before_the_shuffle(spark, name):
+    plan = catalog.QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Exchange hashpartitioning(?s:.)*WindowGroupLimit .*Partial", plan)
+
+
+@pytest.mark.parametrize("name", ["last_user_message", "dedupe_keep_first", "average_rating"])
+def test_copies_collapse_before_the_shuffle(spark, name):
+    plan = catalog.QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Exchange hashpartitioning(?s:.)*partial_m(ax|in)_by", plan)
+
+
+def test_totals_are_subqueries_not_joins(spark):
+    plan = catalog.QUERIES["value_shares"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "Subquery" in plan and "Join" not in plan
+
+
 def test_entry_points(spark):
     import __spark_entry__ as entry
 

@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from supportlens.operators import conversations as V, retrieval as R
 
