@@ -98,16 +98,25 @@ def group_examples(
     )
 
 
-def average_rating(feedback: DataFrame) -> DataFrame:
+def latest_ratings(feedback: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
+    """Latest valid rating per session, of the sessions given only.
+
+    Sessions are reduced to one row before the join, so a busy one is no burden there.
+    """
+    latest = latest_by_session(valid_ratings(feedback))
+    return latest if sessions is None else known_sessions(latest, sessions)
+
+
+def average_rating(feedback: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
     """Mean of the latest valid rating per session; null when there is none."""
-    return latest_by_session(valid_ratings(feedback)).agg(
+    return latest_ratings(feedback, sessions).agg(
         F.round(F.avg("rating"), 6).alias("average_rating")
     )
 
 
 def satisfaction_rate(feedback: DataFrame, satisfied_from: int = 4) -> DataFrame:
     """Percent of sessions whose latest valid rating is ``satisfied_from`` or more."""
-    return latest_by_session(valid_ratings(feedback)).agg(
+    return latest_ratings(feedback).agg(
         F.round(
             F.avg(F.when(F.col("rating") >= satisfied_from, 100.0).otherwise(0.0)), 6
         ).alias("satisfaction_percent")
@@ -142,7 +151,7 @@ def conversation_analytics(
     """
     total = turns.agg(F.countDistinct("conv_id").cast("double").alias("value"))
     sessions = turns.select(F.col("conv_id").alias("session_id"))
-    rating = average_rating(known_sessions(feedback, sessions)).withColumnRenamed("average_rating", "value")
+    rating = average_rating(feedback, sessions).withColumnRenamed("average_rating", "value")
     labels = label_last_messages(turns, model_outputs).select(
         F.explode(
             F.array(
@@ -188,19 +197,27 @@ def response_times(
     )
 
 
-def common_issues(feedback: DataFrame, turns: DataFrame, n: int = 10, unhappy_to: int = 2) -> DataFrame:
+def common_issues(
+    feedback: DataFrame, turns: DataFrame, n: int = 10, unhappy_to: int = 2, salts: int = 16
+) -> DataFrame:
     """Most frequent cleaned words in the user turns of sessions rated ``unhappy_to`` or less.
 
-    A word counts once per session, so long conversations do not dominate.
+    A word counts once per session, so long conversations do not dominate. The turns
+    of a session are joined in ``salts`` parts, so a long one does not hold up a task.
     """
     unhappy = (
-        latest_by_session(valid_ratings(feedback))
+        latest_ratings(feedback)
         .where(F.col("rating") <= unhappy_to)
-        .select(F.col("session_id").alias("conv_id"))
+        .select(
+            F.col("session_id").alias("conv_id"),
+            F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"),
+        )
     )
+    salt = F.pmod(F.xxhash64("turn"), F.lit(salts)).cast("int")
     words = (
         filter_user_turns(turns)
-        .join(unhappy, "conv_id", "left_semi")
+        .withColumn("_salt", salt)
+        .join(unhappy, ["conv_id", "_salt"], "left_semi")
         .select("conv_id", F.explode(F.split(X.clean_text("text"), " ")).alias("word"))
         .where(F.col("word") != "")
         .distinct()
