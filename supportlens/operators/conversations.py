@@ -43,21 +43,24 @@ def pair_turns(turns: DataFrame, block_size: int = BLOCK) -> DataFrame:
     )
 
 
+def _nested(blocked: DataFrame) -> DataFrame:
+    message = F.struct("turn", "role", "text")
+    return blocked.groupBy("conv_id", "block").agg(
+        F.array_sort(F.collect_list(message)).alias("messages")
+    )
+
+
 def message_blocks(turns: DataFrame, block_size: int = BLOCK) -> DataFrame:
     """Nested conversations: ordered message lists of at most ``block_size`` messages.
 
     A conversation up to that length is one row (block 0).
     """
-    message = F.struct("turn", "role", "text")
-    return turns.groupBy("conv_id", _block("turn", block_size).alias("block")).agg(
-        F.array_sort(F.collect_list(message)).alias("messages")
-    )
+    return _nested(turns.withColumn("block", _block("turn", block_size)))
 
 
 def history_before_last(turns: DataFrame, block_size: int = BLOCK) -> DataFrame:
     """The history handed over with the last message: everything but the final turn."""
-    earlier = with_next_turn(turns, block_size).where(F.col("next_row").isNotNull())
-    return message_blocks(earlier.drop("next_row"), block_size)
+    return _nested(with_next_turn(turns, block_size).where(F.col("next_row").isNotNull()))
 
 
 def group_pairs(

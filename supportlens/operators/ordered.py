@@ -10,6 +10,8 @@ def with_next_row(
 ) -> DataFrame:
     """Add ``next_row``, a struct of the following row of the group, null at its end.
 
+    The result also has ``block`` and is partitioned by (keys, block).
+
     ``block`` must grow with ``order``, which is unique in a group. The window runs
     per (keys, block), so a huge group is spread over many tasks. The end of a block
     then looks up the first row of the next one: block starts come from an aggregate
@@ -17,25 +19,25 @@ def with_next_row(
     """
     row = F.struct(*order, *columns)
     position = F.col(order[0]) if len(order) == 1 else F.struct(*order)
-    blocked = df.withColumn("_block", block)
-    inside = Window.partitionBy(*keys, "_block").orderBy(*order)
-    starts = blocked.groupBy(*keys, "_block").agg(F.min(position).alias("_start"))
+    blocked = df.withColumn("block", block)
+    inside = Window.partitionBy(*keys, "block").orderBy(*order)
+    starts = blocked.groupBy(*keys, "block").agg(F.min(position).alias("_start"))
     following = (
-        starts.withColumn("_position", F.lead("_start").over(Window.partitionBy(*keys).orderBy("_block")))
+        starts.withColumn("_position", F.lead("_start").over(Window.partitionBy(*keys).orderBy("block")))
         .where(F.col("_position").isNotNull())
-        .select(*keys, "_block", "_position")
+        .select(*keys, "block", "_position")
     )
     fetched = (
         df.select(*keys, position.alias("_position"), row.alias("_row"))
         .join(following, [*keys, "_position"])
-        .groupBy(*keys, "_block")
+        .groupBy(*keys, "block")
         .agg(F.min("_row").alias("_carried"))
     )
     return (
         blocked.withColumn("_next", F.lead(row).over(inside))
-        .join(fetched, [*keys, "_block"], "left")
+        .join(fetched, [*keys, "block"], "left")
         .withColumn("next_row", F.coalesce("_next", "_carried"))
-        .drop("_block", "_next", "_carried")
+        .drop("_next", "_carried")
     )
 
 
