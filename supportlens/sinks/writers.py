@@ -10,7 +10,10 @@ from supportlens.operators.lookups import latest_by_session
 def write_csv_dated(df: DataFrame, folder: str, day: str, prefix: str = "combined_data_") -> str:
     """CSV under a name that ends in the day (yyyyMMdd)."""
     path = f"{folder}/{prefix}{day}"
-    df.write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="")
+    df.write.mode("overwrite").csv(
+        path, header=True, quote='"', escape='"', emptyValue="",
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    )
     return path
 
 
