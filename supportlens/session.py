@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 from functools import cache
@@ -31,13 +33,32 @@ def build_session(master: str | None = None, app: str = "supportlens", **extra)
         builder = builder.config(key, value)
     for key, value in extra.items():
         builder = builder.config(key.replace("_", "."), value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
 
 
 def apply_settings(spark: SparkSession) -> SparkSession:
     """Give a session built elsewhere the settings above."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    return ship_package(spark)
+
+
+@cache
+def _archive() -> str:
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    target = os.path.join(tempfile.mkdtemp(prefix="supportlens-package-"), "supportlens")
+    return shutil.make_archive(target, "zip", root, "supportlens")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Give this package to the workers, once per application; the driver serves the archive."""
+    application = spark.sparkContext.applicationId
+    if application not in _SHIPPED:
+        spark.sparkContext.addPyFile(_archive())
+        _SHIPPED.add(application)
     return spark
 
 
