@@ -56,7 +56,11 @@ def _covered(places: Column) -> Column:
 
 
 def with_counts(docs: DataFrame) -> DataFrame:
-    """Add the struct ``_q`` of counts over the whole text; null text has no words."""
+    """Add the struct ``_q`` of counts over the whole text; null text has no words.
+
+    The counts pass through a generator of one row, below which Spark pushes no filter: a
+    filter on them would otherwise take them again for every word.
+    """
     text = text_of()
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(rf"[^{BLANKS}]"))
     return (
@@ -64,7 +68,7 @@ def with_counts(docs: DataFrame) -> DataFrame:
         .withColumn("_windows", F.sort_array(_n_repeat_words(F.col("_words"))))
         .withColumn("_places", _repeated_places(F.col("_windows")))
         .withColumn(
-            "_q",
+            "_counts",
             F.struct(
                 F.size("_words").cast("long").alias("n_words"),
                 F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
@@ -77,7 +81,8 @@ def with_counts(docs: DataFrame) -> DataFrame:
                 F.regexp_count(text, F.lit(PLAIN_WORD)).cast("long").alias("n_plain"),
             ),
         )
-        .drop("_words", "_windows", "_places")
+        .withColumn("_q", F.explode(F.array("_counts")))
+        .drop("_words", "_windows", "_places", "_counts")
     )
 
 
