@@ -73,7 +73,10 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) ->
     shared = materialize(seen.groupBy("digest").count().where("count > 1").select("digest"), "shared-digests")
     if not shared.isEmpty():
         recipes = _ranked_recipes(docs, recipes, shared, digest)
-    groups = recipes.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # Written, so that the join gets two shuffles and Spark can split a large group.
+    groups = materialize(
+        recipes.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups"
+    )
     return recipes.join(groups, "recipe").select(
         "doc_id",
         "keep_id",

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from supportlens.llm.common import text_of
-from supportlens.session import work_folder
+from supportlens.session import materialize, work_folder
 
 Span = tuple[str, int, int]
 
@@ -100,11 +100,13 @@ def scan_versions(versions: DataFrame, ledger: str | None = None, packs=PACKS) -
     same = (F.col("blob") == F.col("_blob")) & F.col("doc_id").eqNullSafe(F.col("holder"))
     unseen = held.join(pending, same).select("blob", "packs", "text")
     unseen.mapInPandas(_scanner(packs), LEDGER_SCHEMA).write.mode("append").parquet(folder)
-    found = (
+    # Written, so that the join gets two shuffles and Spark can split a blob with many paths.
+    found = materialize(
         _ledger(spark, folder)
         .where(F.col("pack").isin(*packs) & (F.size("findings") > 0))
         .groupBy("blob")
-        .agg(F.flatten(F.collect_list("findings")).alias("findings"))
+        .agg(F.flatten(F.collect_list("findings")).alias("findings")),
+        "findings",
     )
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
     return paths.join(found, "blob", "left").select("doc_id", "blob", F.coalesce("findings", none).alias("findings"))
