@@ -8,14 +8,17 @@ All pairs under the threshold meet in a bucket. Links are confirmed on whole shi
 
 Equal sets count as one text. In a bucket, a text proposes its nearest neighbours first;
 once their links are confirmed and components known, all pairs under the threshold that still
-join different components are proposed. So no link between components is lost, and a group of
-copies costs about as many links as it has texts.
+join different components are compared. So no link between components is lost, and a group of
+copies costs about as many links as it has texts. That last step takes the sets to the
+buckets and returns links, so the pairs themselves are never rows; a bucket of many texts is
+cut into blocks, and tasks hold two blocks at a time.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,8 @@ SIMILARITY = 75
 NEAREST = 2
 #: Cells of the distance table that a task holds at a time.
 CELLS = 1 << 18
+#: Rows of a bucket from which it is cut into blocks.
+BLOCK_ROWS = 4096
 
 _RNG = np.random.default_rng(72)
 _MULTIPLY = _RNG.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -44,6 +49,9 @@ SIGNED = pa.schema(
     [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("signature", pa.binary())]
 )
 KEYED = pa.schema([("key", pa.int64()), ("doc", pa.int64())])
+PLACED = pa.schema(
+    [("key", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("doc", pa.int64()), ("block", pa.int32())]
+)
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 SETS = pa.schema([("doc", pa.int64()), ("hashes", pa.binary())])
 
@@ -94,79 +102,173 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(docs)], schema=KEYED)
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows of one key at a time, from rows sorted by key."""
+def _whole_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted rows cut between groups of equal ``names`` only, and the borders of the groups."""
     kept: list[pa.RecordBatch] = []
+
+    def borders(table: pa.Table) -> np.ndarray:
+        new = np.zeros(max(0, table.num_rows - 1), dtype=bool)
+        for name in names:
+            column = table.column(name).to_numpy()
+            new |= column[1:] != column[:-1]
+        return np.concatenate(([0], np.flatnonzero(new) + 1, [table.num_rows]))
+
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = batch.column("key").to_numpy()
-        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-        for start, end in zip(cuts, cuts[1:], strict=False):
-            part = batch.slice(start, end - start)
-            if kept and kept[-1].column("key")[0] != part.column("key")[0]:
-                yield pa.Table.from_batches(kept)
-                kept = []
-            kept.append(part)
+        if kept and all(kept[0].column(n)[0] == batch.column(n)[batch.num_rows - 1] for n in names):
+            kept.append(batch)
+            continue
+        table = pa.Table.from_batches([*kept, batch])
+        cuts = borders(table)
+        if len(cuts) > 2:
+            yield table.slice(0, cuts[-2]), cuts[:-1]
+        kept = table.slice(cuts[-2]).to_batches()
     if kept:
-        yield pa.Table.from_batches(kept)
+        table = pa.Table.from_batches(kept)
+        yield table, borders(table)
+
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of the keys that several documents have, with their number."""
+    for table, borders in _whole_groups(batches, ["key"]):
+        sizes = np.repeat(np.diff(borders), np.diff(borders))
+        several = table.append_column("size", pa.array(sizes, pa.int64())).filter(pa.array(sizes > 1))
+        yield from several.select(["key", "doc", "size"]).to_batches()
 
-def _nearest(matrix: np.ndarray, sizes: np.ndarray, limit: int | None, parts: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Pairs (earlier, later) of rows within the distance and of sizes that allow a link.
 
-    With a limit only that many nearest earlier rows each; rows of one part are not paired.
+def _allowed(bucket: Bucket, rows: slice) -> tuple[np.ndarray, np.ndarray]:
+    """Distances of these rows to the rows before the last of them, and which pairs to propose.
+
+    A pair is proposed in the first bucket that it shares, by chunk and gap; within the
+    distance; if the sizes of the sets allow a link; and not within one component or, where
+    a bucket is cut into blocks, within one block that meets another.
     """
-    n = len(matrix)
-    step = max(1, CELLS // n)
-    for start in range(1, n, step):
-        rows = slice(start, min(n, start + step))
-        upto = rows.stop
-        distance = np.zeros((upto - start, upto), dtype=np.int16)
-        for j in range(SYMBOLS):
-            distance += matrix[rows, j][:, None] != matrix[:upto, j][None, :]
-        later = np.arange(start, upto)[:, None]
-        small, large = np.minimum(sizes[rows][:, None], sizes[:upto]), np.maximum(sizes[rows][:, None], sizes[:upto])
-        allowed = (
-            (distance <= MAX_DISTANCE)
-            & (np.arange(upto) < later)
-            & (100 * small >= SIMILARITY * large)
-            & (parts[rows][:, None] != parts[:upto])
-        )
-        if limit is None:
+    upto = rows.stop
+    chunk, gap = divmod(int(bucket.key) >> 48, CHUNK)
+    left, right = bucket.matrix[rows], bucket.matrix[:upto]
+    distance = np.zeros((len(left), upto), dtype=np.int16)
+    owned = np.ones(distance.shape, dtype=bool)
+    for c in range(CHUNKS):
+        differing = np.zeros(distance.shape, dtype=np.int16)
+        for j in range(c * CHUNK, (c + 1) * CHUNK):
+            differing += left[:, j, None] != right[None, :, j]
+        distance += differing
+        if c < chunk:
+            owned &= differing > 1
+        elif c == chunk and gap:
+            owned &= differing == 1
+    sizes, parts = bucket.sizes, bucket.parts
+    small, large = np.minimum(sizes[rows, None], sizes[:upto]), np.maximum(sizes[rows, None], sizes[:upto])
+    allowed = owned & (distance <= MAX_DISTANCE) & (100 * small >= SIMILARITY * large)
+    allowed &= (np.arange(upto) < np.arange(rows.start, upto)[:, None]) & (parts[rows, None] != parts[:upto])
+    if bucket.low != bucket.high:
+        allowed &= bucket.blocks[rows, None] != bucket.blocks[:upto]
+    return distance, allowed
+
+
+class Bucket(NamedTuple):
+    key: int
+    low: int
+    high: int
+    docs: np.ndarray
+    sizes: np.ndarray
+    parts: np.ndarray
+    blocks: np.ndarray
+    matrix: np.ndarray
+    sets: list | None
+
+    def slices(self) -> Iterator[slice]:
+        n = len(self.docs)
+        step = max(1, CELLS // n)
+        return (slice(start, min(n, start + step)) for start in range(0, n, step))
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[Bucket]:
+    """Buckets, or pairs of their blocks, that hold more than one component."""
+    for table, borders in _whole_groups(batches, ["key", "low", "high"]):
+        number = {n: table.column(n).to_numpy() for n in ("key", "low", "high", "doc", "n_shingles", "part", "block")}
+        parts = number["part"]
+        mixed_parts = np.minimum.reduceat(parts, borders[:-1]) != np.maximum.reduceat(parts, borders[:-1])
+        signed = table.column("signature")
+        hashes = table.column("hashes") if "hashes" in table.column_names else None
+        for i in np.flatnonzero(mixed_parts):
+            rows = slice(int(borders[i]), int(borders[i + 1]))
+            n = rows.stop - rows.start
+            yield Bucket(
+                *(number[k][rows.start] for k in ("key", "low", "high")),
+                *(number[k][rows] for k in ("doc", "n_shingles", "part", "block")),
+                _as_matrix(signed.slice(rows.start, n)),
+                hashes.slice(rows.start, n).to_pylist() if hashes is not None else None,
+            )
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    rows = np.array(found, dtype=np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(rows.min(axis=1)), pa.array(rows.max(axis=1))], schema=PAIRS)
+
+
+def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text of a bucket the pairs with its nearest texts before it."""
+    found: list[tuple[int, int]] = []
+    for bucket in _buckets(batches):
+        for rows in bucket.slices():
+            distance, allowed = _allowed(bucket, rows)
+            for _ in range(NEAREST):
+                ranked = np.where(allowed, distance, np.int16(SYMBOLS + 1))
+                best = ranked.argmin(axis=1)
+                for i in np.flatnonzero(allowed[np.arange(len(best)), best]):
+                    allowed[i, best[i]] = False
+                    found.append((bucket.docs[best[i]], bucket.docs[rows.start + i]))
+        if len(found) > 100_000:
+            yield _pairs(found)
+            found = []
+    yield _pairs(found)
+
+
+def _taking_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of buckets that are in any pair to propose."""
+    for bucket in _buckets(batches):
+        wanted = np.zeros(len(bucket.docs), dtype=bool)
+        for rows in bucket.slices():
+            _, allowed = _allowed(bucket, rows)
+            wanted[rows] |= allowed.any(axis=1)
+            wanted[: rows.stop] |= allowed.any(axis=0)
+        if wanted.any():
+            n = int(wanted.sum())
+            arrays = [pa.array(np.full(n, x)) for x in (bucket.key, bucket.low, bucket.high)]
+            arrays += [pa.array(bucket.docs[wanted]), pa.array(bucket.blocks[wanted])]
+            yield pa.RecordBatch.from_arrays(arrays, schema=PLACED)
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Confirmed links that join components in a bucket; pairs already joined there are skipped."""
+    for bucket in _buckets(batches):
+        sets = [np.frombuffer(held, dtype="<u8") for held in bucket.sets]
+        root = {int(p): int(p) for p in bucket.parts}
+
+        def top(p: int, root=root) -> int:
+            while root[p] != p:
+                root[p] = root[root[p]]
+                p = root[p]
+            return p
+
+        found = []
+        for rows in bucket.slices():
+            _, allowed = _allowed(bucket, rows)
             for i, k in zip(*np.nonzero(allowed), strict=True):
-                yield int(k), start + int(i)
-            continue
-        for _ in range(limit):
-            ranked = np.where(allowed, distance, np.int16(SYMBOLS + 1))
-            best = ranked.argmin(axis=1)
-            for i in np.flatnonzero(ranked[np.arange(len(best)), best] <= SYMBOLS):
-                allowed[i, best[i]] = False
-                yield int(best[i]), start + int(i)
-
-
-def _propose(limit: int | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: set[tuple[int, int]] = set()
-        for bucket in _runs(batches):
-            parts = bucket.column("part").to_numpy()
-            if (parts == parts[0]).all():
-                continue
-            docs = bucket.column("doc").to_numpy()
-            matrix = _as_matrix(bucket.column("signature"))
-            for i, k in _nearest(matrix, bucket.column("n_shingles").to_numpy(), limit, parts):
-                found.add((int(min(docs[i], docs[k])), int(max(docs[i], docs[k]))))
-            if len(found) > 100_000:
-                yield _pairs(found)
-                found = set()
-        yield _pairs(found)
-
-    return run
-
-
-def _pairs(found: set[tuple[int, int]]) -> pa.RecordBatch:
-    rows = np.array(sorted(found), dtype=np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], schema=PAIRS)
+                p, q = top(int(bucket.parts[rows.start + i])), top(int(bucket.parts[k]))
+                if p != q and _linked(sets[k], sets[rows.start + i]):
+                    root[max(p, q)] = min(p, q)
+                    found.append((bucket.docs[k], bucket.docs[rows.start + i]))
+        if found:
+            yield _pairs(found)
+
+
+def _linked(p: np.ndarray, q: np.ndarray) -> bool:
+    at = np.minimum(np.searchsorted(q, p), len(q) - 1)
+    common = int(np.count_nonzero(q[at] == p))
+    return 100 * common >= SIMILARITY * (len(p) + len(q) - common)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,20 +283,22 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        linked = []
-        for x, y in zip(batch.column("first"), batch.column("second"), strict=True):
-            p, q = (np.frombuffer(side.as_buffer(), dtype="<u8") for side in (x, y))
-            at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-            common = int(np.count_nonzero(q[at] == p))
-            linked.append(100 * common >= SIMILARITY * (len(p) + len(q) - common))
+        linked = [
+            _linked(*(np.frombuffer(side.as_buffer(), dtype="<u8") for side in pair))
+            for pair in zip(batch.column("first"), batch.column("second"), strict=True)
+        ]
         yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs that are links, by the whole sets of the documents that occur in them."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc, hashes) of the documents in ``wanted`` (doc)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), text_of().alias("text")).where("doc IS NOT NULL")
-    sets = texts.join(wanted, "doc", "left_semi").mapInArrow(_sets, "doc long, hashes binary")
+    return texts.join(wanted.distinct(), "doc", "left_semi").mapInArrow(_sets, "doc long, hashes binary")
+
+
+def _confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs that are links, by whole sets."""
+    sets = _whole_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc")))
     first = sets.select(F.col("doc").alias("a"), F.col("hashes").alias("first"))
     second = sets.select(F.col("doc").alias("b"), F.col("hashes").alias("second"))
     return pairs.join(first, "a").join(second, "b").mapInArrow(_confirm, "a long, b long").distinct()
@@ -229,18 +333,25 @@ def components(links: DataFrame) -> DataFrame:
         labels = labels.drop("changed")
 
 
-def _proposed(shared: DataFrame, signed: DataFrame, limit: int | None) -> DataFrame:
-    """Candidate pairs from buckets; ``signed`` has doc, n_shingles, signature and part."""
-    rows = shared.join(signed, "doc").select("key", "doc", "n_shingles", "signature", "part")
-    n = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = rows.repartition(n, "key").sortWithinPartitions("key", "doc")
-    return buckets.mapInArrow(_propose(limit), "a long, b long").distinct()
+def _placed(shared: DataFrame) -> DataFrame:
+    """Rows of buckets cut into blocks: each row goes to the pairs of its block with all others."""
+    blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
+    block = F.pmod(F.xxhash64("doc"), blocks).cast("int")
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    return (
+        shared.withColumn("block", block)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .select("key", low.alias("low"), high.alias("high"), "doc", "block")
+    )
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for bucket in _runs(batches):
-        if bucket.num_rows > 1:
-            yield from bucket.select(["key", "doc"]).to_batches()
+def _in_buckets(placed: DataFrame, *tables: DataFrame) -> DataFrame:
+    """``placed`` with the columns that ``tables`` hold by doc, sorted by bucket."""
+    for table in tables:
+        placed = placed.join(table, "doc")
+    n = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["key", "low", "high"]
+    return placed.repartition(n, *order).sortWithinPartitions(*order, "doc")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -276,14 +387,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = first.select("doc", "signature").mapInArrow(_index, "key long, doc long")
     sorted_keys = keys.repartition(n, "key").sortWithinPartitions("key", "doc")
-    shared = materialize(sorted_keys.mapInArrow(_shared, "key long, doc long"), "shared-keys")
-    near = materialize(_proposed(shared, first, NEAREST), "near-pairs")
-    links = materialize(_confirmed(docs, near), "near-links")
+    shared = materialize(sorted_keys.mapInArrow(_shared, "key long, doc long, size long"), "shared-keys")
+    pairs = _in_buckets(_placed(shared), first).mapInArrow(_nearest, "a long, b long").distinct()
+    links = materialize(_confirmed(docs, materialize(pairs, "near-pairs")), "near-links")
     parts = components(links)
     labelled = first.drop("part").join(parts, "doc", "left").withColumn("part", F.coalesce("part", "doc"))
-    rest = materialize(_proposed(shared, labelled, None).join(near, ["a", "b"], "left_anti"), "other-pairs")
-    if not rest.isEmpty():
-        parts = components(links.union(_confirmed(docs, rest)))
+    labelled = materialize(labelled, "labelled")
+    rest = _in_buckets(_placed(shared), labelled).mapInArrow(
+        _taking_part, "key long, low int, high int, doc long, block int"
+    )
+    rest = materialize(rest, "unsettled")
+    whole = _whole_sets(docs, rest.select("doc"))
+    joining = materialize(
+        _in_buckets(rest, labelled, whole).mapInArrow(_joined, "a long, b long").distinct(), "joining-links"
+    )
+    if not joining.isEmpty():
+        parts = components(links.union(joining))
     named = sets.join(parts, "doc", "left").select("set_id", F.coalesce("part", "doc").alias("part"))
     component = F.when(F.col("n_shingles") > 0, F.col("part")).otherwise(F.col("doc_id"))
     return signed.join(named, "set_id", "left").select(

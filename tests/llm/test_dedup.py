@@ -92,8 +92,10 @@ def test_components_match_all_pairs(request, name):
             assert r["kept"] == (r["doc_id"] == r["component_id"])
 
 
-def test_large_group_of_near_copies(spark):
+@pytest.mark.parametrize("block_rows", [4096, 16])
+def test_large_group_of_near_copies(spark, monkeypatch, block_rows):
     """A chain: neighbours are linked, the ends share nothing; and copies that differ at random."""
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", block_rows)
     chain = [(1000 - i, " ".join(f"w{k}" for k in range(4 * i, 4 * i + 100))) for i in range(60)]
     base = [f"b{k}" for k in range(120)]
     copies = []
