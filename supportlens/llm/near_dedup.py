@@ -209,17 +209,24 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each text of a bucket the pairs with its nearest texts before it."""
+    """Of each text of a bucket the pairs with its nearest texts before it.
+
+    A text that is in any pair to compare is also returned with itself.
+    """
     found: list[tuple[int, int]] = []
     for bucket in _buckets(batches):
+        wanted = np.zeros(len(bucket.docs), dtype=bool)
         for rows in bucket.slices():
             distance, allowed = _allowed(bucket, rows)
+            wanted[rows] |= allowed.any(axis=1)
+            wanted[: rows.stop] |= allowed.any(axis=0)
             for _ in range(NEAREST):
                 ranked = np.where(allowed, distance, np.int16(SYMBOLS + 1))
                 best = ranked.argmin(axis=1)
                 for i in np.flatnonzero(allowed[np.arange(len(best)), best]):
                     allowed[i, best[i]] = False
                     found.append((bucket.docs[best[i]], bucket.docs[rows.start + i]))
+        found += [(doc, doc) for doc in bucket.docs[wanted]]
         if len(found) > 100_000:
             yield _pairs(found)
             found = []
@@ -296,9 +303,8 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.join(wanted.distinct(), "doc", "left_semi").mapInArrow(_sets, "doc long, hashes binary")
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs that are links, by whole sets."""
-    sets = _whole_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc")))
     first = sets.select(F.col("doc").alias("a"), F.col("hashes").alias("first"))
     second = sets.select(F.col("doc").alias("b"), F.col("hashes").alias("second"))
     return pairs.join(first, "a").join(second, "b").mapInArrow(_confirm, "a long, b long").distinct()
@@ -388,8 +394,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     keys = first.select("doc", "signature").mapInArrow(_index, "key long, doc long")
     sorted_keys = keys.repartition(n, "key").sortWithinPartitions("key", "doc")
     shared = materialize(sorted_keys.mapInArrow(_shared, "key long, doc long, size long"), "shared-keys")
-    pairs = _in_buckets(_placed(shared), first).mapInArrow(_nearest, "a long, b long").distinct()
-    links = materialize(_confirmed(docs, materialize(pairs, "near-pairs")), "near-links")
+    pairs = materialize(
+        _in_buckets(_placed(shared), first).mapInArrow(_nearest, "a long, b long").distinct(), "near-pairs"
+    )
+    # Later pairs are among the same documents, so texts are read once for their sets.
+    whole = materialize(_whole_sets(docs, pairs.where("a = b").select(F.col("a").alias("doc"))), "whole-sets")
+    links = materialize(_confirmed(pairs.where("a < b"), whole), "near-links")
     parts = components(links)
     labelled = first.drop("part").join(parts, "doc", "left").withColumn("part", F.coalesce("part", "doc"))
     labelled = materialize(labelled, "labelled")
@@ -397,7 +407,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         _taking_part, "key long, low int, high int, doc long, block int"
     )
     rest = materialize(rest, "unsettled")
-    whole = _whole_sets(docs, rest.select("doc"))
     joining = materialize(
         _in_buckets(rest, labelled, whole).mapInArrow(_joined, "a long, b long").distinct(), "joining-links"
     )
