@@ -7,18 +7,18 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from supportlens import constants as C
-from supportlens.operators.aggregates import as_rows, value_counts
+from supportlens.operators.aggregates import as_rows
 from supportlens.operators.profile import correlation_matrix, distinct_up_to
 from supportlens.operators.quantiles import exact_quantiles, number
 
 
 def histograms(df: DataFrame, columns: dict[str, Column], bins: int = C.HISTOGRAM_BINS) -> DataFrame:
-    """Equal-width bins from minimum to maximum per value, the last one closed, empty ones kept.
+    """Equal-width bins from minimum to maximum per value, the last one closed, empty ones kept; NaN is missing.
 
     All values share one pass for the ranges and one for the counts.
     """
     names = list(columns)
-    wide = df.select(*[columns[name].cast("double").alias(f"_{i}") for i, name in enumerate(names)])
+    wide = df.select(*[F.nanvl(columns[name].cast("double"), F.lit(None)).alias(f"_{i}") for i, name in enumerate(names)])
     ranges = wide.agg(
         F.array(
             *[
@@ -115,15 +115,11 @@ def box_stats(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def category_bars(df: DataFrame, columns: list[str], limit: int = C.MAX_PLOT_VALUES) -> DataFrame:
     """Counts per value of every column with at most ``limit`` distinct values."""
-    result = None
-    for column in distinct_up_to(df, columns, limit):
-        bars = value_counts(df, column).select(
-            F.lit(column).alias("column"), F.col(column).cast("string").alias("value"), "n"
-        )
-        result = bars if result is None else result.unionByName(bars)
-    if result is None:
+    chosen = distinct_up_to(df, columns, limit)
+    if not chosen:
         return df.sparkSession.createDataFrame([], "`column` STRING, value STRING, n BIGINT")
-    return result
+    cells = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in chosen]
+    return df.select(F.inline(F.array(*cells))).groupBy("column", "value").agg(F.count("*").alias("n"))
 
 
 def correlation_heatmap(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -131,9 +127,8 @@ def correlation_heatmap(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def pair_points(df: DataFrame, id_column: str, columns: list[str]) -> DataFrame:
-    """Points of every pair of the first five columns, one row per point."""
-    chosen = columns[:5]
-    pairs = [(a, b) for i, a in enumerate(chosen) for b in chosen[i + 1 :]]
+    """Points of every pair of columns, one row per point."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     points = F.array(
         *[
             F.struct(

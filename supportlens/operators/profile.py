@@ -162,12 +162,14 @@ def standardize(df: DataFrame, columns: list[str], minmax: bool = False) -> Data
     scaled = {}
     for row in scaling_stats(df, columns).collect():
         value = number(df, row["column"])
-        centred = value - F.lit(row["mean"])
-        scaled[row["column"]] = centred / F.lit(row["scale"]) if row["scale"] else centred
+        # The mean of equal values may be off by a rounding, so a constant is told by its range.
+        constant = value * 0.0
+        varies = row["min"] is not None and row["min"] != row["max"] and row["scale"]
+        scaled[row["column"]] = (value - F.lit(row["mean"])) / F.lit(row["scale"]) if varies else constant
         if minmax:
             width = (row["max"] or 0.0) - (row["min"] or 0.0)
             shifted = value - F.lit(row["min"])
-            scaled[f"{row['column']}_minmax"] = shifted / F.lit(width) if width else shifted
+            scaled[f"{row['column']}_minmax"] = shifted / F.lit(width) if width else constant
     return df.withColumns(scaled)
 
 

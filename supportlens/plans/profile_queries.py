@@ -11,6 +11,7 @@ from supportlens.plans import oracle_text as O, views
 from supportlens.plans.registry import query
 
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+PAIRED = [*NUMBERS, "l_partkey", "l_suppkey"]
 
 
 def each(template: str, columns=NUMBERS) -> str:
@@ -39,15 +40,13 @@ def missing_stats(spark, sf_dir):
 
 
 @query(
-    """SELECT count(*) AS total_records, count(DISTINCT (l_quantity, l_discount, l_tax, l_returnflag, l_linestatus)) AS distinct_records,
-              count(*) - count(DISTINCT (l_quantity, l_discount, l_tax, l_returnflag, l_linestatus)) AS duplicate_records
+    """SELECT count(*) AS total_records, count(DISTINCT measures) AS distinct_records,
+              count(*) - count(DISTINCT measures) AS duplicate_records
        FROM measures""",
     "measures",
 )
 def duplicate_count(spark, sf_dir):
-    return P.duplicate_count(
-        views.measures(spark, sf_dir).select("l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
-    )
+    return P.duplicate_count(views.measures(spark, sf_dir))
 
 
 @query(
@@ -370,12 +369,12 @@ def high_cardinality_guard(spark, sf_dir):
 @query(
     " UNION ALL ".join(
         f"""SELECT l_orderkey, '{a}' AS x_column, '{b}' AS y_column, {a} AS x, {b} AS y FROM lineitem"""
-        for i, a in enumerate(NUMBERS)
-        for b in NUMBERS[i + 1 :]
+        for i, a in enumerate(PAIRED)
+        for b in PAIRED[i + 1 :]
     )
 )
 def pair_points(spark, sf_dir):
-    return H.pair_points(views.table(spark, sf_dir, "lineitem"), "l_orderkey", NUMBERS)
+    return H.pair_points(views.table(spark, sf_dir, "lineitem"), "l_orderkey", PAIRED)
 
 
 @query(

@@ -416,14 +416,14 @@ def run_history_summary(spark, sf_dir):
     """WITH scores AS (
            SELECT vec_id, i - 1 AS class_id,
                   exp(CAST(embedding[i] AS DOUBLE)) / sum(exp(CAST(embedding[i] AS DOUBLE))) OVER (PARTITION BY vec_id) AS p
-           FROM embeddings, (SELECT unnest(range(1, 11)) AS i))
+           FROM embeddings, (SELECT unnest(range(1, 65)) AS i))
        SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, class_id) AS INT) AS rank, CAST(class_id AS INT) AS class_id,
               round(p, 6) AS confidence
        FROM scores QUALIFY rank <= 3"""
 )
 def top3_predictions(spark, sf_dir):
-    """The first ten dimensions are read as the logits of ten classes."""
-    logits = F.transform(F.slice("embedding", 1, 10), lambda x: F.exp(x.cast("double")))
+    """The dimensions are read as the logits of as many classes."""
+    logits = F.transform("embedding", lambda x: F.exp(x.cast("double")))
     scores = views.table(spark, sf_dir, "embeddings").select("vec_id", logits.alias("e")).select(
         "vec_id",
         F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, b: a + b)).alias("probabilities"),

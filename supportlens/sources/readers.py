@@ -3,6 +3,8 @@ multi-line CSV and JSON files cannot be split."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from supportlens import schemas as S
@@ -23,7 +25,7 @@ def latest_dataset(spark: SparkSession, folder: str, prefix: str) -> str:
 
     Only file names are read. Raises FileNotFoundError when there is none.
     """
-    pattern = rf"^(.*/({prefix}[^/]*))(/[^/]+)?$"
+    pattern = rf"^(.*/({re.escape(prefix)}[^/]*))(/[^/]+)?$"
     try:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
         name = F.regexp_extract("path", pattern, 2)
