@@ -1,7 +1,7 @@
 """Near-duplicate detection by a multi-index Hamming join of b-bit MinHash signatures.
 
 A signature has 72 symbols of 16 bits. Two texts with 3/4 of their shingles in common differ
-in 18 symbols on average, and in more than 35 about once in 700,000 cases. By the pigeonhole
+in 18 symbols on average, and in more than 35 about once in 230,000 cases. By the pigeonhole
 principle, signatures that differ in at most 35 of 72 symbols differ in at most one symbol of
 one of 18 chunks of four; so each chunk is indexed four times, each time without one symbol.
 All pairs under the threshold meet in a bucket. Links are confirmed on whole shingle sets.
