@@ -6,12 +6,13 @@ principle, signatures that differ in at most 35 of 72 symbols differ in at most
 one of 18 chunks of four; so each chunk is indexed four times, each time without one symbol.
 All pairs under the threshold meet in a bucket. Links are confirmed on whole shingle sets.
 
-Equal sets count as one text. In a bucket, a text proposes its nearest neighbours first;
-once their links are confirmed and components known, all pairs under the threshold that still
-join different components are compared. So no link between components is lost, and a group of
-copies costs about as many links as it has texts. That last step takes the sets to the
-buckets and returns links, so the pairs themselves are never rows; a bucket of many texts is
-cut into blocks, and tasks hold two blocks at a time.
+Equal sets count as one text. In the buckets of the first chunks, a text proposes its nearest
+neighbours; once their links are confirmed and components known, all buckets that still hold
+several components are read, and all pairs under the threshold that join different ones are
+compared. So no link between components is lost, and a group of copies costs about as many
+links as it has texts. That last step takes the sets to the buckets and returns links, so the
+pairs themselves are never rows; a bucket of many texts is cut into blocks, and tasks hold two
+blocks at a time. Only numbers are shuffled to find those buckets; signatures go to them alone.
 """
 
 from __future__ import annotations
@@ -34,8 +35,14 @@ CHUNKS = SYMBOLS // CHUNK
 MAX_DISTANCE = 2 * CHUNKS - 1
 #: Link when 100 * common >= 75 * union.
 SIMILARITY = 75
+#: Chunks whose buckets propose pairs first; the last step reads the buckets of all chunks.
+FIRST_CHUNKS = 4
+#: Symbols in which a pair that is proposed first may differ: the mean of the least similar links.
+FIRST_DISTANCE = SYMBOLS // 4
 #: Nearest neighbours that a text proposes first in each bucket.
-NEAREST = 2
+NEAREST = 1
+#: 64-bit words of the table that keeps most unwanted texts out of a shuffle (2 MB).
+FILTER_WORDS = 1 << 18
 #: Cells of the distance table that a task holds at a time.
 CELLS = 1 << 18
 #: Rows of a bucket from which it is cut into blocks.
@@ -209,24 +216,18 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each text of a bucket the pairs with its nearest texts before it.
-
-    A text that is in any pair to compare is also returned with itself.
-    """
+    """Of each text of a bucket the pairs with its nearest texts before it."""
     found: list[tuple[int, int]] = []
     for bucket in _buckets(batches):
-        wanted = np.zeros(len(bucket.docs), dtype=bool)
         for rows in bucket.slices():
             distance, allowed = _allowed(bucket, rows)
-            wanted[rows] |= allowed.any(axis=1)
-            wanted[: rows.stop] |= allowed.any(axis=0)
+            allowed &= distance <= FIRST_DISTANCE
             for _ in range(NEAREST):
                 ranked = np.where(allowed, distance, np.int16(SYMBOLS + 1))
                 best = ranked.argmin(axis=1)
                 for i in np.flatnonzero(allowed[np.arange(len(best)), best]):
                     allowed[i, best[i]] = False
                     found.append((bucket.docs[best[i]], bucket.docs[rows.start + i]))
-        found += [(doc, doc) for doc in bucket.docs[wanted]]
         if len(found) > 100_000:
             yield _pairs(found)
             found = []
@@ -298,9 +299,24 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc, hashes) of the documents in ``wanted`` (doc)."""
+    """(doc, hashes) of the documents in ``wanted`` (doc).
+
+    A bit table of fixed size, whatever the corpus, keeps out most texts that are not wanted;
+    the join after it is exact.
+    """
+    wanted = wanted.distinct()
+    place = F.pmod(F.xxhash64("doc"), F.lit(64 * FILTER_WORDS))
+    bits = wanted.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word"))
+    table = bits.agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 AS int))")).alias("bits"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), text_of().alias("text")).where("doc IS NOT NULL")
-    return texts.join(wanted.distinct(), "doc", "left_semi").mapInArrow(_sets, "doc long, hashes binary")
+    likely = (
+        texts.withColumn("place", place)
+        .withColumn("word", F.shiftright("place", 6))
+        .join(F.broadcast(table), "word")
+        .where(F.getbit("bits", F.col("place") % 64) == 1)
+        .select("doc", "text")
+    )
+    return likely.join(wanted, "doc", "left_semi").mapInArrow(_sets, "doc long, hashes binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -339,6 +355,17 @@ def components(links: DataFrame) -> DataFrame:
         labels = labels.drop("changed")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("doc"))
+
+
+def _unsettled(shared: DataFrame, labelled: DataFrame) -> DataFrame:
+    """The rows of the buckets that hold more than one component."""
+    held = shared.join(labelled.select("doc", "part"), "doc").groupBy("key")
+    several = held.agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most")
+    return shared.join(several.select("key"), "key", "left_semi")
+
+
 def _placed(shared: DataFrame) -> DataFrame:
     """Rows of buckets cut into blocks: each row goes to the pairs of its block with all others."""
     blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
@@ -394,19 +421,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     keys = first.select("doc", "signature").mapInArrow(_index, "key long, doc long")
     sorted_keys = keys.repartition(n, "key").sortWithinPartitions("key", "doc")
     shared = materialize(sorted_keys.mapInArrow(_shared, "key long, doc long, size long"), "shared-keys")
-    pairs = materialize(
-        _in_buckets(_placed(shared), first).mapInArrow(_nearest, "a long, b long").distinct(), "near-pairs"
-    )
-    # Later pairs are among the same documents, so texts are read once for their sets.
-    whole = materialize(_whole_sets(docs, pairs.where("a = b").select(F.col("a").alias("doc"))), "whole-sets")
-    links = materialize(_confirmed(pairs.where("a < b"), whole), "near-links")
+    early = shared.where(F.col("key") < FIRST_CHUNKS * CHUNK << 48)
+    pairs = materialize(_in_buckets(_placed(early), first).mapInArrow(_nearest, "a long, b long").distinct(), "near-pairs")
+    links = materialize(_confirmed(pairs, _whole_sets(docs, _ends(pairs))), "near-links")
     parts = components(links)
     labelled = first.drop("part").join(parts, "doc", "left").withColumn("part", F.coalesce("part", "doc"))
     labelled = materialize(labelled, "labelled")
-    rest = _in_buckets(_placed(shared), labelled).mapInArrow(
+    rest = _in_buckets(_placed(_unsettled(shared, labelled)), labelled).mapInArrow(
         _taking_part, "key long, low int, high int, doc long, block int"
     )
     rest = materialize(rest, "unsettled")
+    whole = _whole_sets(docs, rest.select("doc"))
     joining = materialize(
         _in_buckets(rest, labelled, whole).mapInArrow(_joined, "a long, b long").distinct(), "joining-links"
     )
