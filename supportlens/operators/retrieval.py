@@ -19,6 +19,8 @@ BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 4096
 # Distances a task holds at a time.
 CELLS = 1 << 20
+#: Numbers of candidate vectors compared at a time.
+VALUES = 1 << 20
 # Squared distances are compared at this precision, so that equal vectors tie.
 DIGITS = 6
 
@@ -122,22 +124,30 @@ def _nearest(query_ids, queries, match_ids, matches, k: int, skip_self: bool) ->
     """The ``k`` nearest matches per query among two bounded sets of vectors.
 
     A matrix product picks candidates; their distances are then computed directly,
-    so that a pair has the same distance in whatever block it occurs.
+    so that a pair has the same distance in whatever block it occurs. The product loses
+    digits as the vectors grow, so the margin for candidates grows with their squared norms.
+    Candidates are taken in pieces of at most ``VALUES`` numbers, each cut to ``k`` per query,
+    as equal vectors may all be candidates.
     """
     step = max(1, CELLS // max(1, len(match_ids)))
+    width = max(1, matches.shape[1])
+    piece = max(1, VALUES // width)
+    norms = (matches**2).sum(1)
     found = []
     for at in range(0, len(query_ids), step):
         ids, asked = query_ids[at : at + step], queries[at : at + step]
-        rough = (asked**2).sum(1)[:, None] + (matches**2).sum(1)[None, :] - 2.0 * asked @ matches.T
+        own = (asked**2).sum(1)
+        rough = own[:, None] + norms[None, :] - 2.0 * asked @ matches.T
+        error = 4.0 * (width + 3) * np.finfo(np.float64).eps * (own + norms.max(initial=0.0))
         if skip_self:
             rough[ids[:, None] == match_ids[None, :]] = np.inf
         kth = min(k, rough.shape[1]) - 1
-        limit = np.partition(rough, kth, axis=1)[:, kth] + 2.0 * 10.0**-DIGITS
+        limit = np.partition(rough, kth, axis=1)[:, kth] + 2.0 * 10.0**-DIGITS + error
         rows, columns = np.nonzero((rough <= limit[:, None]) & np.isfinite(rough))
-        distance = np.round(((asked[rows] - matches[columns]) ** 2).sum(1), DIGITS)
-        found.append(
-            pd.DataFrame({"query_id": ids[rows], "match_id": match_ids[columns], "distance": distance})
-        )
+        for cut in range(0, max(1, len(rows)), piece):
+            r, c = rows[cut : cut + piece], columns[cut : cut + piece]
+            distance = np.round(((asked[r] - matches[c]) ** 2).sum(1), DIGITS)
+            found.append(_best(pd.DataFrame({"query_id": ids[r], "match_id": match_ids[c], "distance": distance}), k))
     return _best(pd.concat(found), k)
 
 

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -127,3 +129,26 @@ def test_prompt_layout(spark):
     assert prompt.endswith(
         f"{gap}{gap}Context:{gap}doc a\n\ndoc b{gap}{gap}User intent: returns{gap}{gap}User: hi{gap}{gap}Assistant:"
     )
+
+
+def test_nearest_of_equal_vectors_stays_in_memory():
+    matches = np.ones((4096, 256))
+    queries = np.ones((512, 256))
+    tracemalloc.start()
+    found = R._nearest(np.arange(512), queries, np.arange(4096)[::-1], matches, 3, False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6
+    assert found.groupby("query_id").match_id.apply(list).map(lambda ids: ids == [0, 1, 2]).all()
+    assert len(found) == 512 * 3
+
+
+def test_nearest_of_long_vectors():
+    # Long vectors that lie close together: their product keeps too few digits to rank them.
+    rng = np.random.default_rng(7)
+    vectors = np.full((300, 64), 1e6 / 8) + rng.normal(scale=1e-3, size=(300, 64))
+    found = R._nearest(np.arange(300), vectors, np.arange(300), vectors, 3, True)
+    for i in range(300):
+        distance = np.round(((vectors - vectors[i]) ** 2).sum(1), 6)
+        nearest = sorted((d, j) for j, d in enumerate(distance) if j != i)[:3]
+        assert list(found[found.query_id == i].match_id) == [j for _, j in nearest]
