@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from supportlens import constants as C
@@ -21,6 +22,9 @@ BLOCK_ROWS = 4096
 CELLS = 1 << 20
 #: Numbers of candidate vectors compared at a time.
 VALUES = 1 << 20
+# Inverted lists at most, and rows at most that their centres are fitted on.
+MAX_LISTS = 4096
+FIT_ROWS = 1 << 16
 # Squared distances are compared at this precision, so that equal vectors tie.
 DIGITS = 6
 
@@ -236,6 +240,13 @@ def vector_topk_within(
     query; the pairs themselves are never emitted.
     """
     wanted = k + 1 if skip_self else k
+    asked, distinct, found = _distinct_sides(queries, corpus, id_column, vector, keys, wanted)
+    shared = _compare_blocks(distinct, found, keys, wanted, block_rows)
+    return _shared_out(asked, distinct, shared, keys, k, skip_self)
+
+
+def _distinct_sides(queries, corpus, id_column, vector, keys, wanted) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All queries, one query per vector, and of equal corpus vectors those that a result can hold."""
     asked = _as_side(queries, id_column, vector, keys)
     distinct = asked.groupBy(*keys, "vector").agg(F.min("id").alias("id"))
     copies = Window.partitionBy(*keys, "vector").orderBy("id")
@@ -245,8 +256,11 @@ def vector_topk_within(
         .where(F.col("_copy") <= wanted)
         .drop("_copy")
     )
-    # A match may be found in several groups, e.g. in several hash tables.
-    shared = _compare_blocks(distinct, found, keys, wanted, block_rows)
+    return asked, distinct, found
+
+
+def _shared_out(asked, distinct, shared, keys, k, skip_self) -> DataFrame:
+    """The matches of one query per vector, given to all queries with that vector."""
     own = (
         asked.withColumnRenamed("id", "query_id")
         .join(distinct.withColumnRenamed("id", "_shared_id"), [*keys, "vector"])
@@ -255,6 +269,7 @@ def vector_topk_within(
     )
     if skip_self:
         own = own.where(F.col("query_id") != F.col("match_id"))
+    # A query may be in several groups.
     return _final_rank(own.distinct() if keys else own, k)
 
 
@@ -326,6 +341,42 @@ def retrieved_labels(matches: DataFrame, corpus: DataFrame, id_column: str, labe
     return nearest.join(labels, "match_id")
 
 
+def list_centres(found: DataFrame, lists: int | None = None, fit_rows: int = FIT_ROWS) -> np.ndarray:
+    """Centres of inverted lists, fitted on ``fit_rows`` rows by hash of their id.
+
+    There are about 2 * sqrt(rows) lists, at most ``MAX_LISTS``, so the centres stay small.
+    """
+    n = found.count()
+    if not n:
+        return np.zeros((0, 0))
+    wanted = min(lists or math.ceil(2 * math.sqrt(n)), MAX_LISTS, n)
+    if wanted == 1:
+        return _matrix(found.limit(1).toPandas()["vector"])
+    sample = found.orderBy(F.xxhash64("id"), "id").limit(fit_rows)
+    rows = sample.select(array_to_vector(F.col("vector").cast("array<double>")).alias("features")).cache()
+    model = KMeans(k=wanted, initMode="random", maxIter=8, seed=C.SEED).fit(rows)
+    rows.unpersist()
+    return np.stack(model.clusterCenters())
+
+
+def in_nearest_lists(side: DataFrame, centres: np.ndarray, n: int) -> DataFrame:
+    """``side`` (id, vector) once for each of the ``n`` lists whose centres are nearest, as ``list``."""
+    sent = side.sparkSession.sparkContext.broadcast(centres)
+
+    @F.pandas_udf("array<int>")
+    def nearest(vectors: pd.Series) -> pd.Series:
+        held = sent.value
+        half = 0.5 * (held**2).sum(1)
+        out: list[np.ndarray] = []
+        step = max(1, CELLS // len(held))
+        for at in range(0, len(vectors), step):
+            order = half - _matrix(vectors.iloc[at : at + step]) @ held.T
+            out.extend(np.argsort(order, axis=1, kind="stable")[:, :n].astype(np.int32))
+        return pd.Series(out, dtype=object)
+
+    return side.select("id", "vector", F.explode(nearest("vector")).alias("list"))
+
+
 def ann_topk(
     queries: DataFrame,
     corpus: DataFrame,
@@ -333,29 +384,24 @@ def ann_topk(
     vector: str,
     k: int = C.RETRIEVED_DOCUMENTS,
     skip_self: bool = False,
-    bucket_length: float = 0.5,
-    tables: int = 8,
+    lists: int | None = None,
+    probes: float = 0.5,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Approximate search: only vectors sharing a random-projection bucket are compared.
+    """Approximate search through inverted lists: every corpus vector is in the list of its nearest centre.
 
-    Large buckets are split into blocks like any other group, so none becomes one task.
+    A query is compared with the ``probes`` share of the lists nearest to it. Vectors without
+    any structure need about half of the lists for a recall of 0.9; vectors that form clusters
+    need few, so measure it and lower the share. Only the centres come from a bounded sample.
+    Large lists are cut into blocks like any other group.
     """
-
-    def vectors(df: DataFrame) -> DataFrame:
-        return df.select(
-            F.col(id_column), F.col(vector), array_to_vector(F.col(vector).cast("array<double>")).alias("_vector")
-        )
-
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="_vector", outputCol="_hashes", bucketLength=bucket_length, numHashTables=tables, seed=C.SEED
-    ).fit(vectors(corpus))
-
-    def bucketed(df: DataFrame) -> DataFrame:
-        hashed = lsh.transform(vectors(df))
-        return hashed.select(
-            id_column, vector, F.posexplode("_hashes").alias("_table", "_hash")
-        ).select(id_column, vector, "_table", vector_to_array("_hash")[0].cast("bigint").alias("_bucket"))
-
-    return vector_topk_within(
-        bucketed(queries), bucketed(corpus), id_column, vector, ["_table", "_bucket"], k, skip_self
-    )
+    wanted = k + 1 if skip_self else k
+    asked, distinct, found = _distinct_sides(queries, corpus, id_column, vector, [], wanted)
+    centres = list_centres(found, lists)
+    if not len(centres):
+        return queries.sparkSession.createDataFrame([], MATCH_SCHEMA + ", rank INT")
+    probed = in_nearest_lists(distinct, centres, max(1, math.ceil(probes * len(centres))))
+    held = in_nearest_lists(found, centres, 1)
+    partial = _compare_blocks(probed, held, ["list"], wanted, block_rows).drop("list")
+    shared = _final_rank(partial, wanted).drop("rank")
+    return _shared_out(asked, distinct, shared, [], k, skip_self)

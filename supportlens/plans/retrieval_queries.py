@@ -98,6 +98,23 @@ def ann_topk(spark, sf_dir):
     return R.ann_topk(rows, rows, "vec_id", "embedding", skip_self=True)
 
 
+@query(
+    f"""SELECT (SELECT count(*) FROM embeddings) AS n_queries, count(*) AS n_exact, true AS recall_reached
+        FROM ({TOPK_SQL})"""
+)
+def ann_recall(spark, sf_dir):
+    """Whether approximate search finds at least nine tenths of the exact matches of all vectors."""
+    rows = _embeddings(spark, sf_dir)
+    exact = R.vector_topk(rows, rows, "vec_id", "embedding", skip_self=True).select("query_id", "match_id")
+    near = R.ann_topk(rows, rows, "vec_id", "embedding", skip_self=True).select("query_id", "match_id")
+    found = exact.join(near.withColumn("hit", F.lit(1)), ["query_id", "match_id"], "left")
+    return found.agg(
+        F.count_distinct("query_id").alias("n_queries"),
+        F.count("*").alias("n_exact"),
+        (F.count("hit") >= 0.9 * F.count("*")).alias("recall_reached"),
+    )
+
+
 def _prompt_sql() -> str:
     system = O.quote(f"\n{C.SYSTEM_PROMPT_INDENT}".join(C.SYSTEM_PROMPT_LINES))
     gap = f"chr(10) || '{C.CHAT_PROMPT_INDENT}'"
@@ -293,18 +310,21 @@ def feature_importance(spark, sf_dir):
 sort_importance = query(name="sort_importance")(feature_importance)
 
 
-def _intent_scores(spark, sf_dir):
+def _intent_model(spark, sf_dir):
     documents = views.texts(spark, sf_dir).select("doc_id", "text", "lang")
-    model, scored = M.train_intent_classifier(documents, "doc_id", "text", "lang")
-    return M.score_labels(scored, model, "doc_id", "lang")
+    return documents, *M.train_intent_classifier(documents, "doc_id", "text", "lang")
 
 
 @query()
 def intent_classifier(spark, sf_dir):
     """Scores of the held-out rows, as accuracy and weighted means."""
-    return E.weighted_metrics(_intent_scores(spark, sf_dir))
+    _, model, scored = _intent_model(spark, sf_dir)
+    return E.weighted_metrics(M.score_labels(scored, model, "doc_id", "lang"))
 
 
 @query()
 def score_intents(spark, sf_dir):
-    return _intent_scores(spark, sf_dir).select("doc_id", "actual", "predicted", "confidence")
+    """Every document with its most probable label; held-out rows alone give the metrics above."""
+    documents, model, _ = _intent_model(spark, sf_dir)
+    scored = M.score_labels(model.transform(documents), model, "doc_id", "lang")
+    return scored.select("doc_id", "actual", "predicted", "confidence")

@@ -26,12 +26,11 @@ def stream_message_counts(spark, sf_dir):
 
 @query(
     """SELECT CAST(epoch_us(hour_start) AS BIGINT) AS hour_start_us, n
-       FROM (SELECT date_trunc('hour', ts) AS hour_start, count(*) AS n FROM events GROUP BY 1)
-       WHERE hour_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""
+       FROM (SELECT date_trunc('hour', ts) AS hour_start, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1)"""
 )
 def stream_hourly(spark, sf_dir):
-    """Hours the final watermark has passed; later ones stay open."""
-    hours = S.run_append(S.hourly_counts(_events(spark, sf_dir)), "hourly")
+    """All hours, with those still open as they stand."""
+    hours = S.run_changes(S.hourly_counts(_events(spark, sf_dir)), "hourly", ["hour_start"])
     return hours.select(F.unix_micros("hour_start").alias("hour_start_us"), "n")
 
 
@@ -41,12 +40,11 @@ def stream_hourly(spark, sf_dir):
            FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
        numbered AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS no FROM marked)
        SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts) + INTERVAL 30 MINUTE) AS end_us, count(*) AS n
-       FROM numbered GROUP BY user_id, no
-       HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""
+       FROM numbered WHERE ts IS NOT NULL GROUP BY user_id, no"""
 )
 def stream_sessions(spark, sf_dir):
-    """Sessions the final watermark has closed."""
-    sessions = S.run_append(S.session_activity(_events(spark, sf_dir)), "sessions")
+    """All sessions, with those still open as they stand."""
+    sessions = S.run_complete(S.session_activity(_events(spark, sf_dir)), "sessions")
     return sessions.select(
         "user_id", F.unix_micros("session_start").alias("start_us"), F.unix_micros("session_end").alias("end_us"), "n"
     )

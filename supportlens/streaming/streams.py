@@ -36,7 +36,10 @@ def message_counts(events: DataFrame, label: str = "event_type") -> DataFrame:
 
 
 def hourly_counts(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Messages per hour; an hour is final once the watermark has passed it."""
+    """Messages per hour; an hour is final once the watermark has passed it.
+
+    In append mode only final hours are given out, in update mode each hour that changed.
+    """
     window = F.window("ts", "1 hour")
     return (
         events.withWatermark("ts", delay)
@@ -47,7 +50,10 @@ def hourly_counts(events: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 
 def session_activity(events: DataFrame, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
-    """Length and size of every user session, closed after ``gap`` without a message."""
+    """Length and size of every user session, closed after ``gap`` without a message.
+
+    In append mode a session is given out when the watermark closes it, and its state ends.
+    """
     session = F.session_window("ts", gap)
     return (
         events.withWatermark("ts", delay)
@@ -127,6 +133,33 @@ def run_changes(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
     return changes.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(newest).select("_row.*")
 
 
+def run_complete(stream: DataFrame, name: str) -> DataFrame:
+    """The whole result after what is there, open windows included.
+
+    Spark keeps the state of all windows here; a stream without an end takes ``run_append``.
+    Every micro-batch replaces its own folder, and the last one is the result.
+    """
+    spark = stream.sparkSession
+    out = work_folder(spark, name)
+    last: list[int] = []
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        last[:] = [batch_id]
+
+    query = (
+        stream.writeStream.foreachBatch(store)
+        .outputMode("complete")
+        .option("checkpointLocation", work_folder(spark, f"{name}-progress"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    if not last:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{out}/batch={last[0]}")
+
+
 def run_feedback_upsert(feedback: DataFrame, name: str) -> DataFrame:
     """Keep the latest feedback per session up to date.
 

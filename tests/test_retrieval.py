@@ -80,6 +80,30 @@ def test_ann_finds_most_neighbours(spark):
     assert hits / (3 * len(exact)) > 0.9
 
 
+def test_ann_of_vectors_without_structure_compares_fewer_pairs(spark):
+    rng = np.random.default_rng(3)
+    points = rng.normal(size=(600, 32))
+    points[:200] = points[0]
+    frame = spark.createDataFrame([(i, p.tolist(), "") for i, p in enumerate(points)], SCHEMA)
+    exact = matches(R.vector_topk(frame, frame, "id", "v", 3, skip_self=True))
+    near = matches(R.ann_topk(frame, frame, "id", "v", 3, skip_self=True))
+    assert sum(len(set(exact[i]) & set(near.get(i, []))) for i in exact) > 0.9 * 3 * len(exact)
+    side = frame.where("id >= 199").selectExpr("id", "v AS vector")
+    centres = R.list_centres(side)
+    held = R.in_nearest_lists(side, centres, 1).groupBy("list").count()
+    probed = R.in_nearest_lists(side, centres, -(-len(centres) // 2)).join(held, "list")
+    compared = probed.agg({"count": "sum"}).first()[0]
+    assert held.agg({"count": "sum"}).first()[0] == 401
+    assert compared < 0.7 * 401**2
+
+
+def test_ann_of_few_rows(spark):
+    frame = spark.createDataFrame(vectors(2), SCHEMA)
+    assert matches(R.ann_topk(frame, frame, "id", "v", 3, skip_self=True, probes=1.0)) == {0: [1], 1: [0]}
+    assert R.ann_topk(frame, frame.where("id < 0"), "id", "v").count() == 0
+    assert R.ann_topk(frame.where("id < 0"), frame, "id", "v").count() == 0
+
+
 def test_normalized_vectors_have_unit_length(spark):
     frame = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v ARRAY<DOUBLE>")
     found = [r[0] for r in frame.select(R.normalize_vector("v")).collect()]

@@ -61,6 +61,17 @@ def test_sessions_close_after_the_gap(spark, folder):
     ]
 
 
+def test_open_hours_and_sessions_are_in_the_whole_result(spark, folder):
+    hours = S.run_changes(S.hourly_counts(stream(spark, folder)), "open-hours", ["hour_start"]).collect()
+    assert {str(r.hour_start): r.n for r in hours}["2024-01-02 13:00:00"] == 1
+    assert len(hours) == 4
+    found = S.run_complete(S.session_activity(stream(spark, folder)), "open-sessions").collect()
+    assert sorted((r.user_id, str(r.session_start), r.n) for r in found)[-2:] == [
+        (1, "2024-01-02 13:00:00", 1), (2, "2024-01-01 12:00:00", 1),
+    ]
+    assert sum(r.n for r in found) >= len(ROWS)
+
+
 def test_feedback_upsert_ignores_late_rows(spark, folder):
     feedback = stream(spark, folder).select(
         "event_id", F.col("user_id").alias("session_id"), F.col("event_type").alias("comment"), "ts"
