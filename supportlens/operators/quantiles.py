@@ -36,11 +36,31 @@ class _Target:
     below: int
     inside: int
     margin: float
-    settled: bool = False
+    answer: tuple[float, float] | None = None
 
     def holds(self, below: int, inside: int) -> bool:
         return below <= math.floor(self.position) and math.ceil(self.position) < below + inside
 
+    def close_in(self, low: float, high: float, counted) -> None:
+        """Take the bracket without its end values, or the answer if that touches them."""
+        self.low, self.high, self.below, self.inside = low, high, counted.below, counted.inside
+        if low == high:
+            return
+        first, last = math.floor(self.position) - self.below, math.ceil(self.position) - self.below
+        upper = self.inside - counted.at_high
+        if last < counted.at_low:
+            self.answer = (low, low)
+        elif first >= upper:
+            self.answer = (high, high)
+        elif first < counted.at_low:
+            self.answer = (low, counted.after_low)
+        elif last >= upper:
+            self.answer = (counted.before_high, high)
+        else:
+            self.low, self.high = counted.after_low, counted.before_high
+            self.below += counted.at_low
+            self.inside = upper - counted.at_low
+
 
 def exact_quantiles(
     df: DataFrame,
@@ -53,14 +73,15 @@ def exact_quantiles(
 
     A sketch brackets each quantile and the rows below and inside the bracket are
     counted, again and again until at most ``rank_rows`` rows are inside; their
-    distinct values are then ranked. A bracket that misses the position is thrown
+    distinct values are then ranked. The values at both ends of a bracket are counted
+    apart and taken off, so frequent ones cannot keep it wide. A bracket that misses the position is thrown
     away and drawn wider, so results are exact. All quantiles share every pass, and
     only a few numbers per column reach the driver.
     """
     values = df.select(*[number(df, c).alias(c) for c in columns])
     targets = _whole_range(values, columns, probabilities, accuracy)
     while True:
-        wide = [t for t in targets if t.inside > rank_rows and t.low < t.high and not t.settled]
+        wide = [t for t in targets if t.inside > rank_rows and t.low < t.high and t.answer is None]
         if not wide:
             break
         _narrow(values, wide, accuracy)
@@ -118,6 +139,10 @@ def _narrow(values: DataFrame, targets: list[_Target], accuracy: int) -> None:
             F.struct(
                 F.count_if(F.col(t.column) < low).alias("below"),
                 F.count_if(F.col(t.column).between(low, high)).alias("inside"),
+                F.count_if(F.col(t.column) == low).alias("at_low"),
+                F.count_if(F.col(t.column) == high).alias("at_high"),
+                F.min(F.when((F.col(t.column) > low) & (F.col(t.column) <= high), F.col(t.column))).alias("after_low"),
+                F.max(F.when((F.col(t.column) < high) & (F.col(t.column) >= low), F.col(t.column))).alias("before_high"),
             ).alias(f"_{k}")
             for k, (t, (low, high)) in enumerate(zip(targets, brackets))
         ]
@@ -126,17 +151,14 @@ def _narrow(values: DataFrame, targets: list[_Target], accuracy: int) -> None:
         if not target.holds(counted.below, counted.inside):
             target.margin *= 10.0
             continue
-        # A bracket that hardly shrinks is made of a few frequent values.
-        target.settled = counted.inside > 0.9 * target.inside
-        target.low, target.high = low, high
-        target.below, target.inside = counted.below, counted.inside
+        target.close_in(low, high, counted)
         target.margin = 2.0 / accuracy
 
 
 def _ranked(values: DataFrame, targets: list[_Target]) -> list[tuple[float, float]]:
     """The values left and right of every position."""
     # A bracket of one value is the answer already.
-    found = {k: (t.low, t.low) for k, t in enumerate(targets) if t.low == t.high}
+    found = {k: t.answer or (t.low, t.low) for k, t in enumerate(targets) if t.answer or t.low == t.high}
     if len(found) == len(targets):
         return [found[k] for k in range(len(targets))]
     inside = [

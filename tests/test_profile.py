@@ -3,7 +3,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from supportlens.operators import charts as H, profile as P
+from supportlens.operators import charts as H, profile as P, quantiles as Q
 from supportlens.operators.quantiles import exact_quantiles
 
 
@@ -131,3 +131,18 @@ def test_clean_frame_counts_duplicates_after_scaling(spark):
     cleaned = P.clean_frame(spark.createDataFrame(rows, "x DOUBLE"))
     counts = P.duplicate_count(cleaned).first()
     assert (counts.total_records, counts.duplicate_records) == (10, 1)
+
+
+def test_quantiles_between_frequent_values(spark):
+    # Two heavy values hold most rows; every bracket that ends in them holds all values between.
+    between = [10.0 + i / 1000 for i in range(1, 2001)]
+    rows = [10.0] * 9000 + between + [15.0] * 9000 + [20.0]
+    frame = spark.createDataFrame([(v,) for v in rows], "v DOUBLE").repartition(4)
+    asked = [0.0, 0.1, 0.449, 8999 / 20000, 0.44998, 0.46, 0.5, 0.54, 0.55, 0.99, 1.0]
+    found = Q.exact_quantiles(frame, ["v"], asked, accuracy=200, rank_rows=50)["v"]
+    for p in asked:
+        assert found[p] == pytest.approx(np.quantile(rows, p), abs=1e-9), p
+    targets = Q._whole_range(frame, ["v"], [0.5], 200)
+    while targets[0].inside > 50 and targets[0].answer is None:
+        Q._narrow(frame, targets, 200)
+    assert targets[0].answer or targets[0].inside <= 50
