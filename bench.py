@@ -23,7 +23,7 @@ HEADLINE = [
     "iqr_bounds", "profile_frame", "histogram", "kde_curve", "daily_counts", "confusion_matrix",
     "class_report", "chunk_documents", "vector_topk", "vector_topk_filtered", "build_prompts",
     "tfidf_weights", "name_clusters", "score_intents", "read_grouped_json", "stream_hourly",
-    "stream_last_state",
+    "stream_last_state", "stream_sessions", "ann_topk", "rf_classifier", "cluster_texts", "pca_features",
 ]
 
 
