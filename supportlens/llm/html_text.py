@@ -2,7 +2,8 @@
 
 Each page scores its containers and names the best by a generalised path of tags and classes.
 The paths are counted per host in Spark; pages are then read again with the paths that won
-on their host. A page without any of them uses its own best container.
+on their host. A page without any of them uses its own best container. An article counts
+with all its text, and other containers give way to one around them that holds more of it.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from supportlens.session import materialize
 
 #: A host keeps the paths with at least this share of its votes, so at most five.
 WINNING_SHARE = 0.2
+#: Text around the best container, as a share of its own, from which the one around it is taken instead.
+RICH_SHARE = 0.2
 
 # Elements of HTML by their role; fixed values of the language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -30,6 +33,9 @@ BLOCKS = frozenset(
     "summary table tbody td tfoot th thead tr ul".split()
 )
 CONTAINERS = frozenset("article body div main section td".split())
+#: Containers that are made for one text; a body or a table cell may hold anything.
+WRAPPERS = frozenset("article div main section".split())
+PROSE = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 #: Elements that a start tag ends implicitly, up to the nearest of the elements after the bar.
 ENDED_BY = {
     "li": (("li",), ("ul", "ol", "menu")),
@@ -155,6 +161,11 @@ class Page:
         self._mark(self.root)
         self.scores: dict[str, float] = {}
         self.nodes: dict[str, list[Node]] = {}
+        #: Of each container path the text in it at any depth, links taken off by half.
+        self.whole: dict[str, float] = {}
+        #: Of each container path the text of its own headings and paragraphs, links left out.
+        self.prose: dict[str, int] = {}
+        self.around: dict[str, str | None] = {}
         self._score(self.root)
 
     def _mark(self, root: Node) -> None:
@@ -184,33 +195,82 @@ class Page:
         return bool(("class" in attrs or "id" in attrs) and _name_parts(node) & DROPPED_NAMES)
 
     def _score(self, root: Node) -> None:
-        """A block's own text counts for its container, half for the one above; links not."""
-        stack = [(root, "", None, None, False, False)]
+        """A block's own text counts for its container, half for the one above; links not.
+
+        An article or main element takes all text in it up to the next article. Links count
+        against it only if they are more than its text.
+        """
+        held: dict[str, list[int]] = {}
+        order: list[str] = []
+        stack = [(root, "", None, None, None, False, False, False)]
         while stack:
-            node, path, container, above, in_link, in_article = stack.pop()
+            node, path, container, above, article, in_link, in_article, in_prose = stack.pop()
             if node is not root:
                 if self.dropped(node, in_article):
                     continue
                 path = f"{path}/{node.step()}"
             if node.tag in CONTAINERS or node is root:
                 above, container = container, path
-                self.nodes.setdefault(path, []).append(node)
-                self.scores.setdefault(path, 0.0)
+                if path not in self.nodes:
+                    self.nodes[path], self.scores[path], self.whole[path], self.prose[path] = [], 0.0, 0.0, 0
+                    self.around[path] = above
+                    order.append(path)
+                self.nodes[path].append(node)
+                in_prose = False
                 if node.tag in ("article", "main"):
                     self.scores[path] += 200.0
+                    held.setdefault(path, [0, 0])
+                    article = path
             in_link = in_link or node.tag == "a"
             in_article = in_article or node.tag in ("article", "main")
+            in_prose = in_prose or node.tag in PROSE
             for part in node.parts:
                 if isinstance(part, Node):
-                    stack.append((part, path, container, above, in_link, in_article))
-                else:
-                    n = len(part.strip())
+                    stack.append((part, path, container, above, article, in_link, in_article, in_prose))
+                    continue
+                n = len(part.strip())
+                self.whole[container] += -n / 2 if in_link else n
+                if article is not None:
+                    held[article][in_link] += n
+                if container != article:
                     self.scores[container] += -n / 2 if in_link else n
-                    if above is not None and not in_link:
-                        self.scores[above] += n / 2
+                if above is not None and above != article and not in_link:
+                    self.scores[above] += n / 2
+                if in_prose and not in_link:
+                    self.prose[container] += n
+        for path, (text, links) in held.items():
+            self.scores[path] += text - (links / 2 if links > text else 0)
+        # A container comes after those around it.
+        for path in reversed(order):
+            if self.around[path] is not None:
+                self.whole[self.around[path]] += self.whole[path]
 
     def best(self) -> str:
-        return max(self.scores, key=lambda path: (self.scores[path], -len(path), path))
+        """The path of the best container, or of one around it that holds more of the article.
+
+        The one around is taken if the text that it adds is rich, or holds headings or
+        paragraphs of its own; a whole body is only taken for rich text.
+        """
+        best = max(self.scores, key=lambda path: (self.scores[path], -len(path), path))
+        around = self.around[best]
+        while around is not None:
+            added = self.whole[around] - self.whole[best]
+            own = self.prose[around] > 0 and self.nodes[around][0].tag in WRAPPERS
+            if added > 0 and (own or added >= RICH_SHARE * self.whole[best]):
+                best = around
+            around = self.around[around]
+        return best
+
+    def chosen(self, paths: list[str]) -> str:
+        """The first of the host's paths that holds text, or the page's own best container.
+
+        The own best is also taken where it is around the host's: this page's article has
+        parts that most others lack. For a whole body the host must have voted, too.
+        """
+        best = self.best()
+        found = next((path for path in paths if self.scores.get(path, 0) > 0), best)
+        wider = found.startswith(f"{best}/") and (best in paths or self.nodes[best][0].tag in WRAPPERS)
+        return best if wider else found
 
     def text(self, path: str) -> str:
         blocks: list[str] = []
@@ -274,8 +334,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = []
         for text, paths in zip(batch.column("html"), batch.column("paths").to_pylist(), strict=True):
             page = Page(text.as_py())
-            chosen = next((path for path in paths or [] if page.scores.get(path, 0) > 0), None)
-            texts.append(page.text(chosen if chosen is not None else page.best()))
+            texts.append(page.text(page.chosen(paths or [])))
         arrays = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())]
         yield pa.RecordBatch.from_arrays(arrays, schema=TEXTS)
 

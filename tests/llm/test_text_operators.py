@@ -408,6 +408,55 @@ def test_hosts_agree_on_a_path(spark):
     assert got[9] == "Short."
 
 
+def own_text(page):
+    page = html_text.Page(page)
+    return page.text(page.best())
+
+
+@pytest.mark.parametrize("outer", ["article", "main", "div class=content", "main><article"])
+@pytest.mark.parametrize(
+    ("body", "ends"),
+    [
+        ("<div class=body><p>{0}</p></div><section class=more><p>{1}</p></section>", [5000, 1000]),
+        ("<div class=wrap><div class=body><p>{0}</p></div></div><section class=more><p>{1}</p></section>", [5000, 300]),
+        ("<section class=a>{0}</section><section class=b>{1}</section>", [900, 4000]),
+        ("<section>{0}</section><section>{1}</section>", [900, 900]),
+        ("<table><tr><td>{0}<td>{1}</table>", [9000, 9000]),
+    ],
+)
+def test_articles_split_over_containers(outer, body, ends):
+    """Heading, introduction and all parts stay; one part of them has most of the text."""
+    parts = [("word " * n)[:n].strip() for n in ends]
+    tags = "".join(f"</{tag.split()[0]}>" for tag in reversed(outer.split("><")))
+    page = f"<body><nav>Menu</nav><{outer}><h1>Title</h1><p>Intro text.</p>{body.format(*parts)}{tags}<aside>Side</aside></body>"
+    assert own_text(page) == "\n\n".join(["Title", "Intro text.", *parts])
+
+
+def test_an_article_with_a_list_of_links_is_whole():
+    body, links = ("text " * 1000).strip(), "<li><a href=x>" + "</a><li><a href=x>".join(["A reference to a paper"] * 100) + "</a>"
+    got = own_text(f"<article><h1>T</h1><p>Intro</p><div class=body>{body}</div><ul>{links}</ul></article>")
+    assert got == "\n\n".join(["T", "Intro", body] + ["A reference to a paper"] * 100)
+
+
+def test_split_articles_of_one_host(spark):
+    page = "<body><article><h1>T</h1><p>Intro</p><div class=body>" + "a " * 2500 + "</div><section class=more>" + "b " * 500 + "</section></article></body>"
+    pages = spark.createDataFrame([(i, "http://h.example/a", page) for i in range(4)], "page_id long, url string, html string")
+    expected = "\n\n".join(["T", "Intro", ("a " * 2500).strip(), ("b " * 500).strip()])
+    assert {r["text"] for r in html_text.main_text(pages).collect()} == {expected}
+
+
+def test_a_page_with_more_parts_than_others_of_its_host(spark):
+    page = "<body><div class=content><div class=body>" + "a " * 500 + "</div>{}</div></body>"
+    rows = [(i, "http://h.example/a", page.format("")) for i in range(9)] + [(9, "http://h.example/b", page.format("<section>" + "b " * 300 + "</section>"))]
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == ("a " * 500).strip() and got[9] == got[0] + "\n\n" + ("b " * 300).strip()
+
+
+def test_short_text_beside_an_article_stays_out():
+    article = "<article><p>" + "long " * 300 + "</p></article>"
+    assert own_text(f"<body><main>{article}<div class=teasers>Read this as well.</div></main></body>") == ("long " * 300).strip()
+
+
 def test_no_pages(spark):
     assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
