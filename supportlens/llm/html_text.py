@@ -59,6 +59,12 @@ DROPPED_NAMES = frozenset(
     "overlay pager pagination popup promo promoted promotion recommended related respond search share sharing sidebar "
     "signup skyscraper social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+#: First words of names of what is never an article's text, however long.
+NEVER_TEXT = frozenset("comment comments consent cookie cookies disqus gdpr respond".split())
+#: Elements whose id names a place in the text.
+NAMED_ANCHORS = frozenset("a b blockquote code dd dt em figure h1 h2 h3 h4 h5 h6 i li p pre span strong td th tr".split())
+#: Characters under which a block in an article is dropped by its class, or by its id alone.
+LITTLE_TEXT, LITTLE_ANCHORED = 200, 30
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -147,9 +153,16 @@ def _implied_end(node: Node, ended: tuple[str, ...], within: tuple[str, ...]) ->
     return found
 
 
-def _name_parts(node: Node) -> set[str]:
-    names = node.attrs.get("class", "") + " " + node.attrs.get("id", "")
-    return {part.lower() for part in NAME_PARTS.findall(names)}
+def _tokens(node: Node) -> list[list[str]]:
+    """The words of each class, and of the id unless the element is text of its own."""
+    names = node.attrs.get("class", "").split()
+    if node.tag not in NAMED_ANCHORS:
+        names += node.attrs.get("id", "").split()
+    return [[word.lower() for word in NAME_PARTS.findall(name)] for name in names]
+
+
+def _named(tokens: list[list[str]]) -> bool:
+    return any(not DROPPED_NAMES.isdisjoint(words) for words in tokens)
 
 
 class Page:
@@ -158,6 +171,9 @@ class Page:
     def __init__(self, text: str):
         self.root = parse(text)
         self.holds_article: set[int] = set()
+        self.holds_body: set[int] = set()
+        #: Characters outside and in links, of each element with all in it.
+        self.sizes: dict[int, list[int]] = {}
         self._mark(self.root)
         self.scores: dict[str, float] = {}
         self.nodes: dict[str, list[Node]] = {}
@@ -169,30 +185,91 @@ class Page:
         self._score(self.root)
 
     def _mark(self, root: Node) -> None:
-        """Note what holds a heading of first rank, an article or a main element."""
-        order, stack = [], [root]
+        """Note the text in and outside links of each element, and what holds an article.
+
+        ``holds_article`` are elements around a heading of first rank, an article or a main
+        element, ``holds_body`` those around an article or main element.
+        """
+        order, stack = [], [(root, False, False, False)]
         while stack:
-            node = stack.pop()
-            order.append(node)
-            stack.extend(node.children())
-        for node in reversed(order):
-            own = node.tag in ("h1", "main") or node.tag == "article" and not (_name_parts(node) & DROPPED_NAMES)
-            if node.parent is not None and (own or id(node) in self.holds_article):
+            node, in_link, in_article, gone = stack.pop()
+            gone = gone or self._hidden(node) or node.tag in DROPPED and node.tag != "form" or node.tag == "header" and not in_article
+            order.append((node, gone))
+            in_link = in_link or node.tag == "a"
+            in_article = in_article or node.tag in ("article", "main")
+            size = self.sizes[id(node)] = [0, 0]
+            for part in node.parts:
+                if isinstance(part, Node):
+                    stack.append((part, in_link, in_article, gone))
+                elif not gone:
+                    size[in_link] += len(part.strip())
+        for node, gone in reversed(order):
+            if node.parent is None:
+                continue
+            size, outer = self.sizes[id(node)], self.sizes[id(node.parent)]
+            outer[0] += size[0]
+            outer[1] += size[1]
+            body = node.tag == "main" or node.tag == "article" and not _named(_tokens(node))
+            if body and not gone or id(node) in self.holds_body:
+                self.holds_body.add(id(node.parent))
+            if body or node.tag == "h1" or id(node) in self.holds_article:
                 self.holds_article.add(id(node.parent))
 
-    def dropped(self, node: Node, in_article: bool) -> bool:
-        if node.tag in DROPPED or node.tag == "header" and not in_article:
-            return True
+    def _hidden(self, node: Node) -> bool:
         attrs = node.attrs
         if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true":
             return True
-        if re.search(r"display\s*:\s*none", attrs.get("style", ""), re.IGNORECASE):
+        return bool(re.search(r"display\s*:\s*none", attrs.get("style", ""), re.IGNORECASE))
+
+    def _holds_most(self, node: Node, share: float = 0.5) -> bool:
+        """Whether the text of a page without an article is mostly in this element."""
+        return id(self.root) not in self.holds_body and self.sizes[id(node)][0] > share * self.sizes[id(self.root)][0]
+
+    def dropped(self, node: Node, in_article: bool) -> bool:
+        """Whether an element is left out; ``in_article`` if it is inside an article or main element."""
+        if node.tag == "form":
+            if id(node) in self.holds_body:
+                return self._hidden(node)
+            if not self._holds_most(node):
+                return True
+        elif node.tag in DROPPED or node.tag == "header" and not in_article:
+            return True
+        if self._hidden(node):
             return True
         if node.tag in ("html", "body", "main") or id(node) in self.holds_article:
             return False
-        if attrs.get("role", "").lower() in DROPPED_ROLES:
+        if node.attrs.get("role", "").lower() in DROPPED_ROLES and not self._holds_most(node):
+            return True
+        return ("class" in node.attrs or "id" in node.attrs) and self._dropped_by_name(node, in_article)
+
+    def _dropped_by_name(self, node: Node, in_article: bool) -> bool:
+        """By a word of a class or id, but not what is part of the text.
+
+        In an article a named block with enough text of its own stays, and one named by its id
+        alone, as generated anchors are, with any. Elsewhere a block that holds most of the
+        page's text stays; one whose name begins with the word must hold nearly all of it.
+        What readers wrote and notices about cookies never stay.
+        """
+        tokens = _tokens(node)
+        if not _named(tokens):
+            return False
+        text, links = self.sizes[id(node)]
+        if in_article and not self._beside_article(node):
+            classes = [[word.lower() for word in NAME_PARTS.findall(name)] for name in node.attrs.get("class", "").split()]
+            if any(words and words[0] in NEVER_TEXT for words in classes):
+                return True
+            return links >= text or text < (LITTLE_TEXT if _named(classes) else LITTLE_ANCHORED)
+        if any(words and words[0] in NEVER_TEXT for words in tokens):
             return True
-        return bool(("class" in attrs or "id" in attrs) and _name_parts(node) & DROPPED_NAMES)
+        leading = any(words and words[0] in DROPPED_NAMES for words in tokens)
+        return not self._holds_most(node, 0.8 if leading else 0.5)
+
+    def _beside_article(self, node: Node) -> bool:
+        """Whether the element is inside a main element, but outside of the articles in it."""
+        at = node.parent
+        while at is not None and at.tag not in ("article", "main"):
+            at = at.parent
+        return at is not None and at.tag == "main" and id(at) in self.holds_body
 
     def _score(self, root: Node) -> None:
         """A block's own text counts for its container, half for the one above; links not.

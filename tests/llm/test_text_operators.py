@@ -457,6 +457,48 @@ def test_short_text_beside_an_article_stays_out():
     assert own_text(f"<body><main>{article}<div class=teasers>Read this as well.</div></main></body>") == ("long " * 300).strip()
 
 
+LONG = ("Long text of the page. " * 30).strip()
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><form id=aspnetForm><div id=content><p>{0}</p></div><input name=q></form></body>",
+        "<body><form class=search-page action=x><p>{0}</p></form><footer>Foot</footer></body>",
+        "<body><form><main><h1>{0}</h1></main></form></body>",
+        "<body><form role=form><div><article><p>{0}</p></article></div></form></body>",
+        "<body><div class='content has-sidebar'><p>{0}</p><div class=sidebar>Side</div></div><div class=footer>Foot</div></body>",
+        "<body><div class=banner><header><h1>Site</h1></header><p>{0}</p></div></body>",
+        "<body><main hidden>x</main><div class=widget-area><p>{0}</p></div></body>",
+        "<body><div id=content><p id=notice-period>{0}</p></div></body>",
+    ],
+)
+def test_forms_and_named_blocks_around_the_text(page):
+    assert own_text(page.format(LONG)) == LONG
+
+
+@pytest.mark.parametrize("outer", ["article", "main", "div"])
+def test_anchors_in_the_text(outer):
+    body = f"<h1>T</h1><h2 id=search-algorithms>Search</h2><p id=notice-period>{LONG}</p><ul><li id=social>One</ul>"
+    assert own_text(f"<body><{outer}>{body}</{outer}></body>") == f"T\n\nSearch\n\n{LONG}\n\nOne"
+
+
+@pytest.mark.parametrize("outer", ["article", "main"])
+def test_named_sections_of_an_article(outer):
+    sections = f"<section id=related-work><h2>Related work</h2><p>{LONG}</p></section><div id=social-history><p>A short part of the text, not an advertisement.</p></div>"
+    dropped = "<div class='share-box'>Share this</div><div class=comments><p>" + "I think so too. " * 40 + "</p></div><nav>Up</nav><form><p>Your name</p></form>"
+    dropped += "<div id=related-links>" + "<a href=x>An article to read next</a> " * 20 + "</div><div id=ad-1>Buy</div>"
+    got = own_text(f"<body><{outer}><h1>T</h1><p>Intro</p>{sections}{dropped}</{outer}><div class=sidebar>{LONG} {LONG}</div></body>")
+    assert got == f"T\n\nIntro\n\nRelated work\n\n{LONG}\n\nA short part of the text, not an advertisement."
+
+
+def test_blocks_that_are_still_dropped():
+    article = "<article><p>A short article.</p></article>"
+    for other in ("<div class=sidebar>", "<div class='cookie-wall'>", "<form>", "<div id=comments>"):
+        assert own_text(f"<body>{article}{other}<p>{LONG}</p></{other[1:].split()[0].rstrip('>')}></body>") == "A short article."
+    assert own_text(f"<body><div class=text><p>{LONG}</p></div><div class=sidebar><p>{LONG} More.</p></div></body>") == LONG
+
+
 def test_no_pages(spark):
     assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
