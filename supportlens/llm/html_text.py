@@ -26,12 +26,16 @@ RICH_SHARE = 0.2
 
 # Elements of HTML by their role; fixed values of the language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "xmp")
+RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe")
+#: Elements of other languages, in which "/>" ends an element.
+FOREIGN = frozenset(("svg", "math"))
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section "
-    "summary table tbody td tfoot th thead tr ul".split()
+    "summary table tbody td tfoot th thead tr ul xmp".split()
 )
+#: Elements of svg and math that hold HTML.
+EMBEDDING = frozenset("foreignobject annotation-xml mtext mi mo mn ms desc".split())
 CONTAINERS = frozenset("article body div main section td".split())
 #: Containers that are made for one text; a body or a table cell may hold anything.
 WRAPPERS = frozenset("article div main section".split())
@@ -48,7 +52,8 @@ ENDED_BY = {
 }
 #: Elements, roles and name parts of what is not part of an article.
 DROPPED = frozenset(
-    "aside audio button canvas dialog footer form head input menu nav object search select video".split()
+    "annotation annotation-xml aside audio button canvas dialog footer form head input menu nav object search select svg "
+    "video".split()
 )
 DROPPED_ROLES = frozenset(
     "alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split()
@@ -68,7 +73,8 @@ LITTLE_TEXT, LITTLE_ANCHORED = 200, 30
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<raw>{'|'.join(RAW)})\b[^>]*>.*?(?:</(?P=raw)\s*[^>]*>|\Z)"
+    rf"""|<(?P<raw>{'|'.join(RAW)})(?=[\s/>])(?:(?:[^>]*[\s"'])?/>|[^>]*>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z))"""
+    r"|<xmp(?=[\s/>])[^>]*>(?P<sample>.*?)(?:</xmp(?=[\s/>])[^>]*>|\Z)"
     r"""|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']*(?:"[^"]*"|'[^']*'))*[^>"']*)>"""
     r"|</?[a-zA-Z!?][^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
@@ -97,19 +103,28 @@ class Node:
 
 def parse(text: str) -> Node:
     root = node = Node("#page", {}, None)
+    foreign = None  # the svg or math element that is open
     at = 0
     for m in TOKEN.finditer(text):
         if m.start() > at:
             node.parts.append(text[at : m.start()])
         at = m.end()
+        if m["sample"] is not None:
+            sample = Node("xmp", {}, node := _paragraph_ended(node))
+            sample.parts.append(m["sample"].replace("&", "&amp;"))
+            node.parts.append(sample)
+            continue
         tag = m["tag"]
         if not tag:
             continue
         tag = tag.lower()
         if m["close"]:
             node = _closed(node, tag)
+            foreign = foreign and _open_foreign(node)
             continue
         if tag in BLOCKS:
+            if foreign and not _embeds(node, foreign):
+                node, foreign = foreign.parent, None
             node = _paragraph_ended(node)
         if tag in ENDED_BY:
             node = _implied_end(node, *ENDED_BY[tag])
@@ -118,13 +133,36 @@ def parse(text: str) -> Node:
             attrs.setdefault(name.lower(), html.unescape(a or b or c))
         new = Node(tag, attrs, node)
         node.parts.append(new)
-        if tag not in VOID:
-            node = new
+        if tag in VOID or (foreign or tag in FOREIGN) and m["attrs"].endswith("/"):
+            continue
+        node = new
+        foreign = foreign or (new if tag in FOREIGN else None)
     if at < len(text):
         node.parts.append(text[at:])
     return root
 
 
+def _open_foreign(node: Node) -> Node | None:
+    """The outermost svg or math element around a place."""
+    found = None
+    at: Node | None = node
+    while at is not None:
+        if at.tag in FOREIGN:
+            found = at
+        at = at.parent
+    return found
+
+
+def _embeds(node: Node, foreign: Node) -> bool:
+    """Whether blocks may stand at this place of a foreign element; elsewhere they end it."""
+    at = node
+    while at is not foreign:
+        if at.tag in EMBEDDING:
+            return True
+        at = at.parent
+    return False
+
+
 def _closed(node: Node, tag: str) -> Node:
     at = node
     while at.parent is not None:

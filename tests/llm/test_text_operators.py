@@ -499,6 +499,32 @@ def test_blocks_that_are_still_dropped():
     assert own_text(f"<body><div class=text><p>{LONG}</p></div><div class=sidebar><p>{LONG} More.</p></div></body>") == LONG
 
 
+@pytest.mark.parametrize(
+    ("middle", "kept"),
+    [
+        ('<svg class="i"/>', []),
+        ("<svg class=i/>", []),
+        ("<svg/>", []),
+        ("<svg viewBox='0 0 1 1'><title>Icon</title><path d='M0'/><text>Label</text></svg>", []),
+        ("<svg class=i><path d=M0>", []),
+        ("<svg><foreignObject><div><p>Inside</p></div></foreignObject></svg>", []),
+        ("<math/>", []),
+        ("<p>for <math><mi>x</mi><mo>=</mo><mn>1</mn><mspace/></math> only</p>", ["for x=1 only"]),
+        ("<p><math><semantics><mi>y</mi><annotation encoding='application/x-tex'>y</annotation></semantics></math></p>", ["y"]),
+        ("<xmp><b>a</b> &lt; b</xmp>", ["<b>a</b> &lt; b"]),
+        ("<title-card><p>Card</p></title-card>", ["Card"]),
+        ("<script-list><p>List</p></script-list><style-guide>Guide</style-guide>", ["List", "Guide"]),
+        ("<script src='x'/>", []),
+        ("<iframe src=x />", []),
+        ("<script src=http://h.example/>var a = 1</script >", []),
+        ("<script>'</script-x>'</script>", []),
+    ],
+)
+def test_foreign_raw_and_custom_elements(middle, kept):
+    got = own_text(f"<body><article><h1>T</h1><p>one</p>{middle}<p>two</p><p>three</p></article></body>")
+    assert got == "\n\n".join(["T", "one", *kept, "two", "three"])
+
+
 def test_no_pages(spark):
     assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
