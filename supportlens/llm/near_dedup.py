@@ -6,7 +6,7 @@ principle, signatures that differ in at most 35 of 72 symbols differ in at most
 one of 18 chunks of four; so each chunk is indexed four times, each time without one symbol.
 All pairs under the threshold meet in a bucket. Links are confirmed on whole shingle sets.
 
-Equal sets count as one text. In the buckets of the first chunks, a text proposes its nearest
+Equal sets count as one text, whatever documents hold it. In the buckets of the first chunks, a text proposes its nearest
 neighbours; once their links are confirmed and components known, all buckets that still hold
 several components are read, and all pairs under the threshold that join different ones are
 compared. So no link between components is lost, and a group of copies costs about as many
@@ -23,7 +23,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from supportlens.llm.common import packed, text_of
 from supportlens.llm.shingles import mixed, shingle_sets
@@ -53,7 +53,7 @@ _MULTIPLY = _RNG.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) +
 _FLIP = _RNG.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)
 
 SIGNED = pa.schema(
-    [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("signature", pa.binary())]
+    [("doc_id", pa.int64()), ("key", pa.string()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("signature", pa.binary())]
 )
 KEYED = pa.schema([("key", pa.int64()), ("doc", pa.int64())])
 PLACED = pa.schema(
@@ -79,6 +79,10 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return batch.column("text").cast(pa.binary()).to_pylist()
 
 
+def _digest(hashes: bytes) -> bytes:
+    return hashlib.blake2b(hashes, digest_size=16).digest()
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, digests, signed = [], [], []
@@ -86,10 +90,10 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes.append(np.diff(borders))
             for i in range(len(borders) - 1):
                 part = hashes[borders[i] : borders[i + 1]]
-                digests.append(hashlib.blake2b(part.tobytes(), digest_size=16).digest())
+                digests.append(_digest(part.tobytes()))
             signed += [row.tobytes() for row in signatures(hashes, borders)]
         n = np.concatenate(sizes) if sizes else np.zeros(0, dtype="int64")
-        arrays = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(signed, pa.binary())]
+        arrays = [batch.column("doc_id"), batch.column("key"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(signed, pa.binary())]
         yield pa.RecordBatch.from_arrays(arrays, schema=SIGNED)
 
 
@@ -280,13 +284,16 @@ def _linked(p: np.ndarray, q: np.ndarray) -> bool:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets of the texts that have the wanted one; a document may have other texts, too."""
     for batch in batches:
         out = [
             hashes[borders[i] : borders[i + 1]].tobytes()
             for hashes, borders in shingle_sets(_texts(batch))
             for i in range(len(borders) - 1)
         ]
-        yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(out, pa.binary())], schema=SETS)
+        wanted = batch.column("set_id").to_pylist()
+        right = pa.array([_digest(held) == digest for held, digest in zip(out, wanted, strict=True)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(out, pa.binary())], schema=SETS).filter(right)
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,25 +305,25 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
 
-def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc, hashes) of the documents in ``wanted`` (doc).
+def _whole_sets(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc, hashes) of the sets in ``wanted`` (doc), read from the documents that hold them.
 
     A bit table of fixed size, whatever the corpus, keeps out most texts that are not wanted;
     the join after it is exact.
     """
-    wanted = wanted.distinct()
-    place = F.pmod(F.xxhash64("doc"), F.lit(64 * FILTER_WORDS))
+    wanted = sets.select("doc", "doc_id", "set_id").join(wanted.distinct(), "doc", "left_semi")
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(64 * FILTER_WORDS))
     bits = wanted.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word"))
     table = bits.agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 AS int))")).alias("bits"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), text_of().alias("text")).where("doc IS NOT NULL")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).where("doc_id IS NOT NULL")
     likely = (
         texts.withColumn("place", place)
         .withColumn("word", F.shiftright("place", 6))
         .join(F.broadcast(table), "word")
         .where(F.getbit("bits", F.col("place") % 64) == 1)
-        .select("doc", "text")
+        .select("doc_id", "text")
     )
-    return likely.join(wanted, "doc", "left_semi").mapInArrow(_sets, "doc long, hashes binary")
+    return likely.join(wanted, "doc_id").select("doc", "set_id", "text").mapInArrow(_sets, "doc long, hashes binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -387,33 +394,38 @@ def _in_buckets(placed: DataFrame, *tables: DataFrame) -> DataFrame:
     return placed.repartition(n, *order).sortWithinPartitions(*order, "doc")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Component of each row of ``docs`` (doc_id, text) under shingle similarity.
+def _named(sets: DataFrame, parts: DataFrame) -> DataFrame:
+    """(set_id, component) of every set: the smallest doc_id of all sets that it is linked with."""
+    linked = parts.join(sets.select("doc", "doc_id"), "doc")
+    least = linked.groupBy(F.col("part").alias("head")).agg(F.min("doc_id").alias("component"))
+    placed = linked.join(least, F.col("part") == F.col("head")).select("doc", "component")
+    return sets.join(placed, "doc", "left").select("set_id", F.coalesce("component", "doc_id").alias("component"))
 
-    Returns doc_id, n_shingles, component_id and kept. The set of a text holds its distinct
-    runs of five words, A-Z lower-cased, or all words if they are fewer; texts without words,
-    null included, are linked with nothing. ``component_id`` is the smallest doc_id that can
-    be reached over links; that document is kept. A row without a doc_id is counted in its
-    set's group but links to nothing else, and it is its own component (null, kept) unless
-    a document of the same set has an id. Rows that repeat a doc_id and text share the
-    result. Further columns are ignored; an empty table gives an empty result.
+
+def _judged(docs: DataFrame, key: Column) -> DataFrame:
+    """``near_duplicates`` with the column ``key`` of each row.
+
+    Sets are numbered; ``doc`` is the number of a set in all steps, ``doc_id`` the smallest
+    document that has it. A document with several texts may so stand for several sets.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), text_of().alias("text"))
     signed = materialize(
-        texts.mapInArrow(_sign, "doc_id long, n_shingles long, set_id binary, signature binary"), "signatures"
+        texts.mapInArrow(_sign, "doc_id long, key string, n_shingles long, set_id binary, signature binary"), "signatures"
     )
     sets = materialize(
         signed.where("n_shingles > 0")
         .groupBy("set_id")
-        .agg(F.min("doc_id").alias("doc"), F.max("n_shingles").alias("n_shingles")),
+        .agg(F.min("doc_id").alias("doc_id"))
+        .withColumn("doc", F.monotonically_increasing_id()),
         "set-holders",
     )
-    # Rows that repeat a doc_id with other texts cannot be told apart later: one set per id.
-    holders = sets.where("doc IS NOT NULL").groupBy("doc").agg(F.min("set_id").alias("set_id"))
+    # Sets that only rows without an id have are linked with nothing.
+    holders = sets.where("doc_id IS NOT NULL")
     first = materialize(
-        signed.select(F.col("doc_id").alias("doc"), "set_id", "n_shingles", "signature")
-        .join(holders, ["doc", "set_id"])
+        signed.select("doc_id", "set_id", "n_shingles", "signature")
+        .join(holders, ["doc_id", "set_id"])
         .dropDuplicates(["doc"])
+        .select("doc", "n_shingles", "signature")
         .withColumn("part", F.col("doc")),
         "first-of-sets",
     )
@@ -423,7 +435,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = materialize(sorted_keys.mapInArrow(_shared, "key long, doc long, size long"), "shared-keys")
     early = shared.where(F.col("key") < FIRST_CHUNKS * CHUNK << 48)
     pairs = materialize(_in_buckets(_placed(early), first).mapInArrow(_nearest, "a long, b long").distinct(), "near-pairs")
-    links = materialize(_confirmed(pairs, _whole_sets(docs, _ends(pairs))), "near-links")
+    links = materialize(_confirmed(pairs, _whole_sets(docs, holders, _ends(pairs))), "near-links")
     parts = components(links)
     labelled = first.drop("part").join(parts, "doc", "left").withColumn("part", F.coalesce("part", "doc"))
     labelled = materialize(labelled, "labelled")
@@ -431,15 +443,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         _taking_part, "key long, low int, high int, doc long, block int"
     )
     rest = materialize(rest, "unsettled")
-    whole = _whole_sets(docs, rest.select("doc"))
+    whole = _whole_sets(docs, holders, rest.select("doc"))
     joining = materialize(
         _in_buckets(rest, labelled, whole).mapInArrow(_joined, "a long, b long").distinct(), "joining-links"
     )
     if not joining.isEmpty():
         parts = components(links.union(joining))
-    named = sets.join(parts, "doc", "left").select("set_id", F.coalesce("part", "doc").alias("part"))
-    component = F.when(F.col("n_shingles") > 0, F.col("part")).otherwise(F.col("doc_id"))
-    return signed.join(named, "set_id", "left").select(
+    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
+    return signed.join(_named(sets, parts), "set_id", "left").select(
+        "key",
         "doc_id",
         "n_shingles",
         component.alias("component_id"),
@@ -447,8 +459,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """Component of each row of ``docs`` (doc_id, text) under shingle similarity.
+
+    Returns doc_id, n_shingles, component_id and kept. The set of a text holds its distinct
+    runs of five words, A-Z lower-cased, or all words if they are fewer; texts without words,
+    null included, are linked with nothing. ``component_id`` is the smallest doc_id that can
+    be reached over links; that document is kept. A row without a doc_id is counted in its
+    set's group but links to nothing else, and it is its own component (null, kept) unless
+    a document of the same set has an id. Rows that repeat a doc_id and text share the
+    result; rows that repeat a doc_id with other texts are judged one by one, each by its
+    text, and a row is kept if its own component is named by its doc_id. Further columns are
+    ignored; an empty table gives an empty result.
+    """
+    return _judged(docs, F.lit(None).cast("string")).drop("key")
+
+
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` without near duplicates: one document per component, all columns as they were."""
-    named = F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("key")
-    kept = near_duplicates(docs).where("kept").select(named).distinct()
+    """``docs`` without near duplicates: one document per component, all columns as they were.
+
+    Rows are found by doc_id and text.
+    """
+    named = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.md5(text_of())).alias("key")
+    kept = _judged(docs, named).where("kept").select("key").distinct()
     return packed(docs, named).join(kept, "key", "left_semi").select("row.*")

@@ -112,6 +112,28 @@ def test_large_group_of_near_copies(spark, monkeypatch, block_rows):
     assert got == expected
 
 
+def test_ids_repeated_with_other_texts(spark):
+    """Each text of an id is linked on its own, and a component has its smallest id."""
+    text = {c: " ".join(f"{c}{k}" for k in range(100)) for c in "abcd"}
+    near = {c: t.replace(f"{c}50", "other") for c, t in text.items()}
+    rows = [(5, text["a"]), (5, text["b"]), (5, text["c"]), (5, text["c"])]
+    rows += [(7, near["a"]), (8, near["b"]), (9, near["c"]), (9, near["a"]), (3, near["b"] + " end"), (1, text["d"]), (1, "alone"), (6, near["d"])]
+    rows += [(None, near["c"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    numbered = {i + 1: t for i, (d, t) in enumerate(rows)}
+    roots = {i: root for i, (_, root) in expected_components(list(numbered.items())).items()}
+    least = {}
+    for i, root in roots.items():
+        if rows[i - 1][0] is not None:
+            least[root] = min(least.get(root, 99), rows[i - 1][0])
+    expected = sorted((d, least[roots[i + 1]]) for i, (d, _) in enumerate(rows) if d is not None)
+    got = near_dedup.near_duplicates(docs).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got if r["doc_id"] is not None) == expected
+    assert [(r["component_id"], r["kept"]) for r in got if r["doc_id"] is None] == [(5, False)]
+    kept = sorted((r["doc_id"], r["text"]) for r in near_dedup.keep_one_of_each(docs).collect())
+    assert kept == sorted([(5, text["a"]), (5, text["c"]), (5, text["c"]), (3, near["b"] + " end"), (1, text["d"]), (1, "alone")])
+
+
 def test_near_empty_and_columns(no_docs, odd_docs):
     assert near_dedup.near_duplicates(no_docs).count() == 0
     kept = near_dedup.keep_one_of_each(odd_docs)
