@@ -3,11 +3,15 @@
 Every document gets an exponential key scaled by its quality weight, drawn from a hash
 of its id, so reruns agree. Whole epochs of a source come first; the rest of its target
 is filled in key order by a prefix sum. The prefix sum runs over cells of the key range
-first and over the rows of a cell then, so no task holds a whole source.
+first and over the rows of a cell then, so no task holds a whole source. Cells are even
+steps of the key's logarithm: an exponential key, whatever its weight, falls into a step of
+width e * t with a chance of at most t, and so does any mixture of weights.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from supportlens.llm.common import WORD, packed, text_of
@@ -18,6 +22,7 @@ SOURCE_WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 #: No source is taken more often than this.
 MAX_EPOCHS = 2
+#: Rows that a cell holds at most, by expectation.
 CELL_ROWS = 5000
 
 
@@ -34,6 +39,12 @@ def quality_weight() -> Column:
     return 1.0 / (1.0 + 20.0 * signs / F.greatest(F.length(text), F.lit(1)))
 
 
+def cell_of(rank_key: Column, n_rows: Column) -> Column:
+    """The cell of a key in a source of ``n_rows``; cells follow the order of the keys."""
+    bounded = F.least(F.greatest(rank_key, F.lit(1e-300)), F.lit(1e300))
+    return F.floor(F.ceil(n_rows / CELL_ROWS) / math.e * F.log(bounded)).cast("long")
+
+
 def source_targets(sources: DataFrame, weights=SOURCE_WEIGHTS, share: float = SHARE) -> DataFrame:
     """Add ``target`` to one row per source (source_key, source_size).
 
@@ -86,10 +97,7 @@ def mix(docs: DataFrame, quality: Column | None = None, seed: int = 20, weights=
     )
     sources = stats.groupBy("source_key").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
     targets = materialize(source_targets(sources, weights, share), "mix-targets")
-    n_cells = F.ceil(F.col("n_rows") / CELL_ROWS)
-    rows = stats.join(targets, "source_key").withColumn(
-        "cell", F.floor(n_cells * (1 - F.exp(-F.col("rank_key")))).cast("long")
-    )
+    rows = stats.join(targets, "source_key").withColumn("cell", cell_of(F.col("rank_key"), F.col("n_rows")))
     in_order = Window.partitionBy("source_key").orderBy("cell")
     cells = (
         rows.groupBy("source_key", "cell")

@@ -128,6 +128,16 @@ def test_quality_weights_draw_more(spark):
     assert share[1] > share[0] + 0.1
 
 
+@pytest.mark.parametrize("weight", ["1.0", "0.01", "300.0", "if(doc_id % 2 = 0, 1.0, 1.0 / 3)", "if(doc_id % 10 = 0, 1.0, 0.001)"])
+def test_cells_are_even_for_any_weights(spark, monkeypatch, weight):
+    monkeypatch.setattr(mixing, "CELL_ROWS", 500)
+    keyed = spark.range(20_000).withColumnRenamed("id", "doc_id").withColumn("key", -F.log(mixing.uniform(20)) / F.expr(weight))
+    cells = keyed.groupBy(mixing.cell_of(F.col("key"), F.lit(20_000)).alias("cell")).agg(F.count("*").alias("n"), F.min("key").alias("least"), F.max("key").alias("most"))
+    rows = cells.orderBy("cell").collect()
+    assert max(r["n"] for r in rows) < 1.2 * 500
+    assert all(a["most"] < b["least"] for a, b in zip(rows, rows[1:]))
+
+
 def test_mixed_rows(odd_docs, no_docs):
     assert mixing.mix(no_docs).count() == 0 and mixing.mixed_rows(no_docs).count() == 0
     rows = mixing.mixed_rows(odd_docs)
