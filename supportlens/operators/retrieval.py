@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from supportlens import constants as C
 from supportlens.functions import text as X
+from supportlens.session import materialize
 
 # Queries up to this many bytes of vectors go to every task; more are joined in blocks.
 BROADCAST_BYTES = 64 << 20
@@ -393,7 +394,8 @@ def ann_topk(
     A query is compared with the ``probes`` share of the lists nearest to it. Vectors without
     any structure need about half of the lists for a recall of 0.9; vectors that form clusters
     need few, so measure it and lower the share. Only the centres come from a bounded sample.
-    Large lists are cut into blocks like any other group.
+    Large lists are cut into blocks like any other group. Queries whose lists hold too few
+    vectors, as on very small tables, are searched exactly.
     """
     wanted = k + 1 if skip_self else k
     asked, distinct, found = _distinct_sides(queries, corpus, id_column, vector, [], wanted)
@@ -404,4 +406,13 @@ def ann_topk(
     held = in_nearest_lists(found, centres, 1)
     partial = _compare_blocks(probed, held, ["list"], wanted, block_rows).drop("list")
     shared = _final_rank(partial, wanted).drop("rank")
-    return _shared_out(asked, distinct, shared, [], k, skip_self)
+    near = materialize(_shared_out(asked, distinct, shared, [], k, skip_self), "ann-matches")
+    # A query that is in the corpus has one other vector less, which only a table of k rows shows.
+    others = _as_side(corpus, id_column, vector, []).limit(k).count()
+    full = near.groupBy("query_id").count().where(F.col("count") >= others).select(F.col("query_id").alias("full_id"))
+    known = F.col(id_column).cast("bigint") == F.col("full_id")
+    short = materialize(queries.join(full, known, "left_anti").where(F.col(vector).isNotNull()).select(id_column, vector), "ann-short")
+    if short.isEmpty():
+        return near
+    exact = vector_topk(short, corpus, id_column, vector, k, skip_self, block_rows=block_rows)
+    return near.join(full, F.col("query_id") == F.col("full_id"), "left_semi").unionByName(exact)

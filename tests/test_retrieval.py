@@ -97,6 +97,17 @@ def test_ann_of_vectors_without_structure_compares_fewer_pairs(spark):
     assert compared < 0.7 * 401**2
 
 
+@pytest.mark.parametrize("n", [1, 2, 4, 5])
+def test_ann_fills_up_on_small_tables(spark, n):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=6).tolist(), "") for i in range(n)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    found = matches(R.ann_topk(frame, frame, "id", "v", 3, skip_self=True))
+    assert {i: len(found.get(i, [])) for i, _, _ in rows} == {i: min(3, n - 1) for i, _, _ in rows}
+    if n <= 4:
+        assert {i: found.get(i, []) for i, _, _ in rows} == brute_force(rows, 3)
+
+
 def test_ann_of_few_rows(spark):
     frame = spark.createDataFrame(vectors(2), SCHEMA)
     assert matches(R.ann_topk(frame, frame, "id", "v", 3, skip_self=True, probes=1.0)) == {0: [1], 1: [0]}
