@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from supportlens.llm import (
+    alignment,
     chat_format,
     exact_dedup,
     html_text,
@@ -18,6 +19,7 @@ from supportlens.llm import (
     sharding,
     url_filter,
 )
+from supportlens.llm.tokens import piece_vocabulary
 from supportlens.llm.common import table
 from supportlens.session import apply_settings
 
@@ -44,6 +46,17 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def pieces() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def hashed_groups(groups: str) -> Column:
+    """The digest of the groups; none where there are none."""
+    return F.when(F.col(groups) == "", "").otherwise(F.sha2(groups, 256))
+
+
 def _query(sql: str | None = None):
     def add(function: Query) -> Query:
         QUERIES[function.__name__] = lambda spark, sf_dir: function(apply_settings(spark), sf_dir)
@@ -243,3 +256,13 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@_query()
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = alignment.links(table(spark, sf_dir, "documents"), vocabulary(), pieces())
+    named = linked.withColumn("groups_sha256", hashed_groups("groups")).drop("groups")
+    scored = alignment.with_counts(named, piece_vocabulary(pieces()).size)
+    return scored.select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
