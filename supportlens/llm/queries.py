@@ -17,7 +17,9 @@ from supportlens.llm import (
     quality,
     secret_scan,
     sharding,
+    spelling,
     url_filter,
+    warc,
 )
 from supportlens.llm.tokens import piece_vocabulary
 from supportlens.llm.common import table
@@ -266,3 +268,32 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
     )
+
+
+@_query()
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    variants = spelling.spelling_variants(table(spark, sf_dir, "documents"))
+    return variants.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@_query(
+    """
+    WITH payloads AS (SELECT page_id, coalesce(html, '') AS t, strlen(coalesce(html, '')) AS n FROM pages),
+    held AS (SELECT t, max(page_id) AS holder FROM payloads WHERE n >= 1000 GROUP BY t)
+    SELECT page_id, n::BIGINT AS payload_bytes, sha1(t) AS payload_digest,
+      CASE WHEN holder IS NULL OR page_id IS NOT DISTINCT FROM holder THEN 'response' ELSE 'revisit' END AS record_type,
+      CASE WHEN page_id IS DISTINCT FROM holder THEN holder END AS refers_to
+    FROM payloads LEFT JOIN held USING (t)
+    """
+)
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = warc.write_archives(table(spark, sf_dir, "pages"))
+    records = warc.read_archives(files, payloads=False).where("record_type IS DISTINCT FROM 'warcinfo'")
+    broken = F.raise_error(F.concat_ws(" ", "fault", "path", "offset"))
+    return records.select(
+        warc.page_of(F.col("record_id")).alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        F.when(F.col("fault").isNull(), F.col("record_type")).otherwise(broken).alias("record_type"),
+        warc.page_of(F.col("refers_to")).alias("refers_to"),
+    )
