@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from supportlens.llm.common import text_of
-from supportlens.llm.tokens import ID, UnequalBytes, byte_vocabulary, piece_vocabulary
+from supportlens.llm.tokens import CUT, ID, UnequalBytes, byte_vocabulary, piece_vocabulary
 from supportlens.session import materialize
 
 #: Bytes between the places of one document in the state vector.
@@ -81,8 +82,11 @@ def merge(ends_a: np.ndarray, ends_b: np.ndarray, borders: np.ndarray, place_byt
     return np.concatenate(links_a), np.concatenate(links_b), closes_a, closes_b
 
 
-def written(ids_a: np.ndarray, ids_b: np.ndarray, closes_a: np.ndarray, closes_b: np.ndarray):
-    """``a1,a2|b1;`` of all groups in one array of characters, and where each A token begins in it."""
+def written(ids_a: np.ndarray, ids_b: np.ndarray, closes_a: np.ndarray, closes_b: np.ndarray, size: int):
+    """``a1,a2|b1;`` of all groups in one array of characters, and where each A token begins in it.
+
+    All ids are below ``size``.
+    """
     group_a = np.cumsum(closes_a) - closes_a
     group_b = np.cumsum(closes_b) - closes_b
     upto_a = np.flatnonzero(closes_a) + 1
@@ -94,20 +98,21 @@ def written(ids_a: np.ndarray, ids_b: np.ndarray, closes_a: np.ndarray, closes_b
     ids[place_a], ids[place_b] = ids_a, ids_b
     ends[place_a] = np.where(closes_a, ord("|"), ord(","))
     ends[place_b] = np.where(closes_b, ord(";"), ord(","))
-    digits = np.ones(n, dtype=np.int64)
-    power = 10
-    while n and power <= ids.max():
-        digits += ids >= power
-        power *= 10
-    after = np.cumsum(digits + 1)
-    out = np.empty(after[-1] if n else 0, dtype=np.uint8)
-    out[after - 1] = ends
-    place, rest, left = after - 2, ids, digits
-    while len(place):
-        out[place] = ord("0") + rest % 10
-        more = left > 1
-        place, rest, left = place[more] - 1, rest[more] // 10, left[more] - 1
-    return out, (after - digits - 1)[place_a]
+    characters, digits = _decimals(size)
+    width = characters.shape[1]
+    digits = digits[ids]
+    lines = characters[ids]
+    lines[np.arange(n), digits] = ends
+    begins = np.cumsum(digits + 1) - digits - 1
+    return lines[np.arange(width) <= digits[:, None]], begins[place_a]
+
+
+@lru_cache(maxsize=1)
+def _decimals(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers below ``size`` as rows of characters with room for one more, and their lengths."""
+    numbers = np.arange(size)
+    names = numbers.astype(f"S{len(str(size)) + 1}")
+    return names.view(np.uint8).reshape(size, -1), np.char.str_len(names)
 
 
 class _Batch:
@@ -122,8 +127,8 @@ class _Batch:
         size = 0
         if text:
             try:
-                b = vocabulary_b.after_blank(text)
-                a = vocabulary_a.after_blank(text)
+                pieces = CUT.split(text)
+                a, b = vocabulary_a.words(pieces), vocabulary_b.words(pieces)
                 size = 1 + len(text.encode())
             except UnequalBytes:
                 a = b = b""
@@ -149,7 +154,7 @@ class _Batch:
         keys, times = np.unique(keys, return_counts=True)
         cuts = np.searchsorted(keys, np.arange(n + 1) << 32)
         pairs, times = (keys & 0xFFFFFFFF).astype(ID), times.astype(ID)
-        characters, begins = written(ids_a, ids_b, closes_a, closes_b)
+        characters, begins = written(ids_a, ids_b, closes_a, closes_b, max(len(lengths_a), len(lengths_b)))
         begins = np.concatenate((begins, [len(characters)]))[np.concatenate(([0], np.cumsum(n_a)))]
         text = characters.tobytes()
         groups = [text[x : max(x, y - 1)] for x, y in zip(begins[:-1], begins[1:], strict=True)]
@@ -163,10 +168,6 @@ class _Batch:
         return pa.RecordBatch.from_arrays(arrays, schema=LINKED)
 
 
-def _lengths(vocabulary) -> np.ndarray:
-    return np.array([len(token) for token in vocabulary.bytes], dtype=np.int64)
-
-
 def links(docs: DataFrame, path_a: str, path_b: str, place_bytes: int = PLACE_BYTES) -> DataFrame:
     """Groups and links of every row of ``docs`` (doc_id, text); the paths must exist on all executors.
 
@@ -186,7 +187,7 @@ def links(docs: DataFrame, path_a: str, path_b: str, place_bytes: int = PLACE_BY
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = byte_vocabulary(path_a), piece_vocabulary(path_b)
-        lengths_a, lengths_b = _lengths(a), _lengths(b)
+        lengths_a, lengths_b = a.words.lengths, b.words.lengths
         row = TaskContext.get().partitionId() << 40
         held = _Batch()
         for batch in batches:

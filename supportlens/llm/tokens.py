@@ -9,33 +9,82 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
 
 CUT = re.compile(r" (?<=\S )(?=\S)")
-CACHED_WORDS = 300_000
+#: Pieces held at a time, and as many that were used before.
+CACHED_WORDS = 200_000
 ID = np.dtype("<u4")
 #: The character that stands for a blank in the pieces of a sentence-piece vocabulary.
 BLANK = "▁"
 
 
 class UnequalBytes(ValueError):
-    """The bytes of a word's tokens are not the word's own."""
+    """The bytes of a text's tokens are not the text's own."""
 
 
-class Words(dict):
-    """Little-endian 32-bit token ids of pieces, each with the blank before it."""
+class Words:
+    """Little-endian 32-bit token ids of pieces, each with the blank before it.
 
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
+    The pieces of a text that are not known yet are encoded together, as the text that they
+    make, and cut apart by the bytes of their tokens. When ``limit`` pieces are held, those
+    not used since the last time are forgotten.
+    """
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        ids = self[piece] = np.array(self.encode(" " + piece), dtype=ID).tobytes()
-        return ids
+    def __init__(self, encode, token_bytes: list[bytes], limit: int = CACHED_WORDS):
+        self.encode, self.token_bytes, self.limit = encode, token_bytes, limit
+        self.lengths = np.array([len(token) for token in token_bytes], dtype=np.int64)
+        self.held: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def __call__(self, pieces: list[str]) -> bytes:
+        try:
+            return b"".join(map(self.held.__getitem__, pieces))
+        except KeyError:
+            self._learn(pieces)
+            return b"".join(map(self.held.__getitem__, pieces))
+
+    def _learn(self, pieces: list[str]) -> None:
+        if len(self.held) >= self.limit:
+            self.older, self.held = self.held, {}
+        new = set(pieces).difference(self.held)
+        known = [piece for piece in new if piece in self.older]
+        self.held.update((piece, self.older[piece]) for piece in known)
+        new.difference_update(known)
+        # Pieces with white space at an end would be cut in other places beside their neighbours.
+        whole = [piece for piece in new if piece and piece.strip() == piece]
+        if not self._together(whole):
+            self._one_by_one(whole)
+        if len(whole) < len(new):
+            self._one_by_one(new.difference(whole))
+
+    def _together(self, pieces: list[str]) -> bool:
+        text = "".join([" " + piece for piece in pieces])
+        data = text.encode()
+        ids = np.array(self.encode(text), dtype=ID) if pieces else np.zeros(0, dtype=ID)
+        if b"".join([self.token_bytes[i] for i in ids.tolist()]) != data:
+            return False
+        ends = np.cumsum(self.lengths[ids])
+        sizes = map(len, pieces if len(text) == len(data) else [piece.encode() for piece in pieces])
+        borders = np.cumsum(np.fromiter(sizes, np.int64, len(pieces)) + 1)
+        cuts = np.searchsorted(ends, borders)
+        if (ends[cuts] != borders).any():
+            return False
+        raw, at = ids.tobytes(), 0
+        for piece, cut in zip(pieces, ((cuts + 1) * ID.itemsize).tolist(), strict=True):
+            self.held[piece] = raw[at:cut]
+            at = cut
+        return True
+
+    def _one_by_one(self, pieces: Iterable[str]) -> None:
+        for piece in pieces:
+            ids = self.encode(" " + piece)
+            if b"".join([self.token_bytes[i] for i in ids]) != (" " + piece).encode():
+                raise UnequalBytes(piece)
+            self.held[piece] = np.array(ids, dtype=ID).tobytes()
 
 
 class ByteVocabulary:
@@ -63,18 +112,18 @@ class ByteVocabulary:
         self.encoding = tiktoken.Encoding(
             "bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         )
-        self.words = Words(self.encoding.encode_ordinary)
         longest = sorted(self.special, key=len, reverse=True)
         self.marks = re.compile("|".join(map(re.escape, longest))) if longest else None
         self.size = 1 + max([*vocabulary.values(), *self.special.values()])
         self.bytes = [b""] * self.size
         for token, i in ranks.items():
             self.bytes[i] = token
+        self.words = Words(self.encoding.encode_ordinary, self.bytes)
 
     def plain(self, text: str) -> bytes:
         first, *pieces = CUT.split(text)
         head = np.array(self.encoding.encode_ordinary(first), dtype=ID).tobytes()
-        return head + b"".join(map(self.words.__getitem__, pieces))
+        return head + self.words(pieces)
 
     def marked(self, text: str) -> bytes:
         if self.marks is None or not any(mark in text for mark in self.special):
@@ -85,10 +134,6 @@ class ByteVocabulary:
             at = found.end()
         return b"".join([*out, self.plain(text[at:])])
 
-    def after_blank(self, text: str) -> bytes:
-        """Ids of a blank and ``text``, special strings as ordinary text."""
-        return b"".join(map(self.words.__getitem__, CUT.split(text)))
-
 
 class PieceVocabulary:
     """A sentence-piece vocabulary that adds a blank before a text and changes nothing else.
@@ -108,16 +153,11 @@ class PieceVocabulary:
             bytes([int(piece[3:5], 16)]) if self.model.is_byte(i) else piece.replace(BLANK, " ").encode()
             for i, piece in enumerate(pieces)
         ]
-        self.words = Words(self._checked)
-
-    def _checked(self, piece: str) -> list[int]:
-        ids = self.model.encode(piece[1:]) if piece != " " else [self.model.piece_to_id(BLANK)]
-        if b"".join(self.bytes[i] for i in ids) != piece.encode():
-            raise UnequalBytes(piece)
-        return ids
+        self.words = Words(self._encode, self.bytes)
 
-    def after_blank(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, CUT.split(text)))
+    def _encode(self, text: str) -> list[int]:
+        """Ids of a text that begins with a blank, which the vocabulary adds, but not to an empty text."""
+        return self.model.encode(text[1:]) if len(text) > 1 else [self.model.piece_to_id(BLANK)]
 
 
 @lru_cache(maxsize=4)

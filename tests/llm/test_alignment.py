@@ -113,5 +113,14 @@ def test_cached_ids_equal_the_libraries(coders, small_docs):
     a, b = coders
     known_a, known_b = tokens.byte_vocabulary(queries.vocabulary()), tokens.piece_vocabulary(queries.pieces())
     for text in [t for t in TEXTS if t and "▁" not in t] + [r["text"] for r in small_docs.limit(40).collect()]:
-        assert np.frombuffer(known_a.after_blank(text), dtype="<u4").tolist() == a.encode(" " + text, add_special_tokens=False).ids
-        assert np.frombuffer(known_b.after_blank(text), dtype="<u4").tolist() == b.encode(text)
+        pieces = tokens.CUT.split(text)
+        assert np.frombuffer(known_a.words(pieces), dtype="<u4").tolist() == a.encode(" " + text, add_special_tokens=False).ids
+        assert np.frombuffer(known_b.words(pieces), dtype="<u4").tolist() == b.encode(text)
+
+
+def test_words_are_forgotten_in_turn():
+    words = tokens.Words(lambda text: list(text.encode()), [bytes([i]) for i in range(256)], limit=3)
+    read = lambda *pieces: np.frombuffer(words(list(pieces)), dtype="<u4").tolist()
+    for pieces in (["a", "b"], ["c", "d"], ["a"], ["e", "a"], ["f"], ["g"], ["h", ""], ["a", "é "]):
+        assert read(*pieces) == list("".join(" " + piece for piece in pieces).encode())
+    assert len(words.held) <= 4 and len(words.older) <= 4
