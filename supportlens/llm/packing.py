@@ -8,10 +8,7 @@ window, is merged over groups of tasks.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
-from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from supportlens.llm.common import text_of
+from supportlens.llm.tokens import ID, byte_vocabulary
 from supportlens.session import materialize
 
 WINDOW = 2048
@@ -26,7 +24,7 @@ OPEN_WINDOWS = 64
 #: Tasks whose rests are merged together: at most this many windows meet in one group.
 MERGED_TASKS = 256
 END_ID = 1
-CACHED_WORDS = 300_000
+END = END_ID.to_bytes(ID.itemsize, "little")
 #: Rows as they leave a task; ``ids`` holds little-endian unsigned 32-bit token ids.
 PIECE_SCHEMA = "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long, task int"
 ARROW_SCHEMA = pa.schema(
@@ -37,63 +35,9 @@ ARROW_SCHEMA = pa.schema(
 )
 
 
-class Words(dict):
-    """Token ids of words, each with the blank before it. Words meet only at token borders."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, word: str) -> list[int]:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        ids = self[word] = self.encode(word)
-        return ids
-
-
-@lru_cache(maxsize=2)
-def _words(path: str) -> Words:
-    """The byte-level vocabulary in ``path`` with its own order of merges, as a word cache."""
-    import public_tokenizers
-    import tiktoken
-
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-    with open(path, encoding="utf-8") as file:
-        described = json.load(file)
-    special = {token["content"] for token in described["added_tokens"]}
-    vocabulary = {t: i for t, i in described["model"]["vocab"].items() if t not in special}
-    ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items()}
-    encoding = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return Words(encoding.encode_ordinary)
-
-
 def encode(text: str, path: str) -> np.ndarray:
-    """Token ids of a text and the end id.
-
-    A single blank between two characters that are not white space always starts a token, so
-    such texts are cut there and words are looked up; other pieces are encoded whole.
-    """
-    words = _words(path)
-    parts = text.split(" ")
-    parts[1:] = [" " + part for part in parts[1:]]
-    if any(len(part) < 2 or part[1].isspace() or part[-1].isspace() for part in parts[1:]) or parts[0][-1:].isspace() or not parts[0]:
-        parts = _joined(parts)
-    ids = list(chain.from_iterable(map(words.__getitem__, parts)))
-    ids.append(END_ID)
-    return np.array(ids, dtype="<u4")
-
-
-def _joined(parts: list[str]) -> list[str]:
-    """Undo the cuts that touch other white space."""
-    out: list[str] = []
-    for part in parts:
-        if out and (len(part) < 2 or part[1].isspace() or not out[-1] or out[-1][-1].isspace()):
-            out[-1] += part
-        else:
-            out.append(part)
-    return [part for part in out if part]
+    """Token ids of a text and the end id; strings of special tokens are these tokens."""
+    return np.frombuffer(byte_vocabulary(path).marked(text) + END, dtype=ID)
 
 
 Piece = tuple  # (doc_id, start, ids, doc_tokens)
@@ -212,7 +156,7 @@ def _merge_rests(window: int):
         rows = sorted(group.to_pylist(), key=lambda row: (row["task"], row["offset"]))
         number = rows[0]["task"] // MERGED_TASKS
         pieces = [
-            (row["doc_id"], row["start"], np.frombuffer(row["ids"], dtype="<u4"), row["doc_tokens"]) for row in rows
+            (row["doc_id"], row["start"], np.frombuffer(row["ids"], dtype=ID), row["doc_tokens"]) for row in rows
         ]
         full, rest = merged(pieces, window)
         first = (1 << 62) + (number << 32)
@@ -228,8 +172,8 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, open_windows: int = O
     Returns doc_id, start, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id and
     offset. A sequence holds ``window`` tokens, or fewer if that is a power of two. Null or
     empty text is the end id alone; rows that repeat a doc_id, or have none, are documents of
-    their own; special strings in a text are ordinary text. Further columns are ignored; an
-    empty table gives an empty result. ``path`` names the vocabulary, present on all
+    their own; strings of the file's special tokens in a text are read as these tokens, as the
+    tokenizer does by default. Further columns are ignored; an empty table gives an empty result. ``path`` names the vocabulary, present on all
     executors. ``window`` must be a power of two.
 
     The packed pieces are written to the shared folder before rests are merged, so a task

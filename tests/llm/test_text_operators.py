@@ -277,11 +277,10 @@ def tokens_of(text):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(queries.vocabulary())
-    tokenizer.encode_special_tokens = True
     return [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
 
 
-TEXTS = ["", " ", "  a  b ", "a b\nc  d\n\n e", "it's  we'll x\u00a0y \u3000z", "<|endoftext|> a", "naïve 12 3½ Ⅷ ²", "\ta b", "a \n b ", "a  ", "日本 語"]
+TEXTS = ["", " ", "  a  b ", "a b\nc  d\n\n e", "it's  we'll x\u00a0y \u3000z", "<|endoftext|> a", "hello <|endoftext|> world<|endoftext|><|endoftext|>\n", "<|endoftext|", "naïve 12 3½ Ⅷ ²", "\ta b", "a \n b ", "a  ", "日本 語"]
 
 
 def test_word_cache_matches_the_tokenizer(small_docs):
