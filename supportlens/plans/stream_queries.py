@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from supportlens import schemas
+from supportlens.operators.lookups import known_sessions
 from supportlens.plans import oracle_text as O
 from supportlens.plans.registry import query
 from supportlens.streaming import streams as S
+from supportlens.streaming.session_state import last_state
 
 
 def _path(sf_dir, table):
@@ -51,12 +53,40 @@ def stream_sessions(spark, sf_dir):
 
 
 @query(
-    """SELECT user_id, count(*) AS turns, arg_max(event_id, (ts, event_id)) AS event_id,
-              arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id"""
+    """WITH marked AS (
+           SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens
+           FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+       numbered AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS no FROM marked)
+       SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS turns, arg_max(event_id, (ts, event_id)) AS event_id,
+              arg_max(event_type, (ts, event_id)) AS event_type,
+              no < max(no) OVER (PARTITION BY user_id)
+                OR max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR AS closed
+       FROM numbered GROUP BY user_id, no"""
 )
 def stream_last_state(spark, sf_dir):
-    state = S.run_changes(S.last_state(_events(spark, sf_dir)), "state", ["user_id"])
-    return state.select("user_id", "turns", "event_id", "event_type")
+    """The sessions of all users; those closed have left the state."""
+    state = S.run_changes(last_state(_events(spark, sf_dir)), "state", ["user_id", "session_start"])
+    return state.select(
+        "user_id", F.unix_micros("session_start").alias("start_us"), "turns", "event_id", "event_type", "closed"
+    )
+
+
+@query(
+    """SELECT count(*) AS answers, round(avg(seconds), 6) AS avg_seconds FROM (
+           SELECT event_type, ts, lead(event_type) OVER w AS next_type,
+                  (epoch_us(lead(ts) OVER w) - epoch_us(ts)) / 1e6 AS seconds
+           FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+       WHERE event_type = 'view' AND next_type = 'click' AND seconds <= 1800
+         AND ts < (SELECT max(ts) FROM events) - INTERVAL 2 HOUR"""
+)
+def stream_response_times(spark, sf_dir):
+    """Mean of the answers that are final, up to two hours before the last message."""
+    kind = F.col("event_type")
+    events = _events(spark, sf_dir)
+    answers = S.run_append(S.response_times(events, kind == "view", kind == "click"), "answers")
+    last = spark.read.parquet(_path(sf_dir, "events")).agg((F.max("ts") - F.expr("INTERVAL 2 HOURS")).cast("timestamp"))
+    closed = answers.where(F.col("asked_at") < last.scalar())
+    return closed.agg(F.count("*").alias("answers"), F.round(F.avg("seconds"), 6).alias("avg_seconds"))
 
 
 @query(
@@ -75,6 +105,22 @@ def stream_feedback_upsert(spark, sf_dir):
     return S.run_feedback_upsert(feedback, "upsert").select("session_id", "event_id", "rating", "comment")
 
 
+@query(
+    """SELECT CAST(session_id AS VARCHAR) AS session_id, event_id, comment AS reason FROM feedback
+       WHERE session_id IN (SELECT conv_id FROM conversations)
+       QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, event_id DESC) = 1""",
+    "feedback",
+)
+def stream_transfers(spark, sf_dir):
+    """Requests for a human agent: the last one of every session that exists."""
+    requests = _events(spark, sf_dir).select(
+        "event_id", F.col("user_id").cast("string").alias("session_id"), F.col("event_type").alias("reason"), "ts"
+    )
+    known = spark.read.parquet(_path(sf_dir, "conversations")).select(F.col("conv_id").cast("string").alias("session_id"))
+    stored = S.run_feedback_upsert(known_sessions(requests, known), "transfers")
+    return stored.select("session_id", "event_id", "reason")
+
+
 @query(
     f"""SELECT conv_id, turn, m.language AS language, m.intent AS intent, array_to_string(steps, ' / ') AS next_steps
         FROM (SELECT conv_id, turn, {O.language('text')} AS language, {O.category('text')} AS intent

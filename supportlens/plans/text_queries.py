@@ -154,22 +154,21 @@ def write_report(spark, sf_dir):
     "feedback",
 )
 def upsert_by_session(spark, sf_dir):
-    """Store the feedback of one kind first, then merge the rest into it."""
+    """Store the feedback of one kind first, then commit the rest to the same store."""
     rows = views.feedback(spark, sf_dir)
-    first = W.upsert_by_session(rows.where("comment = 'click'"), None, work_folder(spark, "feedback"))
-    rest = rows.where("comment <> 'click'")
-    merged = W.upsert_by_session(rest, first, work_folder(spark, "feedback"))
-    return spark.read.schema(rows.schema).parquet(merged).select(
-        "session_id", "rating", "comment", "event_id"
-    )
+    folder = work_folder(spark, "feedback")
+    clicked = F.col("comment").eqNullSafe("click")
+    W.upsert_by_session(rows.where(clicked), folder)
+    return W.upsert_by_session(rows.where(~clicked), folder).select("session_id", "rating", "comment", "event_id")
 
 
 @query("SELECT event_id, session_id, rating, comment FROM feedback", "feedback")
 def append_feedback(spark, sf_dir):
     rows = views.feedback(spark, sf_dir).select("event_id", "session_id", "rating", "comment")
     path = work_folder(spark, "log")
-    W.append_records(rows.where("comment = 'click'"), path)
-    W.append_records(rows.where("comment <> 'click'"), path)
+    clicked = F.col("comment").eqNullSafe("click")
+    W.append_records(rows.where(clicked), path)
+    W.append_records(rows.where(~clicked), path)
     return spark.read.schema(rows.schema).json(path)
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from supportlens.operators.lookups import latest_by_session
+from supportlens.sinks.keyed_store import KeyedStore
 
 
 def write_csv_dated(df: DataFrame, folder: str, day: str, prefix: str = "combined_data_") -> str:
@@ -41,13 +41,17 @@ def append_records(df: DataFrame, path: str) -> str:
     return path
 
 
+def session_store(
+    spark: SparkSession, folder: str, schema: T.StructType, session: str = "session_id", order: tuple[str, ...] = ("ts", "event_id")
+) -> KeyedStore:
+    """The store of the last feedback, or transfer request, of every session."""
+    return KeyedStore(spark, folder, schema, [session], order)
+
+
 def upsert_by_session(
-    changes: DataFrame, current: str | None, target: str, order: tuple[str, ...] = ("ts", "event_id")
-) -> str:
-    """Write the last row per session of the current table and the changes as a new version."""
-    spark = changes.sparkSession
-    rows = changes
-    if current:
-        rows = spark.read.schema(changes.schema).parquet(current).unionByName(changes)
-    latest_by_session(rows, order=order).write.mode("overwrite").parquet(target)
-    return target
+    changes: DataFrame, folder: str, session: str = "session_id", order: tuple[str, ...] = ("ts", "event_id")
+) -> DataFrame:
+    """Commit ``changes`` to the store in ``folder``, a new one if there is none; returns its rows."""
+    store = session_store(changes.sparkSession, folder, changes.schema, session, order)
+    store.upsert(changes)
+    return store.read()

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from supportlens.functions import text as X
-from supportlens.operators.lookups import latest_by_session, with_next_steps
+from supportlens.operators.lookups import with_next_steps
 from supportlens.session import work_folder
+from supportlens.sinks.keyed_store import BUCKETS, KeyedStore
 
 EVENTS = T.StructType(
     [
@@ -68,17 +70,37 @@ def session_activity(events: DataFrame, gap: str = "30 minutes", delay: str = "1
     )
 
 
-def last_state(events: DataFrame) -> DataFrame:
-    """Latest message and message count per session, by event time.
+def response_times(
+    messages: DataFrame, question: Column, answer: Column, horizon: str = "30 minutes", delay: str = "1 hour"
+) -> DataFrame:
+    """Seconds from every question to the next message of its user, if that is an answer and comes within ``horizon``.
 
-    Late messages count but never replace a newer one. Both aggregates are combined
-    inside each input partition first, so a busy session costs one row per partition.
+    A question meets the messages after it in an interval join, whose state on both sides ends with
+    the watermarks; the first of them decides, once no other can come. So every row is final, and
+    questions that may still be answered are not there yet. Both sides are dealt by user and stretch of
+    time, so a busy user is spread over tasks. ``question`` and ``answer`` are conditions on a message.
     """
-    latest = F.max(F.struct("ts", "event_id", "event_type"))
+    width = pd.Timedelta(horizon).total_seconds()
+    stretch = F.floor(F.unix_micros("ts") / F.lit(int(width * 1_000_000)))
+    timed = messages.where(F.col("ts").isNotNull())
+    asked = (
+        timed.where(question)
+        .select("user_id", F.col("ts").alias("asked_at"), F.col("event_id").alias("asked_id"), F.explode(F.array(stretch, stretch + 1)).alias("stretch"))
+        .withWatermark("asked_at", delay)
+    )
+    said = timed.select(
+        F.col("user_id").alias("_user"), "ts", "event_id", answer.alias("answers"), stretch.alias("_stretch")
+    ).withWatermark("ts", delay)
+    after = (F.col("ts") > F.col("asked_at")) | ((F.col("ts") == F.col("asked_at")) & (F.col("event_id") > F.col("asked_id")))
+    within = (F.col("ts") >= F.col("asked_at")) & (F.col("ts") <= F.col("asked_at") + F.expr(f"INTERVAL {horizon}"))
+    same = F.col("user_id").eqNullSafe(F.col("_user")) & (F.col("stretch") == F.col("_stretch"))
+    first = F.min(F.struct("ts", "event_id", "answers")).alias("first")
     return (
-        events.groupBy("user_id")
-        .agg(latest.alias("latest"), F.count("*").alias("turns"))
-        .select("user_id", "turns", "latest.ts", "latest.event_id", "latest.event_type")
+        asked.join(said, same & within & after)
+        .groupBy("user_id", "asked_id", "asked_at")
+        .agg(first)
+        .where("first.answers")
+        .select("user_id", "asked_id", "asked_at", ((F.unix_micros("first.ts") - F.unix_micros("asked_at")) / 1e6).alias("seconds"))
     )
 
 
@@ -108,29 +130,33 @@ def run_append(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def run_changes(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
-    """Log the rows each micro-batch changed; return the newest row per key.
-
-    A repeated batch overwrites its own folder, so every change counts once.
-    """
-    spark = stream.sparkSession
-    out = work_folder(spark, name)
+def _run_into(store: KeyedStore, stream: DataFrame, name: str, mode: str, progress: str | None) -> DataFrame:
+    """Commit every micro-batch to ``store``; one that runs again counts once."""
 
-    def log(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+    def commit(batch: DataFrame, batch_id: int) -> None:
+        store.upsert(batch, name, batch_id)
 
     query = (
-        stream.writeStream.foreachBatch(log)
-        .outputMode("update")
-        .option("checkpointLocation", work_folder(spark, f"{name}-progress"))
+        stream.writeStream.foreachBatch(commit)
+        .outputMode(mode)
+        .option("checkpointLocation", progress or work_folder(stream.sparkSession, f"{name}-progress"))
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    schema = T.StructType(stream.schema.fields + [T.StructField("batch", T.LongType())])
-    changes = spark.read.schema(schema).parquet(out)
-    newest = F.max_by(F.struct(*stream.columns), "batch").alias("_row")
-    return changes.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(newest).select("_row.*")
+    return store.read()
+
+
+def run_changes(
+    stream: DataFrame, name: str, keys: list[str], folder: str | None = None, progress: str | None = None, buckets: int = BUCKETS
+) -> DataFrame:
+    """Keep the newest row per key of a stream in update mode; return it after what is there.
+
+    With ``folder`` and ``progress`` of an earlier run the stream goes on where that ended.
+    """
+    spark = stream.sparkSession
+    store = KeyedStore(spark, folder or work_folder(spark, name), stream.schema, keys, buckets=buckets)
+    return _run_into(store, stream, name, "update", progress)
 
 
 def run_complete(stream: DataFrame, name: str) -> DataFrame:
@@ -160,22 +186,10 @@ def run_complete(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{out}/batch={last[0]}")
 
 
-def run_feedback_upsert(feedback: DataFrame, name: str) -> DataFrame:
-    """Keep the latest feedback per session up to date.
-
-    Each micro-batch is reduced to one row per session before it is logged.
-    """
+def run_feedback_upsert(
+    feedback: DataFrame, name: str, folder: str | None = None, progress: str | None = None, buckets: int = BUCKETS
+) -> DataFrame:
+    """Keep the latest feedback, or transfer request, per session up to date; return it after what is there."""
     spark = feedback.sparkSession
-    out = work_folder(spark, name)
-
-    def log(batch: DataFrame, batch_id: int) -> None:
-        latest_by_session(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    query = (
-        feedback.writeStream.foreachBatch(log)
-        .option("checkpointLocation", work_folder(spark, f"{name}-progress"))
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return latest_by_session(spark.read.schema(feedback.schema).parquet(out))
+    store = KeyedStore(spark, folder or work_folder(spark, name), feedback.schema, ["session_id"], ("ts", "event_id"), buckets)
+    return _run_into(store, feedback, name, "append", progress)

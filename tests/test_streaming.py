@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from supportlens.streaming import streams as S
+from supportlens.streaming.session_state import last_state, session_states
 
 ROWS = [
     # (event_id, ts, user_id, event_type); user 1 sends most of the rows
@@ -16,15 +17,19 @@ ROWS = [
 LATE = (8, "2024-01-01 10:20:00", 1, "late")
 
 
+def event_rows(spark, rows):
+    frame = spark.createDataFrame(rows, "event_id BIGINT, ts STRING, user_id BIGINT, event_type STRING")
+    return frame.select(
+        "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", F.lit(1.0).alias("value")
+    )
+
+
 @pytest.fixture
 def folder(spark, tmp_path):
     """One file per day, written in order, and a late row in the last file."""
-    frame = lambda rows: spark.createDataFrame(
-        rows, "event_id BIGINT, ts STRING, user_id BIGINT, event_type STRING"
-    ).select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", F.lit(1.0).alias("value"))
     path = str(tmp_path / "events")
     for rows in (ROWS[:4], ROWS[4:], [LATE]):
-        frame(rows).coalesce(1).write.mode("append").parquet(path)
+        event_rows(spark, rows).coalesce(1).write.mode("append").parquet(path)
     return path
 
 
@@ -37,10 +42,65 @@ def test_counts_equal_the_batch_result(spark, folder):
     assert {r.event_type: r.n for r in found} == {"view": 3, "click": 3, "error": 1, "late": 1}
 
 
-def test_state_keeps_the_newest_event_and_counts_late_ones(spark, folder):
-    found = {r.user_id: r for r in S.run_changes(S.last_state(stream(spark, folder)), "state", ["user_id"]).collect()}
-    assert (found[1].event_id, found[1].turns) == (7, 7)
-    assert (found[2].event_id, found[2].turns) == (4, 1)
+def states(frame):
+    return sorted((r.user_id, str(r.session_start)[5:16], r.event_id, r.turns, r.closed) for r in frame.collect())
+
+
+def test_idle_sessions_leave_the_state_and_late_turns_replace_nothing(spark, folder):
+    found = S.run_changes(last_state(stream(spark, folder)), "state", ["user_id", "session_start"])
+    # Event 8 is behind the watermark of the day before and left out.
+    assert states(found) == [
+        (1, "01-01 10:00", 2, 2, True), (1, "01-01 10:45", 3, 1, True), (1, "01-02 09:00", 6, 2, True),
+        (1, "01-02 13:00", 7, 1, False), (2, "01-01 12:00", 4, 1, True),
+    ]
+
+
+def test_late_turns_inside_the_watermark_count_but_replace_nothing(spark, folder):
+    found = S.run_changes(last_state(stream(spark, folder), gap="2 days", delay="9 days"), "state", ["user_id", "session_start"])
+    assert states(found) == [(1, "01-01 10:00", 7, 7, False), (2, "01-01 12:00", 4, 1, False)]
+
+
+def test_state_goes_on_after_a_restart(spark, tmp_path):
+    path, store, progress = (str(tmp_path / name) for name in ("events", "store", "progress"))
+    run = lambda: states(
+        S.run_changes(last_state(S.read_events(spark, path)), "state", ["user_id", "session_start"], store, progress)
+    )
+    add = lambda *rows: event_rows(spark, rows).coalesce(1).write.mode("append").parquet(path)
+    add(ROWS[0])
+    assert run() == [(1, "01-01 10:00", 1, 1, False)]
+    add(ROWS[1])
+    assert run() == [(1, "01-01 10:00", 2, 2, False)]
+    versions = len(list((tmp_path / "store" / "manifest").glob("*.json")))
+    assert run() == [(1, "01-01 10:00", 2, 2, False)]
+    assert len(list((tmp_path / "store" / "manifest").glob("*.json"))) <= versions + 1
+    add(ROWS[4])
+    assert run() == [(1, "01-01 10:00", 2, 2, True), (1, "01-02 09:00", 5, 1, False)]
+
+
+def test_state_begins_with_a_snapshot(spark, tmp_path):
+    path = str(tmp_path / "events")
+    event_rows(spark, [(9, "2024-01-01 12:20:00", 2, "click"), (10, "2024-01-01 12:25:00", 3, "view")]).write.parquet(path)
+    before = event_rows(spark, ROWS[:4]).withColumn("ts", F.col("ts").cast("timestamp"))
+    newest = session_states(before).where("event_id IN (3, 4)")
+    found = S.run_changes(last_state(S.read_events(spark, path), snapshot=newest), "state", ["user_id", "session_start"])
+    # The session of user 1 is known from the snapshot alone and ends by its timer.
+    assert states(found) == [(1, "01-01 10:45", 3, 1, True), (2, "01-01 12:00", 9, 2, False), (3, "01-01 12:25", 10, 1, False)]
+
+
+def test_answers_are_final_and_equal_the_batch(spark, tmp_path):
+    rows = [
+        (1, "2024-01-01 10:00:00", 1, "view"), (2, "2024-01-01 10:00:00", 1, "click"), (3, "2024-01-01 10:05:00", 1, "view"),
+        (4, "2024-01-01 10:06:00", 1, "view"), (5, "2024-01-01 10:36:00", 1, "click"), (6, "2024-01-01 11:00:00", 2, "view"),
+        (7, "2024-01-01 11:31:00", 2, "click"), (8, "2024-01-01 12:00:00", 2, "view"), (9, "2024-01-01 12:10:00", 2, "error"),
+        (10, "2024-01-01 12:20:00", 2, "click"), (11, "2024-01-02 12:00:00", 1, "view"), (12, "2024-01-02 12:00:10", 1, "click"),
+    ]
+    path = str(tmp_path / "events")
+    for part in (rows[:3], rows[3:6], rows[6:11], rows[11:]):
+        event_rows(spark, part).coalesce(1).write.mode("append").parquet(path)
+    kind = F.col("event_type")
+    answers = S.run_append(S.response_times(stream(spark, path), kind == "view", kind == "click"), "answers")
+    assert sorted((r.asked_id, r.seconds) for r in answers.collect()) == [(1, 0.0), (4, 1800.0)]
+    assert answers.select("user_id", "asked_at").columns == ["user_id", "asked_at"]
 
 
 def test_hours_are_final_and_late_rows_dropped(spark, folder):
