@@ -50,6 +50,11 @@ ENDED_BY = {
     "th": (("td", "th"), ("tr", "table")),
     "option": (("option",), ("select",)),
 }
+#: Of each tag the endings it counts for, and whether it is a scope of theirs.
+SCOPES: dict[str, list[tuple[str, bool]]] = {}
+for _ending, (_ended, _within) in ENDED_BY.items():
+    for _tag in (*_ended, *_within):
+        SCOPES.setdefault(_tag, []).append((_ending, _tag in _within))
 #: Elements, roles and name parts of what is not part of an article.
 DROPPED = frozenset(
     "annotation annotation-xml aside audio button canvas dialog footer form head input menu nav object search select svg "
@@ -58,18 +63,32 @@ DROPPED = frozenset(
 DROPPED_ROLES = frozenset(
     "alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split()
 )
-DROPPED_NAMES = frozenset(
-    "ad ads adsense adslot advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments "
-    "consent cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice "
-    "overlay pager pagination popup promo promoted promotion recommended related respond search share sharing sidebar "
-    "signup skyscraper social sponsor sponsored subscribe subscription toolbar widget".split()
+#: Words of class and id names. What readers wrote and notices to them are never an article's text.
+READER_NAMES = frozenset("comment comments commentlist consent cookie cookies disqus gdpr".split())
+READERS_IDS = frozenset("comment comments commentlist disqus".split())
+#: Furniture of a page by any word of a class, or by an id of such words alone.
+FURNITURE_NAMES = frozenset(
+    "ad ads adsense adslot advert advertisement advertising adverts banner breadcrumb breadcrumbs footer login masthead "
+    "menu modal nav navbar navigation newsletter overlay pager pagination popup promo sidebar signup skyscraper sponsor "
+    "sponsored subscribe subscription toolbar widget".split()
 )
-#: First words of names of what is never an article's text, however long.
-NEVER_TEXT = frozenset("comment comments consent cookie cookies disqus gdpr respond".split())
+#: Furniture if the whole name is made of such words; beside other words they may be a topic.
+TOPIC_NAMES = frozenset(
+    "notice promoted promotion recommended related replies reply respond response responses search share sharing social".split()
+)
+DROPPED_NAMES = READER_NAMES | FURNITURE_NAMES | TOPIC_NAMES
+#: Words that say nothing of the content.
+PLAIN_NAMES = frozenset(
+    "area article articles bar block blog body bottom box button buttons col column container content entry form header "
+    "icons inner item items js left link links list main media module outer page panel post posts right row section site "
+    "stories story strip title top user wrap wrapper".split()
+)
+#: Before such a word these only say what else there is: has-sidebar.
+MODIFIERS = frozenset("has hide no with without".split())
 #: Elements whose id names a place in the text.
 NAMED_ANCHORS = frozenset("a b blockquote code dd dt em figure h1 h2 h3 h4 h5 h6 i li p pre span strong td th tr".split())
-#: Characters under which a block in an article is dropped by its class, or by its id alone.
-LITTLE_TEXT, LITTLE_ANCHORED = 200, 30
+#: Between the steps of a path; no tag or class holds it.
+STEP = "\n"
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -85,13 +104,15 @@ DIGITS = re.compile(r"\d+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "parts")
+    __slots__ = ("tag", "attrs", "parent", "parts", "depth", "block", "embeds")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
         self.tag, self.attrs, self.parent, self.parts = tag, attrs, parent, []
-
-    def children(self) -> Iterator[Node]:
-        return (part for part in self.parts if isinstance(part, Node))
+        self.depth = 0 if parent is None else parent.depth + 1
+        #: The nearest block, itself included.
+        self.block: Node = self if parent is None or tag in BLOCKS else parent.block
+        #: Whether blocks may stand here inside a foreign element.
+        self.embeds = parent is not None and (tag in EMBEDDING or parent.embeds and tag not in FOREIGN)
 
     def step(self) -> str:
         """Tag and classes, numbers generalised; classes of the whole page vary and are left out."""
@@ -101,16 +122,67 @@ class Node:
         return ".".join([self.tag, *classes])
 
 
+class _Open:
+    """The open elements: how many of each tag, and of those that a tag ends, in each scope of theirs."""
+
+    def __init__(self):
+        self.tags: dict[str, int] = {}
+        self.scopes = {tag: [0] for tag in ENDED_BY}
+
+    def enter(self, tag: str) -> None:
+        self.tags[tag] = self.tags.get(tag, 0) + 1
+        for ending, is_scope in SCOPES.get(tag, ()):
+            if is_scope:
+                self.scopes[ending].append(0)
+            else:
+                self.scopes[ending][-1] += 1
+
+    def leave(self, node: Node, outer: Node) -> Node:
+        """Go up to ``outer``; every element is left once, so all ways up together are linear."""
+        while node is not outer:
+            self.tags[node.tag] -= 1
+            for ending, is_scope in SCOPES.get(node.tag, ()):
+                if is_scope:
+                    self.scopes[ending].pop()
+                else:
+                    self.scopes[ending][-1] -= 1
+            node = node.parent
+        return outer
+
+    def closed(self, node: Node, tag: str) -> Node:
+        if not self.tags.get(tag):
+            return node
+        at = node
+        while at.tag != tag:
+            at = at.parent
+        return self.leave(node, at.parent)
+
+    def paragraph_ended(self, node: Node) -> Node:
+        """An open paragraph ends where a block starts, with the inline elements in it."""
+        return self.leave(node, node.block.parent) if node.block.tag == "p" else node
+
+    def implied_end(self, node: Node, tag: str) -> Node:
+        left = self.scopes[tag][-1]
+        found = at = node
+        while left:
+            if at.tag in ENDED_BY[tag][0]:
+                found = at.parent
+                left -= 1
+            at = at.parent
+        return self.leave(node, found)
+
+
 def parse(text: str) -> Node:
     root = node = Node("#page", {}, None)
-    foreign = None  # the svg or math element that is open
+    opened = _Open()
+    foreign = None  # the outermost svg or math element that is open
     at = 0
     for m in TOKEN.finditer(text):
         if m.start() > at:
             node.parts.append(text[at : m.start()])
         at = m.end()
         if m["sample"] is not None:
-            sample = Node("xmp", {}, node := _paragraph_ended(node))
+            sample = Node("xmp", {}, node := opened.paragraph_ended(node))
             sample.parts.append(m["sample"].replace("&", "&amp;"))
             node.parts.append(sample)
             continue
@@ -119,15 +191,19 @@ def parse(text: str) -> Node:
             continue
         tag = tag.lower()
         if m["close"]:
-            node = _closed(node, tag)
-            foreign = foreign and _open_foreign(node)
+            node = opened.closed(node, tag)
+            if foreign and node.depth < foreign.depth:
+                foreign = None
             continue
         if tag in BLOCKS:
-            if foreign and not _embeds(node, foreign):
-                node, foreign = foreign.parent, None
-            node = _paragraph_ended(node)
+            # Blocks end a foreign element outside of the places made for them.
+            if foreign and not node.embeds:
+                node, foreign = opened.leave(node, foreign.parent), None
+            node = opened.paragraph_ended(node)
         if tag in ENDED_BY:
-            node = _implied_end(node, *ENDED_BY[tag])
+            node = opened.implied_end(node, tag)
+        if foreign and node.depth < foreign.depth:
+            foreign = None
         attrs = {}
         for name, a, b, c in ATTRIBUTE.findall(m["attrs"]):
             attrs.setdefault(name.lower(), html.unescape(a or b or c))
@@ -136,109 +212,115 @@ def parse(text: str) -> Node:
         if tag in VOID or (foreign or tag in FOREIGN) and m["attrs"].endswith("/"):
             continue
         node = new
+        opened.enter(tag)
         foreign = foreign or (new if tag in FOREIGN else None)
     if at < len(text):
         node.parts.append(text[at:])
     return root
 
 
-def _open_foreign(node: Node) -> Node | None:
-    """The outermost svg or math element around a place."""
-    found = None
-    at: Node | None = node
-    while at is not None:
-        if at.tag in FOREIGN:
-            found = at
-        at = at.parent
-    return found
-
-
-def _embeds(node: Node, foreign: Node) -> bool:
-    """Whether blocks may stand at this place of a foreign element; elsewhere they end it."""
-    at = node
-    while at is not foreign:
-        if at.tag in EMBEDDING:
-            return True
-        at = at.parent
-    return False
-
-
-def _closed(node: Node, tag: str) -> Node:
-    at = node
-    while at.parent is not None:
-        if at.tag == tag:
-            return at.parent
-        at = at.parent
-    return node
-
+def _words(name: str) -> list[str]:
+    """The words of a class or id, without those that a modifier stands before."""
+    words = [word.lower() for word in NAME_PARTS.findall(name)]
+    return [word for before, word in zip(["", *words], words, strict=False) if not {before, word} & MODIFIERS]
 
-def _paragraph_ended(node: Node) -> Node:
-    """An open paragraph ends where a block starts, with the inline elements in it."""
-    at = node
-    while at.parent is not None and (at.tag == "p" or at.tag not in BLOCKS):
-        if at.tag == "p":
-            return at.parent
-        at = at.parent
-    return node
 
+def _only_furniture(words: list[str]) -> bool:
+    return not DROPPED_NAMES.isdisjoint(words) and all(w in DROPPED_NAMES or w in PLAIN_NAMES or w.isdigit() for w in words)
 
-def _implied_end(node: Node, ended: tuple[str, ...], within: tuple[str, ...]) -> Node:
-    at, found = node, node
-    while at.parent is not None and at.tag not in within:
-        if at.tag in ended:
-            found = at.parent
-        at = at.parent
-    return found
 
+class Names:
+    """What the class and id of an element say of it; the id of an element that is text says nothing."""
 
-def _tokens(node: Node) -> list[list[str]]:
-    """The words of each class, and of the id unless the element is text of its own."""
-    names = node.attrs.get("class", "").split()
-    if node.tag not in NAMED_ANCHORS:
-        names += node.attrs.get("id", "").split()
-    return [[word.lower() for word in NAME_PARTS.findall(name)] for name in names]
-
-
-def _named(tokens: list[list[str]]) -> bool:
-    return any(not DROPPED_NAMES.isdisjoint(words) for words in tokens)
+    def __init__(self, node: Node):
+        classes = [_words(name) for name in node.attrs.get("class", "").split()]
+        ids = [] if node.tag in NAMED_ANCHORS else [_words(name) for name in node.attrs.get("id", "").split()]
+        self.named = any(not DROPPED_NAMES.isdisjoint(words) for words in classes + ids)
+        #: Reader comments and notices.
+        self.reader = any(not READER_NAMES.isdisjoint(words) for words in classes) or any(
+            not READERS_IDS.isdisjoint(words) for words in ids
+        )
+        #: Furniture, whatever its length.
+        self.furniture = any(map(_only_furniture, classes)) or any(
+            _only_furniture(words) and not (READER_NAMES | FURNITURE_NAMES | {"responses", "replies"}).isdisjoint(words) for words in ids
+        )
+        #: Furniture unless most of the text is in it.
+        self.furnished = any(not FURNITURE_NAMES.isdisjoint(words) for words in classes)
 
 
 class Page:
-    """A parsed page: which elements count, and its containers with their scores."""
+    """A parsed page: which elements count, and its containers with their scores.
+
+    Container paths are numbers; ``step_of`` has the last step of each and the path before it.
+    """
 
     def __init__(self, text: str):
         self.root = parse(text)
         self.holds_article: set[int] = set()
         self.holds_body: set[int] = set()
+        #: The article or main element around an element, if there is one.
+        self.article_of: dict[int, Node] = {}
         #: Characters outside and in links, of each element with all in it.
         self.sizes: dict[int, list[int]] = {}
         self._mark(self.root)
-        self.scores: dict[str, float] = {}
-        self.nodes: dict[str, list[Node]] = {}
+        self.step_of: list[tuple[int, str]] = [(-1, "")]
+        self.path_of: dict[tuple[int, str], int] = {}
+        #: Characters of each path, written out.
+        self.lengths: list[int] = [0]
+        self.scores: dict[int, float] = {}
+        self.nodes: dict[int, list[Node]] = {}
         #: Of each container path the text in it at any depth, links taken off by half.
-        self.whole: dict[str, float] = {}
+        self.whole: dict[int, float] = {}
+        #: The same of the text that articles hold.
+        self.in_articles: dict[int, float] = {}
         #: Of each container path the text of its own headings and paragraphs, links left out.
-        self.prose: dict[str, int] = {}
-        self.around: dict[str, str | None] = {}
+        self.prose: dict[int, int] = {}
+        self.around: dict[int, int | None] = {}
         self._score(self.root)
 
+    def _below(self, path: int, step: str) -> int:
+        key = (path, step)
+        if key not in self.path_of:
+            self.path_of[key] = len(self.step_of)
+            self.step_of.append(key)
+            self.lengths.append(self.lengths[path] + 1 + len(step))
+        return self.path_of[key]
+
+    def written(self, path: int) -> str:
+        steps = []
+        while path > 0:
+            path, step = self.step_of[path]
+            steps.append(step)
+        return STEP.join(reversed(steps))
+
+    def known(self, written: str) -> int:
+        """The number of a path of any page, -1 if this one has it not."""
+        path = 0
+        for step in written.split(STEP) if written else ():
+            path = self.path_of.get((path, step), -1)
+            if path < 0:
+                break
+        return path
+
     def _mark(self, root: Node) -> None:
         """Note the text in and outside links of each element, and what holds an article.
 
         ``holds_article`` are elements around a heading of first rank, an article or a main
         element, ``holds_body`` those around an article or main element.
         """
-        order, stack = [], [(root, False, False, False)]
+        order, stack = [], [(root, False, None, False)]
         while stack:
-            node, in_link, in_article, gone = stack.pop()
-            gone = gone or self._hidden(node) or node.tag in DROPPED and node.tag != "form" or node.tag == "header" and not in_article
+            node, in_link, article, gone = stack.pop()
+            gone = gone or self._hidden(node) or node.tag in DROPPED and node.tag != "form" or node.tag == "header" and article is None
             order.append((node, gone))
+            if article is not None:
+                self.article_of[id(node)] = article
             in_link = in_link or node.tag == "a"
-            in_article = in_article or node.tag in ("article", "main")
+            article = node if node.tag in ("article", "main") else article
             size = self.sizes[id(node)] = [0, 0]
             for part in node.parts:
                 if isinstance(part, Node):
-                    stack.append((part, in_link, in_article, gone))
+                    stack.append((part, in_link, article, gone))
                 elif not gone:
                     size[in_link] += len(part.strip())
         for node, gone in reversed(order):
@@ -247,7 +329,7 @@ class Page:
             size, outer = self.sizes[id(node)], self.sizes[id(node.parent)]
             outer[0] += size[0]
             outer[1] += size[1]
-            body = node.tag == "main" or node.tag == "article" and not _named(_tokens(node))
+            body = node.tag == "main" or node.tag == "article" and not Names(node).named
             if body and not gone or id(node) in self.holds_body:
                 self.holds_body.add(id(node.parent))
             if body or node.tag == "h1" or id(node) in self.holds_article:
@@ -260,8 +342,11 @@ class Page:
         return bool(re.search(r"display\s*:\s*none", attrs.get("style", ""), re.IGNORECASE))
 
     def _holds_most(self, node: Node, share: float = 0.5) -> bool:
-        """Whether the text of a page without an article is mostly in this element."""
-        return id(self.root) not in self.holds_body and self.sizes[id(node)][0] > share * self.sizes[id(self.root)][0]
+        """Whether the text of the article around, or of a page without one, is mostly in this element."""
+        around = self.article_of.get(id(node))
+        if around is None and id(self.root) in self.holds_body:
+            return False
+        return self.sizes[id(node)][0] > share * self.sizes[id(around or self.root)][0]
 
     def dropped(self, node: Node, in_article: bool) -> bool:
         """Whether an element is left out; ``in_article`` if it is inside an article or main element."""
@@ -278,52 +363,44 @@ class Page:
             return False
         if node.attrs.get("role", "").lower() in DROPPED_ROLES and not self._holds_most(node):
             return True
-        return ("class" in node.attrs or "id" in node.attrs) and self._dropped_by_name(node, in_article)
+        return ("class" in node.attrs or "id" in node.attrs) and self._dropped_by_name(node)
 
-    def _dropped_by_name(self, node: Node, in_article: bool) -> bool:
+    def _dropped_by_name(self, node: Node) -> bool:
         """By a word of a class or id, but not what is part of the text.
 
-        In an article a named block with enough text of its own stays, and one named by its id
-        alone, as generated anchors are, with any. Elsewhere a block that holds most of the
-        page's text stays; one whose name begins with the word must hold nearly all of it.
-        What readers wrote and notices about cookies never stay.
+        Comments, notices to readers and what is furniture by its whole name go at every length, but
+        for a page's only article; furniture by a part of its name goes unless it holds most of the text
+        around; a name that may be a topic goes if the element is mostly links.
         """
-        tokens = _tokens(node)
-        if not _named(tokens):
+        names = Names(node)
+        if not names.named:
             return False
-        text, links = self.sizes[id(node)]
-        if in_article and not self._beside_article(node):
-            classes = [[word.lower() for word in NAME_PARTS.findall(name)] for name in node.attrs.get("class", "").split()]
-            if any(words and words[0] in NEVER_TEXT for words in classes):
-                return True
-            return links >= text or text < (LITTLE_TEXT if _named(classes) else LITTLE_ANCHORED)
-        if any(words and words[0] in NEVER_TEXT for words in tokens):
+        if node.tag == "article" and id(self.root) not in self.holds_body:
+            return False
+        if names.reader:
             return True
-        leading = any(words and words[0] in DROPPED_NAMES for words in tokens)
-        return not self._holds_most(node, 0.8 if leading else 0.5)
-
-    def _beside_article(self, node: Node) -> bool:
-        """Whether the element is inside a main element, but outside of the articles in it."""
-        at = node.parent
-        while at is not None and at.tag not in ("article", "main"):
-            at = at.parent
-        return at is not None and at.tag == "main" and id(at) in self.holds_body
+        if names.furniture:
+            return not self._holds_most(node, 0.8)
+        if names.furnished:
+            return not self._holds_most(node)
+        text, links = self.sizes[id(node)]
+        return links >= text
 
     def _score(self, root: Node) -> None:
-        """A block's own text counts for its container, half for the one above; links not.
+        """A block's own text counts for its container, half for the one above; links not. Articles pass nothing on.
 
         An article or main element takes all text in it up to the next article. Links count
-        against it only if they are more than its text.
+        against it only if they are more than its text. Of several articles with one path the best one counts.
         """
-        held: dict[str, list[int]] = {}
-        order: list[str] = []
-        stack = [(root, "", None, None, None, False, False, False)]
+        held: dict[int, tuple[int, list[int]]] = {}
+        order: list[int] = []
+        stack = [(root, 0, None, None, None, False, False, False)]
         while stack:
             node, path, container, above, article, in_link, in_article, in_prose = stack.pop()
             if node is not root:
                 if self.dropped(node, in_article):
                     continue
-                path = f"{path}/{node.step()}"
+                path = self._below(path, node.step())
             if node.tag in CONTAINERS or node is root:
                 above, container = container, path
                 if path not in self.nodes:
@@ -333,9 +410,8 @@ class Page:
                 self.nodes[path].append(node)
                 in_prose = False
                 if node.tag in ("article", "main"):
-                    self.scores[path] += 200.0
-                    held.setdefault(path, [0, 0])
-                    article = path
+                    held[id(node)] = (path, [0, 0])
+                    article = node
             in_link = in_link or node.tag == "a"
             in_article = in_article or node.tag in ("article", "main")
             in_prose = in_prose or node.tag in PROSE
@@ -344,50 +420,68 @@ class Page:
                     stack.append((part, path, container, above, article, in_link, in_article, in_prose))
                     continue
                 n = len(part.strip())
+                own = held[id(article)] if article is not None else (None, None)
                 self.whole[container] += -n / 2 if in_link else n
                 if article is not None:
-                    held[article][in_link] += n
-                if container != article:
+                    own[1][in_link] += n
+                if container != own[0]:
                     self.scores[container] += -n / 2 if in_link else n
-                if above is not None and above != article and not in_link:
+                if above is not None and own[0] not in (above, container) and not in_link:
                     self.scores[above] += n / 2
                 if in_prose and not in_link:
                     self.prose[container] += n
-        for path, (text, links) in held.items():
-            self.scores[path] += text - (links / 2 if links > text else 0)
+        best: dict[int, float] = {}
+        for path, (text, links) in held.values():
+            best[path] = max(best.get(path, -1e300), 200.0 + text - (links / 2 if links > text else 0))
+        for path, score in best.items():
+            self.scores[path] += score
+        self.in_articles = dict.fromkeys(order, 0.0)
+        for path, (text, links) in held.values():
+            self.in_articles[path] += text - links / 2
         # A container comes after those around it.
         for path in reversed(order):
-            if self.around[path] is not None:
-                self.whole[self.around[path]] += self.whole[path]
+            around = self.around[path]
+            if around is not None:
+                self.whole[around] += self.whole[path]
+                self.in_articles[around] += self.in_articles[path]
 
-    def best(self) -> str:
+    def best(self) -> int:
         """The path of the best container, or of one around it that holds more of the article.
 
         The one around is taken if the text that it adds is rich, or holds headings or
-        paragraphs of its own; a whole body is only taken for rich text.
+        paragraphs of its own; a whole body is only taken for rich text. Around an article, other
+        articles do not count.
         """
-        best = max(self.scores, key=lambda path: (self.scores[path], -len(path), path))
+        top = max((self.scores[path], -self.lengths[path]) for path in self.scores)
+        equal = [path for path in self.scores if (self.scores[path], -self.lengths[path]) == top]
+        best = equal[0] if len(equal) == 1 else max(equal, key=self.written)
         around = self.around[best]
         while around is not None:
             added = self.whole[around] - self.whole[best]
+            if self.nodes[best][0].tag == "article":
+                added -= self.in_articles[around] - self.in_articles[best]
             own = self.prose[around] > 0 and self.nodes[around][0].tag in WRAPPERS
             if added > 0 and (own or added >= RICH_SHARE * self.whole[best]):
                 best = around
             around = self.around[around]
         return best
 
-    def chosen(self, paths: list[str]) -> str:
+    def chosen(self, paths: list[str]) -> int:
         """The first of the host's paths that holds text, or the page's own best container.
 
         The own best is also taken where it is around the host's: this page's article has
         parts that most others lack. For a whole body the host must have voted, too.
         """
         best = self.best()
-        found = next((path for path in paths if self.scores.get(path, 0) > 0), best)
-        wider = found.startswith(f"{best}/") and (best in paths or self.nodes[best][0].tag in WRAPPERS)
+        voted = [self.known(path) for path in paths]
+        found = next((path for path in voted if self.scores.get(path, 0) > 0), best)
+        outer = found
+        while outer > best:
+            outer = self.step_of[outer][0]
+        wider = outer == best != found and (best in voted or self.nodes[best][0].tag in WRAPPERS)
         return best if wider else found
 
-    def text(self, path: str) -> str:
+    def text(self, path: int) -> str:
         blocks: list[str] = []
         for node in self.nodes[path]:
             blocks += _blocks(self, node)
@@ -397,11 +491,7 @@ class Page:
 def _blocks(page: Page, top: Node) -> list[str]:
     blocks: list[str] = []
     current: list[str] = []
-    inside = top
-    in_article = False
-    while inside is not None:
-        in_article = in_article or inside.tag in ("article", "main")
-        inside = inside.parent
+    in_article = top.tag in ("article", "main") or id(top) in page.article_of
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(current)).split())
@@ -440,7 +530,8 @@ TEXTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.st
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        paths = [Page(text.as_py()).best() for text in batch.column("html")]
+        pages = (Page(text.as_py()) for text in batch.column("html"))
+        paths = [page.written(page.best()) for page in pages]
         yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(paths, pa.string())], schema=VOTES)
 
 
