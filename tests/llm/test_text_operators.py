@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -166,20 +167,53 @@ def test_shards(request, name):
         groups[r["text_crc32"]] += r["size"]
     if name == "small_docs":
         assert set(slots) == set(range(16))
+        best = longest_first(groups.values(), 16)
+        assert max(loads.values()) <= max(best) * (1 + 2**-9)
         assert max(loads.values()) <= max(4 / 3 * sum(loads.values()) / 16, max(groups.values()))
 
 
-def test_schedule_is_longest_first():
-    assert schedule_loads([(7, "a"), (6, "b"), (5, "c"), (4, "d"), (2, "e")], 2) == [11, 13]
-    assert sharding.schedule([], 4) == {}
+def longest_first(sizes, shards):
+    """Loads of the dealt rule, one group after the other."""
+    loads = [0] * shards
+    for size in sorted(sizes, reverse=True):
+        loads[loads.index(min(loads))] += size
+    return loads
+
+
+def test_dealing_many_equals_dealing_one_by_one():
+    draw = random.Random(4)
+    for _ in range(300):
+        loads = [draw.randrange(50) for _ in range(draw.choice((1, 3, 16)))]
+        size, count = draw.randrange(1, 30), draw.choice((0, 1, 2, 7, 40, 500))
+        after, given = list(loads), [0] * len(loads)
+        for _ in range(count):
+            shard = after.index(min(after))
+            after[shard] += size
+            given[shard] += 1
+        assert sharding.deal(loads, size, count) == given
+    assert sum(sharding.deal([0] * 16, 7, 10**12)) == 10**12
+
+
+def test_shards_are_longest_first_over_all_groups(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CELL_ROWS", 5)
+    draw = random.Random(9)
+    texts = [f"{k} " + "x" * draw.choice((0, 1, 5, 40, 41, 300, 1000)) for k in range(400)]
+    rows = [(i, draw.choice(texts[:5]) if i % 3 == 0 else texts[i % 400]) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.assign_shards(docs).collect()
+    loads = Counter()
+    for r in got:
+        loads[r["shard"]] += r["size"]
+    groups = Counter()
+    for _, text in rows:
+        groups[text] += len(text) + 1
+    assert sorted(loads.values()) == sorted(longest_first(groups.values(), 16))
 
 
-def schedule_loads(items, n):
-    placed = sharding.schedule(items, n)
-    loads = [0] * n
-    for size, name in items:
-        loads[placed[name]] += size
-    return sorted(loads)
+def test_equal_rows_share_shards_but_not_slots(spark):
+    docs = spark.createDataFrame([(None, "same")] * 300 + [(1, "other")] * 40, "doc_id long, text string").repartition(5)
+    got = sharding.assign_shards(docs, shards=2).collect()
+    assert sorted((r["size"], r["shard"], r["slot"]) for r in got) == sorted([(5, 0, k) for k in range(300)] + [(6, 1, k) for k in range(40)])
 
 
 def test_no_docs_to_shard(no_docs):
