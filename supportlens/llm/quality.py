@@ -18,6 +18,8 @@ from supportlens.session import materialize
 #: A word of letters, with inner hyphens or apostrophes and one sign at its end at most.
 PLAIN_WORD = rf"(?<![^{BLANKS}])\p{{L}}[\p{{L}}\p{{M}}'’-]*[.,;:!?]?(?![^{BLANKS}])"
 WINDOW = 5
+#: Words in which their variety is measured.
+VARIETY_RUN = 500
 ROUNDS = 100
 
 
@@ -76,7 +78,7 @@ def with_counts(docs: DataFrame) -> DataFrame:
                 F.size(lines).cast("long").alias("n_lines"),
                 (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
                 _covered(F.col("_places")).alias("n_repeat_words"),
-                F.size(F.array_distinct("_words")).cast("long").alias("n_distinct"),
+                _distinct_in_runs("_words").alias("n_distinct"),
                 F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
                 F.regexp_count(text, F.lit(PLAIN_WORD)).cast("long").alias("n_plain"),
             ),
@@ -86,6 +88,13 @@ def with_counts(docs: DataFrame) -> DataFrame:
     )
 
 
+def _distinct_in_runs(words: str) -> Column:
+    """Different words of every run of ``VARIETY_RUN`` words, added up; long texts repeat words without being poor."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(VARIETY_RUN))
+    in_run = lambda start: F.size(F.array_distinct(F.slice(words, start + 1, F.lit(VARIETY_RUN))))
+    return F.aggregate(F.transform(starts, in_run), F.lit(0).cast("long"), lambda total, n: total + n)
+
+
 def _vote(bad: Column, good: Column | None = None) -> Column:
     vote = F.when(bad, F.lit(-1))
     return (vote if good is None else vote.when(good, F.lit(1))).otherwise(F.lit(0))
@@ -103,7 +112,7 @@ def votes(q: str = "_q") -> dict[str, Column]:
     return {
         "length": _vote(n < 10),
         "repeats": _vote(enough & (100 * c("n_repeat_words") > 20 * n)),
-        "variety": _vote(enough & (n < 2000) & (8 * c("n_distinct") < n), enough & (2 * c("n_distinct") > n)),
+        "variety": _vote(enough & (8 * c("n_distinct") < n), enough & (2 * c("n_distinct") > n)),
         "lines": _vote(enough & (2 * c("n_dup_lines") > c("n_lines"))),
         "symbols": _vote(enough & (4 * c("n_symbols") > n)),
         "plain_words": _vote(enough & (10 * plain < 6 * n), enough & (10 * plain >= 9 * n)),
