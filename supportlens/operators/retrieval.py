@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from supportlens import constants as C
 from supportlens.functions import text as X
-from supportlens.session import materialize
 
 # Queries up to this many bytes of vectors go to every task; more are joined in blocks.
 BROADCAST_BYTES = 64 << 20
@@ -23,9 +19,6 @@ BLOCK_ROWS = 4096
 CELLS = 1 << 20
 #: Numbers of candidate vectors compared at a time.
 VALUES = 1 << 20
-# Inverted lists at most, and rows at most that their centres are fitted on.
-MAX_LISTS = 4096
-FIT_ROWS = 1 << 16
 # Squared distances are compared at this precision, so that equal vectors tie.
 DIGITS = 6
 
@@ -340,79 +333,3 @@ def retrieved_labels(matches: DataFrame, corpus: DataFrame, id_column: str, labe
     nearest = matches.where(F.col("rank") == 1).select("query_id", "match_id")
     labels = corpus.select(F.col(id_column).alias("match_id"), F.col(label).alias("retrieved_label"))
     return nearest.join(labels, "match_id")
-
-
-def list_centres(found: DataFrame, lists: int | None = None, fit_rows: int = FIT_ROWS) -> np.ndarray:
-    """Centres of inverted lists, fitted on ``fit_rows`` rows by hash of their id.
-
-    There are about 2 * sqrt(rows) lists, at most ``MAX_LISTS``, so the centres stay small.
-    """
-    n = found.count()
-    if not n:
-        return np.zeros((0, 0))
-    wanted = min(lists or math.ceil(2 * math.sqrt(n)), MAX_LISTS, n)
-    if wanted == 1:
-        return _matrix(found.limit(1).toPandas()["vector"])
-    sample = found.orderBy(F.xxhash64("id"), "id").limit(fit_rows)
-    rows = sample.select(array_to_vector(F.col("vector").cast("array<double>")).alias("features")).cache()
-    model = KMeans(k=wanted, initMode="random", maxIter=8, seed=C.SEED).fit(rows)
-    rows.unpersist()
-    return np.stack(model.clusterCenters())
-
-
-def in_nearest_lists(side: DataFrame, centres: np.ndarray, n: int) -> DataFrame:
-    """``side`` (id, vector) once for each of the ``n`` lists whose centres are nearest, as ``list``."""
-    sent = side.sparkSession.sparkContext.broadcast(centres)
-
-    @F.pandas_udf("array<int>")
-    def nearest(vectors: pd.Series) -> pd.Series:
-        held = sent.value
-        half = 0.5 * (held**2).sum(1)
-        out: list[np.ndarray] = []
-        step = max(1, CELLS // len(held))
-        for at in range(0, len(vectors), step):
-            order = half - _matrix(vectors.iloc[at : at + step]) @ held.T
-            out.extend(np.argsort(order, axis=1, kind="stable")[:, :n].astype(np.int32))
-        return pd.Series(out, dtype=object)
-
-    return side.select("id", "vector", F.explode(nearest("vector")).alias("list"))
-
-
-def ann_topk(
-    queries: DataFrame,
-    corpus: DataFrame,
-    id_column: str,
-    vector: str,
-    k: int = C.RETRIEVED_DOCUMENTS,
-    skip_self: bool = False,
-    lists: int | None = None,
-    probes: float = 0.5,
-    block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """Approximate search through inverted lists: every corpus vector is in the list of its nearest centre.
-
-    A query is compared with the ``probes`` share of the lists nearest to it. Vectors without
-    any structure need about half of the lists for a recall of 0.9; vectors that form clusters
-    need few, so measure it and lower the share. Only the centres come from a bounded sample.
-    Large lists are cut into blocks like any other group. Queries whose lists hold too few
-    vectors, as on very small tables, are searched exactly.
-    """
-    wanted = k + 1 if skip_self else k
-    asked, distinct, found = _distinct_sides(queries, corpus, id_column, vector, [], wanted)
-    centres = list_centres(found, lists)
-    if not len(centres):
-        return queries.sparkSession.createDataFrame([], MATCH_SCHEMA + ", rank INT")
-    probed = in_nearest_lists(distinct, centres, max(1, math.ceil(probes * len(centres))))
-    held = in_nearest_lists(found, centres, 1)
-    partial = _compare_blocks(probed, held, ["list"], wanted, block_rows).drop("list")
-    shared = _final_rank(partial, wanted).drop("rank")
-    near = materialize(_shared_out(asked, distinct, shared, [], k, skip_self), "ann-matches")
-    # A query that is in the corpus has one other vector less, which only a table of k rows shows.
-    others = _as_side(corpus, id_column, vector, []).limit(k).count()
-    full = near.groupBy("query_id").count().where(F.col("count") >= others).select(F.col("query_id").alias("full_id"))
-    known = F.col(id_column).cast("bigint") == F.col("full_id")
-    short = materialize(queries.join(full, known, "left_anti").where(F.col(vector).isNotNull()).select(id_column, vector), "ann-short")
-    if short.isEmpty():
-        return near
-    exact = vector_topk(short, corpus, id_column, vector, k, skip_self, block_rows=block_rows)
-    return near.join(full, F.col("query_id") == F.col("full_id"), "left_semi").unionByName(exact)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from supportlens import constants as C
 from supportlens.functions import text as X
 from supportlens.operators import conversations as V, evaluate as E, models as M
-from supportlens.operators import retrieval as R, terms as T
+from supportlens.operators import retrieval as R, terms as T, vector_index as I
 from supportlens.plans import oracle_text as O, views
 from supportlens.plans.registry import query
 from supportlens.session import materialize
@@ -92,10 +92,21 @@ def retrieved_intent(spark, sf_dir):
     return R.retrieved_labels(matches, rows, "vec_id", "label")
 
 
+#: The vectors of the tables have no structure, so most lists have to be read.
+UNSTRUCTURED_PROBES = 72
+
+
+def _ann(spark, sf_dir):
+    rows = _embeddings(spark, sf_dir)
+    index = I.VectorIndex.build(rows, "vec_id", "embedding", 1 + C.RETRIEVED_DOCUMENTS)
+    return rows, index, lambda: index.search(
+        rows, "vec_id", "embedding", C.RETRIEVED_DOCUMENTS, skip_self=True, probes=UNSTRUCTURED_PROBES
+    )
+
+
 @query()
 def ann_topk(spark, sf_dir):
-    rows = _embeddings(spark, sf_dir)
-    return R.ann_topk(rows, rows, "vec_id", "embedding", skip_self=True)
+    return _ann(spark, sf_dir)[2]()
 
 
 @query(
@@ -104,14 +115,44 @@ def ann_topk(spark, sf_dir):
 )
 def ann_recall(spark, sf_dir):
     """Whether approximate search finds at least nine tenths of the exact matches of all vectors."""
-    rows = _embeddings(spark, sf_dir)
-    exact = R.vector_topk(rows, rows, "vec_id", "embedding", skip_self=True).select("query_id", "match_id")
-    near = R.ann_topk(rows, rows, "vec_id", "embedding", skip_self=True).select("query_id", "match_id")
-    found = exact.join(near.withColumn("hit", F.lit(1)), ["query_id", "match_id"], "left")
-    return found.agg(
-        F.count_distinct("query_id").alias("n_queries"),
-        F.count("*").alias("n_exact"),
-        (F.count("hit") >= 0.9 * F.count("*")).alias("recall_reached"),
+    rows, _, search = _ann(spark, sf_dir)
+    exact = R.vector_topk(rows, rows, "vec_id", "embedding", skip_self=True)
+    n_queries = rows.agg(F.count("*")).scalar().alias("n_queries")
+    return I.recall(exact, search()).select(n_queries, "n_exact", (F.col("recall") >= 0.9).alias("recall_reached"))
+
+
+@query()
+def ann_work(spark, sf_dir):
+    """Recall against exact search, and the shares of all pairs whose codes were read and whose distances were taken."""
+    rows, index, search = _ann(spark, sf_dir)
+    exact = R.vector_topk(rows, rows, "vec_id", "embedding", skip_self=True)
+    work = index.work(rows, "vec_id", "embedding", UNSTRUCTURED_PROBES)
+    shares = [work.select(name).scalar().alias(name) for name in work.columns]
+    return I.recall(exact, search()).select("n_exact", "recall", *shares)
+
+
+@query(
+    f"""SELECT n.query_id AS query_id, CAST(least(3, (SELECT count(*) - 1 FROM embeddings)) AS BIGINT) AS n_matches, 0 AS wrong_distances,
+               0 AS wrong_ranks, true AS none_nearer
+        FROM (SELECT DISTINCT query_id FROM ({TOPK_SQL})) n"""
+)
+def ann_ranks(spark, sf_dir):
+    """Per query: matches found, those whose distance or rank is wrong, and whether none is nearer than the nearest."""
+    rows, _, search = _ann(spark, sf_dir)
+    pairs = search().join(rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id").join(
+        rows.select(F.col("vec_id").alias("match_id"), F.col("embedding").alias("m")), "match_id"
+    )
+    gap = F.expr("aggregate(zip_with(q, m, (x, y) -> (double(x) - double(y)) * (double(x) - double(y))), 0D, (t, x) -> t + x)")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "match_id"))
+    checked = pairs.withColumns({"true_distance": F.round(gap, 6), "place": place})
+    nearest = R.vector_topk(rows, rows, "vec_id", "embedding", k=1, skip_self=True)
+    least = nearest.select("query_id", F.col("distance").alias("least"))
+    wrong = lambda condition: F.count_if(condition).cast("int")
+    return checked.join(least, "query_id").groupBy("query_id").agg(
+        F.count("*").alias("n_matches"),
+        wrong(F.abs(F.col("distance") - F.col("true_distance")) > 1e-6).alias("wrong_distances"),
+        wrong(F.col("rank") != F.col("place")).alias("wrong_ranks"),
+        F.every(F.col("distance") >= F.col("least") - 1e-6).alias("none_nearer"),
     )
 
 

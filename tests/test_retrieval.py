@@ -3,7 +3,7 @@ import tracemalloc
 import numpy as np
 import pytest
 
-from supportlens.operators import conversations as V, retrieval as R
+from supportlens.operators import conversations as V, retrieval as R, vector_index as I
 
 SCHEMA = "id BIGINT, v ARRAY<FLOAT>, g STRING"
 
@@ -68,33 +68,52 @@ def test_general_queries_search_everything(spark):
         assert found.get(i, []) == (anywhere if g == "general" else within)[i]
 
 
-def test_ann_finds_most_neighbours(spark):
-    rng = np.random.default_rng(2)
-    centres = rng.normal(size=(12, 16))
-    points = np.concatenate([c + 0.05 * rng.normal(size=(15, 16)) for c in centres])
+def clustered(n_clusters=60, each=25, width=24, seed=2):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(n_clusters, width))
+    points = np.concatenate([c + 0.05 * rng.normal(size=(each, width)) for c in centres])
     points /= np.linalg.norm(points, axis=1, keepdims=True)
-    frame = spark.createDataFrame([(i, p.tolist(), "") for i, p in enumerate(points)], SCHEMA)
-    exact = matches(R.vector_topk(frame, frame, "id", "v", 3, skip_self=True))
-    near = matches(R.ann_topk(frame, frame, "id", "v", 3, skip_self=True))
-    hits = sum(len(set(exact[i]) & set(near.get(i, []))) for i in exact)
-    assert hits / (3 * len(exact)) > 0.9
+    return points[rng.permutation(len(points))]
+
 
+def test_ann_of_clusters_reads_less_than_a_tenth_of_all_pairs(spark):
+    frame = spark.createDataFrame([(i, p.tolist(), "") for i, p in enumerate(clustered())], SCHEMA).repartition(3)
+    index = I.VectorIndex.build(frame, "id", "v", 4)
+    exact = R.vector_topk(frame, frame, "id", "v", 3, skip_self=True)
+    found = I.recall(exact, index.search(frame, "id", "v", 3, skip_self=True, probes=4)).first()
+    work = index.work(frame, "id", "v", probes=4).first()
+    assert found.recall > 0.95 and work.share_read < 0.1 and work.share_compared < 0.03
+    assert index.codes.count() == 1500
 
-def test_ann_of_vectors_without_structure_compares_fewer_pairs(spark):
+
+@pytest.mark.parametrize("block", [7, 1 << 16])
+def test_ann_of_vectors_without_structure(spark, monkeypatch, block):
+    monkeypatch.setattr(I, "BLOCK_CODES", block)
+    monkeypatch.setattr(I, "BLOCK_QUERIES", block)
     rng = np.random.default_rng(3)
-    points = rng.normal(size=(600, 32))
-    points[:200] = points[0]
+    points = rng.normal(size=(300, 20))
+    points[:100] = points[0]
     frame = spark.createDataFrame([(i, p.tolist(), "") for i, p in enumerate(points)], SCHEMA)
-    exact = matches(R.vector_topk(frame, frame, "id", "v", 3, skip_self=True))
-    near = matches(R.ann_topk(frame, frame, "id", "v", 3, skip_self=True))
-    assert sum(len(set(exact[i]) & set(near.get(i, []))) for i in exact) > 0.9 * 3 * len(exact)
-    side = frame.where("id >= 199").selectExpr("id", "v AS vector")
-    centres = R.list_centres(side)
-    held = R.in_nearest_lists(side, centres, 1).groupBy("list").count()
-    probed = R.in_nearest_lists(side, centres, -(-len(centres) // 2)).join(held, "list")
-    compared = probed.agg({"count": "sum"}).first()[0]
-    assert held.agg({"count": "sum"}).first()[0] == 401
-    assert compared < 0.7 * 401**2
+    exact = R.vector_topk(frame, frame, "id", "v", 3, skip_self=True)
+    assert I.recall(exact, I.ann_topk(frame, frame, "id", "v", 3, skip_self=True, probes=28)).first().recall > 0.95
+
+
+def test_ann_with_all_lists_and_candidates_is_exact(spark):
+    rows = vectors()
+    frame = spark.createDataFrame(rows, SCHEMA)
+    assert matches(I.ann_topk(frame, frame, "id", "v", 3, skip_self=True, probes=99, ranked=99)) == brute_force(rows, 3)
+
+
+def test_codes_keep_most_of_the_distance():
+    points = clustered()
+    fitted = I.fit(points, 40)
+    lists, codes = I.encode(points, fitted)
+    assert codes.shape == (1500, 16) and codes.dtype == np.uint8
+    for number in (0, 7):
+        rows = np.flatnonzero(lists == number)
+        rough = I.rough_distances(points[:50], fitted.centres[number], codes[rows], fitted)
+        true = ((points[:50, None] - points[rows][None]) ** 2).sum(2)
+        assert np.abs(rough - true).max() < 0.2
 
 
 @pytest.mark.parametrize("n", [1, 2, 4, 5])
@@ -102,7 +121,7 @@ def test_ann_fills_up_on_small_tables(spark, n):
     rng = np.random.default_rng(4)
     rows = [(i, rng.normal(size=6).tolist(), "") for i in range(n)]
     frame = spark.createDataFrame(rows, SCHEMA)
-    found = matches(R.ann_topk(frame, frame, "id", "v", 3, skip_self=True))
+    found = matches(I.ann_topk(frame, frame, "id", "v", 3, skip_self=True))
     assert {i: len(found.get(i, [])) for i, _, _ in rows} == {i: min(3, n - 1) for i, _, _ in rows}
     if n <= 4:
         assert {i: found.get(i, []) for i, _, _ in rows} == brute_force(rows, 3)
@@ -110,9 +129,9 @@ def test_ann_fills_up_on_small_tables(spark, n):
 
 def test_ann_of_few_rows(spark):
     frame = spark.createDataFrame(vectors(2), SCHEMA)
-    assert matches(R.ann_topk(frame, frame, "id", "v", 3, skip_self=True, probes=1.0)) == {0: [1], 1: [0]}
-    assert R.ann_topk(frame, frame.where("id < 0"), "id", "v").count() == 0
-    assert R.ann_topk(frame.where("id < 0"), frame, "id", "v").count() == 0
+    assert matches(I.ann_topk(frame, frame, "id", "v", 3, skip_self=True)) == {0: [1], 1: [0]}
+    assert I.ann_topk(frame, frame.where("id < 0"), "id", "v").count() == 0
+    assert I.ann_topk(frame.where("id < 0"), frame, "id", "v").count() == 0
 
 
 def test_normalized_vectors_have_unit_length(spark):
