@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -10,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from supportlens import constants as C
 from supportlens.functions import text as X
+from supportlens.session import materialize
 
 # Queries up to this many bytes of vectors go to every task; more are joined in blocks.
 BROADCAST_BYTES = 64 << 20
@@ -19,6 +22,9 @@ BLOCK_ROWS = 4096
 CELLS = 1 << 20
 #: Numbers of candidate vectors compared at a time.
 VALUES = 1 << 20
+# Cells that vectors are sent by at most, and rows at most that their pivots are chosen from.
+MAX_CELLS = 256
+FIT_ROWS = 1 << 14
 # Squared distances are compared at this precision, so that equal vectors tie.
 DIGITS = 6
 
@@ -230,12 +236,17 @@ def vector_topk_within(
     Equal vectors are searched once: of equal corpus vectors only those with the
     smallest ids can be in a result, and equal queries share theirs. What is left is
     split into blocks of about ``block_rows`` vectors on both sides, however large a
-    group is. A task compares one pair of blocks and keeps the best matches per
+    group is; where there are more, blocks follow cells around pivots, and cells that cannot hold a
+    match of a query are not compared with it. A task compares one pair of blocks and keeps the best matches per
     query; the pairs themselves are never emitted.
     """
     wanted = k + 1 if skip_self else k
     asked, distinct, found = _distinct_sides(queries, corpus, id_column, vector, keys, wanted)
-    shared = _compare_blocks(distinct, found, keys, wanted, block_rows)
+    distinct, found = materialize(distinct, "asked-vectors"), materialize(found, "found-vectors")
+    if found.limit(block_rows + 1).count() > block_rows:
+        shared = compare_cells(distinct, found, keys, wanted, block_rows)
+    else:
+        shared = _compare_blocks(distinct, found, keys, wanted, block_rows)
     return _shared_out(asked, distinct, shared, keys, k, skip_self)
 
 
@@ -310,6 +321,96 @@ def _compare_blocks(
     return partial.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k).drop("_rank")
 
 
+class Cells(NamedTuple):
+    """Pivots, each the centre of a cell, and the largest distance of a corpus vector in the cell."""
+
+    pivots: np.ndarray
+    radius: np.ndarray
+
+
+def _to_pivots(vectors: np.ndarray, pivots: np.ndarray) -> Iterator[np.ndarray]:
+    """Distances to all pivots, some vectors at a time, without the lost digits of a matrix product."""
+    step = max(1, VALUES // max(1, pivots.size))
+    for at in range(0, len(vectors), step):
+        yield np.sqrt(((vectors[at : at + step, None] - pivots[None]) ** 2).sum(2))
+
+
+def _in_cells(side: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """``side`` with the ``cell`` of its nearest pivot, and the distance to it as ``reach``."""
+    sent = side.sparkSession.sparkContext.broadcast(pivots)
+    schema = T.StructType([*side.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("reach", T.DoubleType())])
+
+    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                far = list(_to_pivots(_matrix(batch["vector"]), sent.value))
+                yield batch.assign(cell=np.concatenate([f.argmin(1) for f in far]), reach=np.concatenate([f.min(1) for f in far]))
+
+    return side.mapInPandas(placed, schema)
+
+
+def pivot_cells(found: DataFrame, block_rows: int, max_cells: int = MAX_CELLS, fit_rows: int = FIT_ROWS) -> tuple[Cells, DataFrame]:
+    """Cells of about half a block of vectors, at most ``max_cells``, and ``found`` with its cells.
+
+    Pivots are vectors of a bounded sample, each the one farthest from those before it.
+    """
+    n = found.count()
+    sample = _matrix(found.orderBy(F.xxhash64("id"), "id").limit(fit_rows).toPandas()["vector"])
+    chosen = [0]
+    nearest = np.full(len(sample), np.inf)
+    while len(chosen) < min(max_cells, len(sample), math.ceil(2 * n / block_rows)):
+        nearest = np.minimum(nearest, ((sample - sample[chosen[-1]]) ** 2).sum(1))
+        chosen.append(int(nearest.argmax()))
+    placed = materialize(_in_cells(found, sample[chosen]), "cells")
+    radius = np.zeros(len(chosen))
+    for row in placed.groupBy("cell").agg(F.max("reach").alias("radius")).collect():
+        radius[row["cell"]] = row["radius"]
+    return Cells(sample[chosen], radius), placed.drop("reach")
+
+
+def cells_within_reach(asked: DataFrame, cells: Cells) -> DataFrame:
+    """``asked`` (…, vector, cell, kth) once for every other cell that may hold a nearer vector than its ``kth`` so far.
+
+    By the triangle inequality no vector of a cell is nearer than the pivot's distance less the cell's radius.
+    """
+    sent = asked.sparkSession.sparkContext.broadcast(cells)
+
+    def reached(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pivots, radius = sent.value
+        for batch in batches:
+            if not len(batch):
+                continue
+            at = 0
+            for far in _to_pivots(_matrix(batch["vector"]), pivots):
+                part = batch.iloc[at : at + len(far)]
+                at += len(far)
+                least = np.maximum(far * (1 - 1e-9) - radius * (1 + 1e-9), 0.0) ** 2
+                wanted = least <= part["kth"].to_numpy()[:, None] + 2.0 * 10.0**-DIGITS
+                wanted[np.arange(len(part)), part["cell"].to_numpy()] = False
+                row, cell = np.nonzero(wanted)
+                yield part.iloc[row].assign(cell=cell)
+
+    return asked.mapInPandas(reached, asked.schema)
+
+
+def compare_cells(left: DataFrame, right: DataFrame, keys: list[str], k: int, block_rows: int) -> DataFrame:
+    """Like ``_compare_blocks``, but vectors are sent only where their distance to pivots allows a match.
+
+    Every query first searches the cell of its nearest pivot; its k-th distance there then
+    rules out the cells that are too far away.
+    """
+    cells, held = pivot_cells(right, block_rows)
+    asked = materialize(_in_cells(left, cells.pivots).drop("reach"), "asked-cells")
+    own = materialize(_compare_blocks(asked, held, [*keys, "cell"], k, block_rows), "own-cell").drop("cell")
+    kth = own.groupBy(*keys, "query_id").agg(F.when(F.count("*") == k, F.max("distance")).alias("kth")).withColumnRenamed("query_id", "id")
+    bounded = asked.join(kth, [*keys, "id"], "left").withColumn("kth", F.coalesce("kth", F.lit(math.inf)))
+    rest = materialize(cells_within_reach(bounded, cells).drop("kth"), "reached-cells")
+    other = _compare_blocks(rest, held, [*keys, "cell"], k, block_rows).drop("cell")
+    order = Window.partitionBy(*keys, "query_id").orderBy("distance", "match_id")
+    both = own.unionByName(other)
+    return both.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k).drop("_rank")
+
+
 def retrieve(
     queries: DataFrame,
     corpus: DataFrame,

@@ -2,6 +2,7 @@ import tracemalloc
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from supportlens.operators import conversations as V, retrieval as R, vector_index as I
 
@@ -116,6 +117,29 @@ def test_codes_keep_most_of_the_distance():
         assert np.abs(rough - true).max() < 0.2
 
 
+def test_pivots_rule_out_most_cells_of_clusters(spark):
+    points = clustered(20, 40, 8)
+    rows = [(i, p.tolist(), "hot" if i % 3 else "cold") for i, p in enumerate(points)]
+    frame = spark.createDataFrame(rows, "id BIGINT, v ARRAY<DOUBLE>, g STRING")
+    for keys in ([], ["g"]):
+        found = R.vector_topk_within(frame, frame, "id", "v", keys, 3, True, block_rows=40)
+        assert matches(found) == brute_force(rows, 3, same_group=bool(keys))
+    side = frame.select("id", F.col("v").alias("vector"))
+    cells, held = R.pivot_cells(side, 40)
+    kth = held.withColumn("kth", F.lit(0.15))
+    sent = R.cells_within_reach(kth, cells).count()
+    assert len(cells.pivots) == 40 and sent < 0.25 * 800 * 39
+
+
+def test_pivots_of_equal_and_far_vectors(spark):
+    rng = np.random.default_rng(8)
+    points = np.concatenate([np.ones((30, 4)), 1e6 + rng.normal(size=(30, 4)), rng.normal(size=(30, 4))])
+    rows = [(i, p.tolist(), "") for i, p in enumerate(points)]
+    frame = spark.createDataFrame(rows, "id BIGINT, v ARRAY<DOUBLE>, g STRING")
+    found = R.vector_topk(frame, frame, "id", "v", 3, skip_self=True, broadcast_bytes=0, block_rows=9)
+    assert matches(found) == brute_force(rows, 3)
+
+
 @pytest.mark.parametrize("n", [1, 2, 4, 5])
 def test_ann_fills_up_on_small_tables(spark, n):
     rng = np.random.default_rng(4)
