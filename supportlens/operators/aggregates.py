@@ -81,10 +81,14 @@ def hourly_distribution(df: DataFrame, ts: str) -> DataFrame:
 
 
 def run_history_summary(df: DataFrame) -> DataFrame:
-    """Final and best validation loss per run."""
+    """Final and best losses and accuracies per run; the lowest loss and the highest accuracy are the best."""
+    measures = {
+        "loss": ("validation_loss", F.min), "training_loss": ("training_loss", F.min),
+        "accuracy": ("validation_accuracy", F.max), "training_accuracy": ("training_accuracy", F.max),
+    }
     return df.groupBy("run_id").agg(
         F.max("epoch").alias("epochs"),
-        F.max_by("validation_loss", "epoch").alias("final_loss"),
-        F.min("validation_loss").alias("best_loss"),
-        F.min_by("epoch", F.struct("validation_loss", "epoch")).alias("best_epoch"),
+        *[F.max_by(column, "epoch").alias(f"final_{name}") for name, (column, _) in measures.items()],
+        *[best(column).alias(f"best_{name}") for name, (column, best) in measures.items()],
+        F.min_by("epoch", F.when(F.col("validation_loss").isNotNull(), F.struct("validation_loss", "epoch"))).alias("best_epoch"),
     )

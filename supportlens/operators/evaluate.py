@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def _counts(df: DataFrame, actual: str, predicted: str) -> DataFrame:
-    return df.groupBy(F.col(actual).alias("actual"), F.col(predicted).alias("predicted")).agg(
-        F.count("*").alias("n")
-    )
+def _counts(df: DataFrame, actual: str, predicted: str, n: str | None = None) -> DataFrame:
+    """Rows per pair of labels; ``n`` names a column that counts them already."""
+    rows = F.count("*") if n is None else F.sum(n)
+    return df.groupBy(F.col(actual).alias("actual"), F.col(predicted).alias("predicted")).agg(rows.alias("n"))
 
 
 def confusion_matrix(
@@ -23,7 +23,7 @@ def confusion_matrix(
     return cells.join(counts, ["actual", "predicted"], "left").fillna(0, ["n"])
 
 
-def label_counts(df: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
+def label_counts(df: DataFrame, actual: str = "actual", predicted: str = "predicted", n: str | None = None) -> DataFrame:
     """Per label: support, predicted rows and correct rows."""
     sides = F.array(
         F.struct(F.col("actual").alias("label"), F.col("n").alias("support"), F.lit(0).alias("named")),
@@ -31,7 +31,7 @@ def label_counts(df: DataFrame, actual: str = "actual", predicted: str = "predic
     )
     hit = F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)
     return (
-        _counts(df, actual, predicted)
+        _counts(df, actual, predicted, n)
         .select(hit.alias("hits"), F.inline(sides))
         .groupBy("label")
         .agg(
@@ -59,13 +59,13 @@ def _scores(labels: DataFrame) -> DataFrame:
     )
 
 
-def weighted_metrics(df: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
-    """Accuracy and support-weighted precision, recall and F1 in one row."""
+def weighted_metrics(df: DataFrame, actual: str = "actual", predicted: str = "predicted", n: str | None = None) -> DataFrame:
+    """Accuracy and support-weighted precision, recall and F1 in one row; ``n`` counts the rows of a matrix."""
 
     def weighted(column: str) -> Column:
         return F.round(F.sum(F.col(column) * F.col("support")) / F.sum("support"), 6).alias(column)
 
-    return _scores(label_counts(df, actual, predicted)).agg(
+    return _scores(label_counts(df, actual, predicted, n)).agg(
         F.round(F.sum("hits") / F.sum("support"), 6).alias("accuracy"),
         weighted("precision"),
         weighted("recall"),

@@ -73,13 +73,21 @@ def feature_importance(model: PipelineModel, features: list[str], like: DataFram
     )
 
 
+def sort_importance(table: DataFrame, name: str = "feature", value: str = "importance") -> DataFrame:
+    """A table of importances with ranks, the largest first; equal ones go by name, missing ones come last."""
+    order = Window.orderBy(F.desc_nulls_last(value), name)
+    # One row per feature of a model.
+    return table.withColumn("rank", F.row_number().over(order))
+
+
 def train_intent_classifier(
     df: DataFrame, id_column: str, text: str, target: str, hashes: int = 1 << 12, iterations: int = 20
 ) -> tuple[PipelineModel, DataFrame]:
-    """Text to intent: hashed TF-IDF and a logistic regression, scored on the held-out rows.
+    """Text to intent: hashed TF-IDF and a logistic regression; returns the model and all rows scored.
 
-    Texts are hashed once and stored as sparse counts; training reads only those. The
-    returned model starts from the texts again.
+    Texts are hashed once and stored as sparse counts; training and scoring read only those. The
+    scored rows have ``split``, of which 'test' was held out. The returned model starts from the
+    texts again.
     """
     tokens = RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=r"[^\p{L}\p{N}_]+")
     hashing = HashingTF(inputCol="_tokens", outputCol="_counts", numFeatures=hashes)
@@ -99,7 +107,7 @@ def train_intent_classifier(
     ]
     fitted = Pipeline(stages=[indexer, *stages]).fit(counts.where("split = 'train'"))
     model = PipelineModel([indexer, tokens, hashing, *fitted.stages[1:]])
-    return model, fitted.transform(counts.where("split = 'test'"))
+    return model, fitted.transform(counts)
 
 
 def score_labels(scored: DataFrame, model: PipelineModel, id_column: str, target: str) -> DataFrame:

@@ -46,7 +46,8 @@ def _columns_with_nulls(df: DataFrame) -> list[str]:
 def fill_median(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Replace nulls of numeric columns by the exact median."""
     if columns is None:
-        columns = [c for c in numeric_columns(df) if c in _columns_with_nulls(df)]
+        gaps = _columns_with_nulls(df)
+        columns = [c for c in numeric_columns(df) if c in gaps]
     medians = exact_quantiles(df, columns, [0.5]) if columns else {}
     return df.withColumns(
         {c: F.coalesce(number(df, c), F.lit(medians[c][0.5])) for c in columns}
@@ -73,7 +74,8 @@ def modes(df: DataFrame, columns: list[str]) -> DataFrame:
 def fill_mode(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Replace nulls of text columns by the most frequent value."""
     if columns is None:
-        columns = [c for c in text_columns(df) if c in _columns_with_nulls(df)]
+        gaps = _columns_with_nulls(df)
+        columns = [c for c in text_columns(df) if c in gaps]
     if not columns:
         return df
     found = {r["column"]: r["mode"] for r in modes(df, columns).collect()}
@@ -323,7 +325,7 @@ def clean_frame(df: DataFrame) -> DataFrame:
 
 
 def report(df: DataFrame) -> DataFrame:
-    """Profile report as a long table (section, key, value)."""
+    """Profile report as a long table (section, key, value), with the statistics of numeric columns as column.statistic."""
     missing = missing_stats(df).select(
         F.lit("missing_values").alias("section"), F.col("column").alias("key"), F.col("missing").alias("value")
     )
@@ -338,4 +340,21 @@ def report(df: DataFrame) -> DataFrame:
     kinds = column_kinds(df).select(
         F.concat("kind", F.lit("_features")).alias("section"), F.col("column").alias("key"), F.col("present").alias("value")
     )
-    return missing.unionByName(counted).unionByName(kinds)
+    counts = missing.unionByName(counted).unionByName(kinds).withColumn("value", F.col("value").cast("double"))
+    numbers = numeric_columns(df)
+    if not numbers:
+        return counts
+    described = describe_numeric(df, numbers)
+    statistics = described.select(
+        F.lit("numeric_statistics").alias("section"),
+        F.inline(
+            F.array(
+                *[
+                    F.struct(F.concat("column", F.lit(f".{name}")).alias("key"), F.col(name).cast("double").alias("value"))
+                    for name in described.columns
+                    if name != "column"
+                ]
+            )
+        ),
+    )
+    return counts.unionByName(statistics)

@@ -41,11 +41,9 @@ class _Target:
     def holds(self, below: int, inside: int) -> bool:
         return below <= math.floor(self.position) and math.ceil(self.position) < below + inside
 
-    def close_in(self, low: float, high: float, counted) -> None:
+    def close_in(self, counted) -> None:
         """Take the bracket without its end values, or the answer if that touches them."""
-        self.low, self.high, self.below, self.inside = low, high, counted.below, counted.inside
-        if low == high:
-            return
+        low, high = self.low, self.high
         first, last = math.floor(self.position) - self.below, math.ceil(self.position) - self.below
         upper = self.inside - counted.at_high
         if last < counted.at_low:
@@ -73,8 +71,8 @@ def exact_quantiles(
 
     A sketch brackets each quantile and the rows below and inside the bracket are
     counted, again and again until at most ``rank_rows`` rows are inside; their
-    distinct values are then ranked. The values at both ends of a bracket are counted
-    apart and taken off, so frequent ones cannot keep it wide. A bracket that misses the position is thrown
+    distinct values are then ranked. Where a narrower bracket still holds more, the values at its
+    ends are counted apart and taken off, so frequent ones cannot keep it wide. A bracket that misses the position is thrown
     away and drawn wider, so results are exact. All quantiles share every pass, and
     only a few numbers per column reach the driver.
     """
@@ -84,7 +82,7 @@ def exact_quantiles(
         wide = [t for t in targets if t.inside > rank_rows and t.low < t.high and t.answer is None]
         if not wide:
             break
-        _narrow(values, wide, accuracy)
+        _narrow(values, wide, accuracy, rank_rows)
     result: dict[str, dict[float, float | None]] = {
         c: {p: None for p in probabilities} for c in columns
     }
@@ -109,7 +107,7 @@ def _whole_range(values, columns, probabilities, accuracy) -> list[_Target]:
     ]
 
 
-def _narrow(values: DataFrame, targets: list[_Target], accuracy: int) -> None:
+def _narrow(values: DataFrame, targets: list[_Target], accuracy: int, rank_rows: int) -> None:
     """Draw a narrower bracket for every target and keep it if it holds the position."""
     wanted = [(t.position - t.below) / (t.inside - 1) for t in targets]
     # Targets that still share a range share one sketch.
@@ -139,20 +137,38 @@ def _narrow(values: DataFrame, targets: list[_Target], accuracy: int) -> None:
             F.struct(
                 F.count_if(F.col(t.column) < low).alias("below"),
                 F.count_if(F.col(t.column).between(low, high)).alias("inside"),
-                F.count_if(F.col(t.column) == low).alias("at_low"),
-                F.count_if(F.col(t.column) == high).alias("at_high"),
-                F.min(F.when((F.col(t.column) > low) & (F.col(t.column) <= high), F.col(t.column))).alias("after_low"),
-                F.max(F.when((F.col(t.column) < high) & (F.col(t.column) >= low), F.col(t.column))).alias("before_high"),
             ).alias(f"_{k}")
             for k, (t, (low, high)) in enumerate(zip(targets, brackets))
         ]
     ).first()
+    crowded = []
     for target, (low, high), counted in zip(targets, brackets, counts):
         if not target.holds(counted.below, counted.inside):
             target.margin *= 10.0
             continue
-        target.close_in(low, high, counted)
+        target.low, target.high, target.below, target.inside = low, high, counted.below, counted.inside
         target.margin = 2.0 / accuracy
+        if counted.inside > rank_rows and low < high:
+            crowded.append(target)
+    if crowded:
+        _without_ends(values, crowded)
+
+
+def _without_ends(values: DataFrame, targets: list[_Target]) -> None:
+    """Take the values at the ends off the brackets that hold too many rows."""
+    ends = values.agg(
+        *[
+            F.struct(
+                F.count_if(F.col(t.column) == t.low).alias("at_low"),
+                F.count_if(F.col(t.column) == t.high).alias("at_high"),
+                F.min(F.when((F.col(t.column) > t.low) & (F.col(t.column) <= t.high), F.col(t.column))).alias("after_low"),
+                F.max(F.when((F.col(t.column) < t.high) & (F.col(t.column) >= t.low), F.col(t.column))).alias("before_high"),
+            ).alias(f"_{k}")
+            for k, t in enumerate(targets)
+        ]
+    ).first()
+    for target, counted in zip(targets, ends):
+        target.close_in(counted)
 
 
 def _ranked(values: DataFrame, targets: list[_Target]) -> list[tuple[float, float]]:

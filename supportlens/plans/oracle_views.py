@@ -31,8 +31,12 @@ VIEWS = {
                CASE WHEN n_chars % 5 = 0 THEN 'en' ELSE lang END AS predicted FROM documents""",
     "run_history": """
         SELECT event_type AS run_id, CAST(EXTRACT(DAY FROM ts) AS INT) AS epoch,
-               ROUND(AVG(value), 6) AS validation_loss
+               ROUND(AVG(value), 6) AS validation_loss, ROUND(AVG(value) / 2, 6) AS training_loss,
+               ROUND(AVG(CASE WHEN event_id % 3 = 0 THEN 1.0 ELSE 0.0 END) * 100, 6) AS validation_accuracy,
+               ROUND(AVG(CASE WHEN event_id % 4 > 0 THEN 1.0 ELSE 0.0 END) * 100, 6) AS training_accuracy
         FROM events GROUP BY 1, 2""",
+    "category_predictions": """
+        SELECT source AS actual, CASE WHEN n_chars % 7 = 0 THEN 'src0' ELSE source END AS predicted FROM documents""",
     "model_outputs": f"""
         SELECT o_orderkey AS out_id, {RAW_LABEL_SQL} AS raw, {RAW_SENTIMENT_SQL} AS raw_sentiment
         FROM orders""",

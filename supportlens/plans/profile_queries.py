@@ -49,14 +49,14 @@ def duplicate_count(spark, sf_dir):
     return P.duplicate_count(views.measures(spark, sf_dir))
 
 
-@query(
-    each(
-        """SELECT '{c}' AS "column", count({c}) AS count, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std,
-                  min({c}) AS min, round(quantile_cont({c}, 0.25), 6) AS q25, round(quantile_cont({c}, 0.5), 6) AS q50,
-                  round(quantile_cont({c}, 0.75), 6) AS q75, max({c}) AS max FROM measures"""
-    ),
-    "measures",
+DESCRIBED_SQL = each(
+    """SELECT '{c}' AS "column", count({c}) AS count, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std,
+              min({c}) AS min, round(quantile_cont({c}, 0.25), 6) AS q25, round(quantile_cont({c}, 0.5), 6) AS q50,
+              round(quantile_cont({c}, 0.75), 6) AS q75, max({c}) AS max FROM measures"""
 )
+
+
+@query(DESCRIBED_SQL, "measures")
 def describe_numeric(spark, sf_dir):
     return P.describe_numeric(views.measures(spark, sf_dir), NUMBERS)
 

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from supportlens import constants as C
+from supportlens import constants as C, schemas
 from supportlens.functions import text as X
 from supportlens.operators import conversations as V, evaluate as E, models as M
 from supportlens.operators import retrieval as R, terms as T, vector_index as I
 from supportlens.plans import oracle_text as O, views
 from supportlens.plans.registry import query
-from supportlens.session import materialize
+from supportlens.operators.model_store import LabelDictionary, ModelStore
+from supportlens.session import materialize, work_folder
+from supportlens.streaming import streams as S
 
 # --- chunks -----------------------------------------------------------------------------------
 
@@ -348,7 +350,19 @@ def feature_importance(spark, sf_dir):
     return M.feature_importance(model, FEATURES, rows)
 
 
-sort_importance = query(name="sort_importance")(feature_importance)
+@query(
+    """SELECT feature, round(importance, 6) AS importance, CAST(row_number() OVER (ORDER BY importance DESC, feature) AS INT) AS rank
+       FROM (SELECT p_type AS feature, sum(CAST(round(p_retailprice * 100) AS BIGINT)) / (SELECT sum(CAST(round(p_retailprice * 100) AS BIGINT)) FROM part) AS importance
+             FROM part GROUP BY p_type)"""
+)
+def sort_importance(spark, sf_dir):
+    """The kinds of products by their share of all prices."""
+    cents = F.round(F.col("p_retailprice") * 100).cast("bigint")
+    part = views.table(spark, sf_dir, "part")
+    total = part.agg(F.sum(cents)).scalar()
+    shares = part.groupBy(F.col("p_type").alias("feature")).agg(F.sum(cents).alias("cents"))
+    table = shares.select("feature", (F.col("cents") / total).alias("importance"))
+    return M.sort_importance(table).withColumn("importance", F.round("importance", 6))
 
 
 def _intent_model(spark, sf_dir):
@@ -360,12 +374,109 @@ def _intent_model(spark, sf_dir):
 def intent_classifier(spark, sf_dir):
     """Scores of the held-out rows, as accuracy and weighted means."""
     _, model, scored = _intent_model(spark, sf_dir)
-    return E.weighted_metrics(M.score_labels(scored, model, "doc_id", "lang"))
+    return E.weighted_metrics(M.score_labels(scored.where("split = 'test'"), model, "doc_id", "lang"))
 
 
 @query()
 def score_intents(spark, sf_dir):
     """Every document with its most probable label; held-out rows alone give the metrics above."""
-    documents, model, _ = _intent_model(spark, sf_dir)
-    scored = M.score_labels(model.transform(documents), model, "doc_id", "lang")
-    return scored.select("doc_id", "actual", "predicted", "confidence")
+    _, model, scored = _intent_model(spark, sf_dir)
+    return M.score_labels(scored, model, "doc_id", "lang").select("doc_id", "actual", "predicted", "confidence")
+
+
+def _stored_model(spark, sf_dir):
+    """The intent model, trained here, stored, and loaded by a session that knows nothing of it."""
+    documents, model, scored = _intent_model(spark, sf_dir)
+    store = ModelStore(spark, work_folder(spark, "models"))
+    found = E.weighted_metrics(M.score_labels(scored.where("split = 'test'"), model, "doc_id", "lang")).first()
+    version = store.save(model, {"accuracy": found.accuracy})
+    return documents, M.score_labels(scored, model, "doc_id", "lang"), ModelStore(spark.newSession(), store.folder.path).load(version)
+
+
+@query("SELECT doc_id, true AS same_label, true AS same_confidence, lang AS actual, true AS known, 1 AS model_version FROM documents")
+def stored_model_scores(spark, sf_dir):
+    """Every document scored by the stored model, against the one that was stored."""
+    documents, before, scorer = _stored_model(spark, sf_dir)
+    after = scorer.score(documents, "label").withColumnRenamed("confidence", "sure")
+    known = F.col("label").isin(scorer.labels) & (F.col("sure") > 0) & (F.col("sure") <= 1)
+    return after.join(before, "doc_id").select(
+        "doc_id",
+        (F.col("label") == F.col("predicted")).alias("same_label"),
+        (F.abs(F.col("sure") - F.col("confidence")) < 1e-9).alias("same_confidence"),
+        "actual",
+        known.alias("known"),
+        "model_version",
+    )
+
+
+@query("SELECT conv_id, turn, true AS known, 1 AS model_version FROM conversations WHERE role = 'user'")
+def stream_stored_model(spark, sf_dir):
+    """User turns of a stream scored with the stored version, each once, with a label that it knows."""
+    *_, scorer = _stored_model(spark, sf_dir)
+    turns = spark.readStream.schema(schemas.CONVERSATION_TURN).parquet(f"{sf_dir}/conversation[s].parquet").where("role = 'user'")
+    scored = S.run_append(scorer.score(turns).select("conv_id", "turn", "predicted", "confidence", "model_version"), "model-scores")
+    known = F.col("predicted").isin(scorer.labels) & (F.col("confidence") > 0) & (F.col("confidence") <= 1)
+    return scored.select("conv_id", "turn", known.alias("known"), "model_version")
+
+
+@query(
+    """WITH labels AS (SELECT source || '/' || lang AS label, min(CASE WHEN lang = 'en' THEN 1 ELSE 2 END) AS since FROM documents
+                       WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY 1)
+       SELECT label, row_number() OVER (ORDER BY since, label) - 1 AS class_id, CAST(since AS BIGINT) AS since FROM labels"""
+)
+def label_dictionary(spark, sf_dir):
+    """Labels of English documents first, then of all, then of all once more."""
+    documents = views.table(spark, sf_dir, "documents").withColumn("label", F.concat("source", F.lit("/"), "lang"))
+    dictionary = LabelDictionary(spark, work_folder(spark, "labels"))
+    for batch in (documents.where("lang = 'en'"), documents, documents):
+        dictionary.add(batch, "label")
+    return dictionary.read()
+
+
+# --- what results of fitted models have in common --------------------------------------------------
+
+
+@query("SELECT doc_id, lang AS actual, true AS known, true AS sure FROM documents")
+def score_intents_checked(spark, sf_dir):
+    """Every document once, with its label, a predicted one that occurs, and a probability."""
+    rows = score_intents(spark, sf_dir)
+    known = F.col("predicted").isin([r[0] for r in rows.select("actual").distinct().collect()])
+    return rows.select("doc_id", "actual", known.alias("known"), F.col("confidence").between(0.2, 1.0).alias("sure"))
+
+
+@query("SELECT 3 AS n_features, 1.0 AS total, 0 AS negative")
+def feature_importance_checked(spark, sf_dir):
+    """Importances of all features, none negative, add up to one."""
+    return feature_importance(spark, sf_dir).agg(
+        F.count("*").cast("int").alias("n_features"),
+        F.round(F.sum("importance"), 6).alias("total"),
+        F.count_if(F.col("importance") < 0).cast("int").alias("negative"),
+    )
+
+
+@query("SELECT doc_id, true AS in_range FROM documents")
+def cluster_texts_checked(spark, sf_dir):
+    """Every document in one cluster."""
+    clustered = cluster_texts(spark, sf_dir)
+    return clustered.select("doc_id", F.col("cluster").between(0, len(C.CATEGORIES) - 1).alias("in_range"))
+
+
+@query("SELECT doc_id, 50 AS n_components, true AS finite FROM documents")
+def pca_features_checked(spark, sf_dir):
+    """Every document with all its components."""
+    finite = ~F.isnan("value") & (F.abs("value") < 1e6)
+    return pca_features(spark, sf_dir).groupBy("doc_id").agg(
+        F.count_distinct("component").cast("int").alias("n_components"), F.every(finite).alias("finite")
+    )
+
+
+@query(r"SELECT doc_id, true AS in_order, true AS inside, true AS small FROM documents WHERE regexp_matches(text, '\S')")
+def chunk_at_separators_checked(spark, sf_dir):
+    """Chunks are numbered from 0, are parts of the text, and no longer than the size."""
+    texts = views.texts(spark, sf_dir).select("doc_id", "text")
+    chunks = R.chunk_at_separators(texts, "doc_id", "text").join(texts, "doc_id")
+    return chunks.groupBy("doc_id").agg(
+        (F.count_distinct("chunk_no") == F.max("chunk_no") + 1).alias("in_order"),
+        F.every(F.contains("text", "chunk")).alias("inside"),
+        (F.max(F.char_length("chunk")) <= C.CHUNK_SIZE).alias("small"),
+    )

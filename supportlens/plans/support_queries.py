@@ -11,6 +11,8 @@ from supportlens.operators import lookups as J, models, ordered as D
 from supportlens.plans import oracle_text as O, views
 from supportlens.plans.registry import query
 from supportlens.plans.text_queries import _documents
+from supportlens.session import work_folder
+from supportlens.sources import run_files as RF
 
 LATEST_RATING_SQL = """
     SELECT session_id, rating FROM feedback WHERE rating BETWEEN 1 AND 5
@@ -364,14 +366,15 @@ def confusion_heatmap(spark, sf_dir):
     )
 
 
-@query(
-    f"""SELECT round(sum(hits) / sum(support), 6) AS accuracy,
-               round(sum(precision * support) / sum(support), 6) AS precision,
-               round(sum(recall * support) / sum(support), 6) AS recall,
-               round(sum(f1 * support) / sum(support), 6) AS f1
-        FROM ({SCORES_SQL})""",
-    "predictions",
-)
+WEIGHTED_SQL = f"""
+    SELECT round(sum(hits) / sum(support), 6) AS accuracy,
+           round(sum(precision * support) / sum(support), 6) AS precision,
+           round(sum(recall * support) / sum(support), 6) AS recall,
+           round(sum(f1 * support) / sum(support), 6) AS f1
+    FROM ({SCORES_SQL})"""
+
+
+@query(WEIGHTED_SQL, "predictions")
 def weighted_metrics(spark, sf_dir):
     return E.weighted_metrics(views.predictions(spark, sf_dir))
 
@@ -402,14 +405,54 @@ def eval_language_rule(spark, sf_dir):
     return E.confusion_matrix(rows)
 
 
+RUN_SUMMARY_SQL = """
+    SELECT run_id, max(epoch) AS epochs, arg_max(validation_loss, epoch) AS final_loss,
+           arg_max(training_loss, epoch) AS final_training_loss, arg_max(validation_accuracy, epoch) AS final_accuracy,
+           arg_max(training_accuracy, epoch) AS final_training_accuracy, min(validation_loss) AS best_loss,
+           min(training_loss) AS best_training_loss, max(validation_accuracy) AS best_accuracy,
+           max(training_accuracy) AS best_training_accuracy, first(epoch ORDER BY validation_loss, epoch) AS best_epoch
+    FROM run_history GROUP BY run_id"""
+
+
+@query(RUN_SUMMARY_SQL, "run_history")
+def run_history_summary(spark, sf_dir):
+    return A.run_history_summary(views.run_history(spark, sf_dir))
+
+
+def _run_files(spark, sf_dir):
+    """The histories as result files, one object for each run."""
+    history = views.run_history(spark, sf_dir)
+    # An epoch per day of a month, so a list is short.
+    days = F.array_sort(F.collect_list(F.struct("epoch", *RF.MEASURES)))
+    lists = [F.col("days").getField(name).alias(f"{name}_history") for name in RF.MEASURES]
+    nested = history.groupBy("run_id").agg(days.alias("days")).select("run_id", *lists)
+    path = work_folder(spark, "runs")
+    nested.select(F.to_json(F.struct("*"), {"pretty": "true"})).write.option("maxRecordsPerFile", 1).text(path)
+    return RF.read_runs(spark, path)
+
+
 @query(
-    """SELECT run_id, max(epoch) AS epochs, arg_max(validation_loss, epoch) AS final_loss,
-              min(validation_loss) AS best_loss, first(epoch ORDER BY validation_loss, epoch) AS best_epoch
-       FROM run_history GROUP BY run_id""",
+    """SELECT run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY epoch) AS INT) AS epoch,
+              training_loss, validation_loss, training_accuracy, validation_accuracy FROM run_history""",
     "run_history",
 )
-def run_history_summary(spark, sf_dir):
-    return A.run_history_summary(views.run_history(spark, sf_dir))
+def read_run_files(spark, sf_dir):
+    """Lists of nested files as a row per epoch."""
+    return RF.histories(_run_files(spark, sf_dir))
+
+
+@query(WEIGHTED_SQL, "predictions")
+def read_run_matrix(spark, sf_dir):
+    """Metrics from the matrix of a nested file."""
+    cells = E.confusion_matrix(views.predictions(spark, sf_dir))
+    # The matrix has a cell per pair of languages.
+    rows = cells.groupBy("actual").agg(F.array_sort(F.collect_list(F.struct("predicted", "n"))).alias("cells"))
+    matrix = F.array_sort(F.collect_list(F.struct("actual", F.transform("cells", lambda c: c.n).alias("counts"))))
+    names = F.transform("matrix", lambda row: row.actual).alias("class_names")
+    counts = F.struct(F.transform("matrix", lambda row: row.counts).alias("confusion_matrix")).alias("performance_metrics")
+    path = work_folder(spark, "matrix")
+    rows.agg(matrix.alias("matrix")).select(names, counts).write.json(path)
+    return E.weighted_metrics(RF.confusions(RF.read_runs(spark, path)), n="n")
 
 
 @query(
@@ -435,12 +478,13 @@ def top3_predictions(spark, sf_dir):
     """SELECT count(*) AS size, count(DISTINCT category) AS categories, count(DISTINCT intent) AS intents,
               round(avg(length(instruction)), 6) AS avg_instruction_length,
               round(avg(length(response)), 6) AS avg_response_length,
-              (SELECT round(count(*) FILTER (actual = predicted) / count(*), 6) FROM predictions) AS accuracy
+              (SELECT round(count(*) FILTER (actual = predicted) / count(*), 6) FROM category_predictions) AS category_accuracy,
+              (SELECT round(count(*) FILTER (actual = predicted) / count(*), 6) FROM predictions) AS intent_accuracy
        FROM records""",
-    "records predictions",
+    "records predictions category_predictions",
 )
 def summary_report(spark, sf_dir):
-    accuracy = E.weighted_metrics(views.predictions(spark, sf_dir)).select("accuracy").scalar()
+    accuracy = lambda rows: E.weighted_metrics(rows).select("accuracy").scalar()
     return (
         views.records(spark, sf_dir)
         .agg(
@@ -450,5 +494,6 @@ def summary_report(spark, sf_dir):
             F.round(F.avg(F.length("instruction")), 6).alias("avg_instruction_length"),
             F.round(F.avg(F.length("response")), 6).alias("avg_response_length"),
         )
-        .withColumn("accuracy", accuracy)
+        .withColumn("category_accuracy", accuracy(views.category_predictions(spark, sf_dir)))
+        .withColumn("intent_accuracy", accuracy(views.predictions(spark, sf_dir)))
     )

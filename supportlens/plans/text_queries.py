@@ -9,6 +9,7 @@ from supportlens.functions import text as X
 from supportlens.operators import aggregates as A, conversations as V, filters as L, lookups as J
 from supportlens.operators import profile as P
 from supportlens.plans import oracle_text as O, views
+from supportlens.plans.profile_queries import DESCRIBED_SQL
 from supportlens.plans.registry import query
 from supportlens.session import work_folder
 from supportlens.sinks import writers as W
@@ -122,6 +123,7 @@ def read_feedback_dir(spark, sf_dir):
 
 @query(
     """
+    SELECT section, key, CAST(value AS DOUBLE) AS value FROM (
     SELECT 'missing_values' AS section, c AS key, CAST(n AS BIGINT) AS value FROM (
         SELECT unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax', 'l_returnflag',
                        'l_linestatus', 'return_status']) AS c,
@@ -139,13 +141,19 @@ def read_feedback_dir(spark, sf_dir):
     UNION ALL SELECT 'categorical_features', c, n FROM (
         SELECT unnest(['l_returnflag', 'l_linestatus', 'return_status']) AS c,
                unnest([count(l_returnflag), count(l_linestatus), count(return_status)]) AS n
-        FROM measures)""",
+        FROM measures))
+    UNION ALL SELECT 'numeric_statistics', "column" || '.' || statistic, value FROM (
+        SELECT "column", unnest(['count', 'mean', 'std', 'min', 'q25', 'q50', 'q75', 'max']) AS statistic,
+               unnest([CAST(count AS DOUBLE), mean, std, "min", q25, q50, q75, "max"]) AS value FROM (
+        """
+    + DESCRIBED_SQL
+    + "))",
     "measures",
 )
 def write_report(spark, sf_dir):
     report = P.report(views.measures(spark, sf_dir))
     path = W.write_report(report, work_folder(spark, "report"))
-    return spark.read.schema("section STRING, key STRING, value BIGINT").json(path)
+    return spark.read.schema("section STRING, key STRING, value DOUBLE").json(path)
 
 
 @query(

@@ -109,12 +109,24 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def category_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document source against a guess that is wrong for some lengths."""
+    return table(spark, sf_dir, "documents").select(
+        F.col("source").alias("actual"), F.when(F.col("n_chars") % 7 == 0, "src0").otherwise(F.col("source")).alias("predicted")
+    )
+
+
 def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One run per event type with a loss per day."""
+    """One run per event type with losses and accuracies per day."""
     return (
         table(spark, sf_dir, "events")
         .groupBy(F.col("event_type").alias("run_id"), F.dayofmonth("ts").alias("epoch"))
-        .agg(F.round(F.avg("value"), 6).alias("validation_loss"))
+        .agg(
+            F.round(F.avg("value"), 6).alias("validation_loss"),
+            F.round(F.avg("value") / 2, 6).alias("training_loss"),
+            F.round(F.avg((F.col("event_id") % 3 == 0).cast("double")) * 100, 6).alias("validation_accuracy"),
+            F.round(F.avg((F.col("event_id") % 4 > 0).cast("double")) * 100, 6).alias("training_accuracy"),
+        )
     )
 
 
