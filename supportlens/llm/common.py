@@ -29,5 +29,6 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
 
 def packed(docs: DataFrame, *columns: Column | str) -> DataFrame:
     """All columns of ``docs`` as the struct ``row``, then ``columns``: no name can clash."""
-    row = F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row")
+    quoted = [name.replace("`", "``") for name in docs.columns]
+    row = F.struct(*[F.col(f"`{name}`") for name in quoted]).alias("row")
     return docs.select(row, *columns)

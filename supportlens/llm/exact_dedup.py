@@ -87,8 +87,13 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) ->
 
 
 def keep_one_copy(docs: DataFrame) -> DataFrame:
-    """``docs`` without the copies: one row per text, all columns as they were."""
+    """``docs`` without the copies: one row per text, all columns as they were.
+
+    Where rows of the doc_id that stays have texts that differ in case, the text whose MD5 is smallest
+    stays; of rows that agree in doc_id and text, any.
+    """
     named = F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))
     kept = exact_dedup(docs).where("kept").select(F.concat_ws(":", named, "text_sha256").alias("key"))
     key = F.concat_ws(":", named, F.sha2(lower_ascii(text_of()), 256)).alias("key")
-    return packed(docs, key).join(kept, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
+    rows = packed(docs, key, F.md5(text_of()).alias("exact")).join(kept, "key", "left_semi")
+    return rows.groupBy("key").agg(F.min_by("row", "exact").alias("row")).select("row.*")

@@ -75,7 +75,9 @@ def source_targets(sources: DataFrame, weights=SOURCE_WEIGHTS, share: float = SH
     )
 
 
-def mix(docs: DataFrame, quality: Column | None = None, seed: int = 20, weights=SOURCE_WEIGHTS, share=SHARE) -> DataFrame:
+def mix(
+    docs: DataFrame, quality: Column | None = None, seed: int = 20, weights=SOURCE_WEIGHTS, share=SHARE, row_key: Column | None = None
+) -> DataFrame:
     """How many words of each row of ``docs`` (doc_id, source, text) the mix takes.
 
     Returns doc_id, source, size, source_size, target, epochs (whole passes), chosen (one
@@ -83,7 +85,7 @@ def mix(docs: DataFrame, quality: Column | None = None, seed: int = 20, weights=
     source, last in order. ``quality`` weighs documents (default: ``quality_weight``); a
     null or non-positive weight counts as the smallest. Equal keys fall back on doc_id and
     size; rows that repeat a doc_id are sampled as rows. The last document is chosen if
-    that comes nearer the target. An empty table gives an empty result.
+    that comes nearer the target. ``row_key`` is carried along. An empty table gives an empty result.
     """
     key = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source")))
     size = F.regexp_count(text_of(), F.lit(WORD)).cast("long")
@@ -91,7 +93,7 @@ def mix(docs: DataFrame, quality: Column | None = None, seed: int = 20, weights=
     stats = materialize(
         docs.select(
             "doc_id", "source", key.alias("source_key"), size.alias("size"),
-            (-F.log(uniform(seed)) / weight).alias("rank_key"),
+            (-F.log(uniform(seed)) / weight).alias("rank_key"), *([] if row_key is None else [row_key.alias("row_key")]),
         ),
         "mix-sizes",
     )
@@ -115,7 +117,7 @@ def mix(docs: DataFrame, quality: Column | None = None, seed: int = 20, weights=
         .withColumn("chosen", (F.col("size") > 0) & (2 * before + F.col("size") <= 2 * budget))
         .select(
             "doc_id", "source", "size", "source_size", "target", "epochs", "chosen",
-            (F.col("size") * (F.col("epochs") + F.col("chosen").cast("long"))).alias("taken"),
+            (F.col("size") * (F.col("epochs") + F.col("chosen").cast("long"))).alias("taken"), *([] if row_key is None else ["row_key"]),
         )
     )
 
@@ -123,14 +125,15 @@ def mix(docs: DataFrame, quality: Column | None = None, seed: int = 20, weights=
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
     """``docs`` as the mix takes them: a row once per pass, all columns as they were.
 
-    Rows are found by doc_id; rows that share a doc_id and source share their passes.
+    Rows are found by doc_id, source and text; rows that agree in all of them share their passes.
     """
-    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("doc_id", "source")])
+    named = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("doc_id", "source")]
+    key = F.concat_ws(":", *named, F.md5(text_of()))
     passes = (
-        mix(docs, **how)
-        .groupBy(key.alias("key"))
+        mix(docs, row_key=key, **how)
+        .groupBy("row_key")
         .agg(F.max(F.col("epochs") + F.col("chosen").cast("long")).cast("int").alias("passes"))
         .where("passes > 0")
     )
     repeated = F.explode(F.sequence(F.lit(1), F.col("passes"))).alias("pass")
-    return packed(docs, key.alias("key")).join(passes, "key").select("row", repeated).select("row.*")
+    return packed(docs, key.alias("row_key")).join(passes, "row_key").select("row", repeated).select("row.*")
