@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from supportlens import constants as C
 from supportlens.functions import text as X
+from supportlens.session import materialize
 
 
 def as_rows(one_row: DataFrame, rows: list[Column]) -> DataFrame:
@@ -72,6 +73,54 @@ def word_frequencies(df: DataFrame, cleaned: str, n: int = 100) -> DataFrame:
     return top_n(counts, "word", n)
 
 
+#: Log-likelihood ratio from which two neighbours count as one term; the usual threshold of word clouds.
+PAIR_SCORE = 30.0
+
+
+def _pair_counts(df: DataFrame, cleaned: str) -> tuple[DataFrame, DataFrame]:
+    """Counts of words, and of neighbouring words with the log-likelihood ratio of the two.
+
+    The ratio compares how often they stand together with what their own counts let expect, over the
+    four cells of their contingency table.
+    """
+    words = df.select(F.filter(F.split(cleaned, " "), lambda w: w != "").alias("words"))
+    single = materialize(words.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")), "words")
+    neighbours = F.zip_with(
+        F.slice("words", F.lit(1), F.greatest(F.size("words") - 1, F.lit(0))),
+        F.slice("words", F.lit(2), F.greatest(F.size("words") - 1, F.lit(0))),
+        lambda a, b: F.struct(a.alias("a"), b.alias("b")),
+    )
+    pairs = words.where(F.size("words") > 1).select(F.inline(neighbours)).groupBy("a", "b").agg(F.count("*").alias("n"))
+    first = single.select(F.col("word").alias("a"), F.col("n").cast("double").alias("na"))
+    second = single.select(F.col("word").alias("b"), F.col("n").cast("double").alias("nb"))
+    total = single.agg(F.sum("n").cast("double")).scalar()
+    cells = pairs.join(first, "a").join(second, "b").withColumns({"k": F.col("n").cast("double"), "t": total})
+    k, na, nb, t = (F.col(name) for name in ("k", "na", "nb", "t"))
+
+    def part(cell, row, column):
+        return F.when(cell > 0, cell * F.log(cell * t / (row * column))).otherwise(0.0)
+
+    score = 2 * (part(k, na, nb) + part(na - k, na, t - nb) + part(nb - k, t - na, nb) + part(t - na - nb + k, t - na, t - nb))
+    return single, cells.select("a", "b", "n", score.alias("score"))
+
+
+def word_pairs(df: DataFrame, cleaned: str, n: int = 100, least: float = PAIR_SCORE) -> DataFrame:
+    """The ``n`` neighbouring words with the highest log-likelihood ratio above ``least``."""
+    _, pairs = _pair_counts(df, cleaned)
+    return pairs.where(F.col("score") > least).orderBy(F.desc("score"), "a", "b").limit(n)
+
+
+def term_frequencies(df: DataFrame, cleaned: str, n: int = 100, least: float = PAIR_SCORE) -> DataFrame:
+    """The ``n`` most frequent terms: pairs above ``least``, and words without what they occur in such pairs."""
+    single, pairs = _pair_counts(df, cleaned)
+    chosen = materialize(pairs.where(F.col("score") > least), "pairs")
+    parts = F.explode(F.array("a", "b")).alias("word")
+    used = chosen.select(parts, "n").groupBy("word").agg(F.sum("n").alias("used"))
+    rest = single.join(used, "word", "left").select(F.col("word").alias("term"), (F.col("n") - F.coalesce("used", F.lit(0))).alias("n"))
+    terms = chosen.select(F.concat_ws(" ", "a", "b").alias("term"), "n").unionByName(rest).where(F.col("n") > 0)
+    return top_n(terms, "term", n)
+
+
 def language_distribution(df: DataFrame, text: str) -> DataFrame:
     return df.groupBy(X.detect_language(text).alias("language")).agg(F.count("*").alias("n"))
 

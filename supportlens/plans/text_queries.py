@@ -13,7 +13,7 @@ from supportlens.plans.profile_queries import DESCRIBED_SQL
 from supportlens.plans.registry import query
 from supportlens.session import work_folder
 from supportlens.sinks import writers as W
-from supportlens.sources import messages as M, readers as R
+from supportlens.sources import json_ranges as JR, messages as M, readers as R
 
 PAIR_TEXT = "id || '|' || question || '|' || coalesce(answer, '') || '|' || source || '|' || category || '|'"
 
@@ -54,6 +54,8 @@ def read_latest_file(spark, sf_dir):
     return R.read_latest_csv(spark, folder)
 
 
+#: Small ranges, so that the small tables are read in several, too.
+JSON_RANGE_BYTES = 1 << 20
 RECORDS_SQL = "SELECT instruction, response, category, intent, flags FROM records"
 
 
@@ -93,6 +95,29 @@ def write_grouped_json(spark, sf_dir):
     return _grouped_copy(spark, sf_dir)
 
 
+@query(RECORDS_SQL, "records")
+def read_json_array(spark, sf_dir):
+    """Files of one array each, read in byte ranges."""
+    rows = views.records(spark, sf_dir).select(*S.INSTRUCTION.fieldNames())
+    path = W.write_json_arrays(rows, work_folder(spark, "arrays"))
+    return JR.read_json_array(spark, path, S.INSTRUCTION, JSON_RANGE_BYTES)
+
+
+@query(GROUPED_SQL, "qa")
+def read_json_object(spark, sf_dir):
+    """Files of one object each, group -> pairs, read in byte ranges."""
+    grouped = V.group_pairs(views.qa(spark, sf_dir), "qa_id")
+    path = W.write_json_objects(grouped, work_folder(spark, "objects"), "category", "pairs")
+    rows = JR.read_json_groups(spark, path, S.GROUPED_QA.valueType.elementType, JSON_RANGE_BYTES)
+    return rows.select(
+        F.col("group").alias("category"),
+        "item.question",
+        "item.answer",
+        "item.metadata.source",
+        F.array_join(F.coalesce("item.metadata.entities", F.array().cast("array<string>")), ",").alias("entities"),
+    )
+
+
 @query("SELECT intent, instruction FROM records", "records")
 def read_grouped_instructions(spark, sf_dir):
     grouped = V.group_examples(views.records(spark, sf_dir), "rec_id")
@@ -523,6 +548,39 @@ def word_frequencies(spark, sf_dir):
     return A.word_frequencies(views.cleaned_documents(spark, sf_dir), "cleaned")
 
 
+_CELLS = (("k", "na", "nb"), ("(na - k)", "na", "(t - nb)"), ("(nb - k)", "(t - na)", "nb"), ("(t - na - nb + k)", "(t - na)", "(t - nb)"))
+_RATIO_SQL = " + ".join(f"CASE WHEN {cell} > 0 THEN {cell} * ln({cell} * t / ({row} * {column})) ELSE 0 END" for cell, row, column in _CELLS)
+PAIRS_SQL = f"""
+    WITH cleaned_words AS (
+        SELECT list_filter(string_split(cleaned, ' '), lambda w: w <> '') AS ws FROM ({O.clean_table('documents', 'doc_id', 'text')})),
+    single AS (SELECT w, count(*) AS n FROM (SELECT unnest(ws) AS w FROM cleaned_words) GROUP BY w),
+    total AS (SELECT CAST(sum(n) AS DOUBLE) AS t FROM single),
+    paired AS (SELECT ws[i] AS a, ws[i + 1] AS b, count(*) AS n
+               FROM (SELECT ws, unnest(range(1, len(ws))) AS i FROM cleaned_words) GROUP BY ALL),
+    cells AS (SELECT a, b, p.n AS n, CAST(p.n AS DOUBLE) AS k, CAST(x.n AS DOUBLE) AS na, CAST(y.n AS DOUBLE) AS nb, t
+              FROM paired p JOIN single x ON x.w = a JOIN single y ON y.w = b, total),
+    scored AS (SELECT a, b, n, 2 * ({_RATIO_SQL}) AS score FROM cells),
+    chosen AS (SELECT a, b, n, score FROM scored WHERE score > 30)
+    """
+
+
+@query(PAIRS_SQL + "SELECT a, b, n, round(score, 3) AS score FROM chosen ORDER BY score DESC, a, b LIMIT 100")
+def word_pairs(spark, sf_dir):
+    return A.word_pairs(views.cleaned_documents(spark, sf_dir), "cleaned").withColumn("score", F.round("score", 3))
+
+
+@query(
+    PAIRS_SQL
+    + """, used AS (SELECT w, sum(n) AS n FROM (SELECT a AS w, n FROM chosen UNION ALL SELECT b, n FROM chosen) GROUP BY w)
+    SELECT term, n FROM (
+        SELECT a || ' ' || b AS term, n FROM chosen
+        UNION ALL SELECT s.w, CAST(s.n - coalesce(u.n, 0) AS BIGINT) FROM single s LEFT JOIN used u ON u.w = s.w)
+    WHERE n > 0 ORDER BY n DESC, term LIMIT 100"""
+)
+def term_frequencies(spark, sf_dir):
+    return A.term_frequencies(views.cleaned_documents(spark, sf_dir), "cleaned")
+
+
 @query(f"SELECT {O.language('text')} AS language, count(*) AS n FROM documents GROUP BY 1")
 def language_distribution(spark, sf_dir):
     return A.language_distribution(views.table(spark, sf_dir, "documents"), "text")

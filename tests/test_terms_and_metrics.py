@@ -116,3 +116,33 @@ def test_forest_importance_sums_to_one(spark):
     assert importance[0].feature == "b"
     assert sum(r.importance for r in importance) == pytest.approx(1.0)
     assert scored.count() == frame.count() - model.transform(frame).join(scored, "id", "left_anti").count()
+
+
+def test_neighbours_that_belong_together_are_one_term(spark):
+    import math
+    from collections import Counter
+
+    from supportlens.operators import aggregates as A
+
+    texts = ["new york is big"] * 12 + ["a b c d e f g h"] * 3 + ["york", "", "new day is new"] + [f"x{i} y{i}" for i in range(40)]
+    frame = spark.createDataFrame([(t,) for t in [*texts, None]], "t STRING")
+    words = [t.split() for t in texts]
+    single = Counter(w for ws in words for w in ws)
+    pairs = Counter(p for ws in words for p in zip(ws, ws[1:], strict=False))
+    t = sum(single.values())
+
+    def score(a, b):
+        k, na, nb = pairs[a, b], single[a], single[b]
+        cells = [(k, na, nb), (na - k, na, t - nb), (nb - k, t - na, nb), (t - na - nb + k, t - na, t - nb)]
+        return 2 * sum(c * math.log(c * t / (r * s)) for c, r, s in cells if c > 0)
+
+    found = {(r.a, r.b): (r.n, r.score) for r in A.word_pairs(frame, "t", least=20.0).collect()}
+    assert ("new", "york") in found
+    assert found == {p: (n, pytest.approx(score(*p))) for p, n in pairs.items() if score(*p) > 20}
+    terms = {r.term: r.n for r in A.term_frequencies(frame, "t", n=500, least=20.0).collect()}
+    expected = Counter(single)
+    for (a, b), (n, _) in found.items():
+        expected[a] -= n
+        expected[b] -= n
+        expected[f"{a} {b}"] += n
+    assert terms == {term: n for term, n in expected.items() if n > 0}
