@@ -66,6 +66,8 @@ def exact_quantiles(
     probabilities: list[float],
     accuracy: int = 10_000,
     rank_rows: int = 100_000,
+    known: dict[str, tuple[int, float, float]] | None = None,
+    brackets: dict[tuple[str, float], tuple[float, float]] | None = None,
 ) -> dict[str, dict[float, float | None]]:
     """Linear-interpolation quantiles of every column, as plain numbers.
 
@@ -75,9 +77,15 @@ def exact_quantiles(
     ends are counted apart and taken off, so frequent ones cannot keep it wide. A bracket that misses the position is thrown
     away and drawn wider, so results are exact. All quantiles share every pass, and
     only a few numbers per column reach the driver.
+
+    ``known`` gives count, minimum and maximum of each column, and ``brackets`` where to look first, if
+    they are there already; a bracket that misses its position costs a pass and nothing else.
     """
     values = df.select(*[number(df, c).alias(c) for c in columns])
-    targets = _whole_range(values, columns, probabilities, accuracy)
+    targets = _targets(known, columns, probabilities, accuracy) if known else _whole_range(values, columns, probabilities, accuracy)
+    first = [t for t in targets if t.inside > rank_rows and t.low < t.high and (t.column, t.probability) in (brackets or {})]
+    if first:
+        _count(values, first, [brackets[t.column, t.probability] for t in first], accuracy, rank_rows)
     while True:
         wide = [t for t in targets if t.inside > rank_rows and t.low < t.high and t.answer is None]
         if not wide:
@@ -99,15 +107,18 @@ def _whole_range(values, columns, probabilities, accuracy) -> list[_Target]:
             for i, c in enumerate(columns)
         ]
     ).first()
-    return [
-        _Target(c, p, (stats.n - 1) * p, stats.low, stats.high, 0, stats.n, 2.0 / accuracy)
-        for c, stats in zip(columns, row)
-        for p in probabilities
-        if stats.n
-    ]
+    return _targets({c: (stats.n, stats.low, stats.high) for c, stats in zip(columns, row)}, columns, probabilities, accuracy)
+
 
+def _targets(known, columns, probabilities, accuracy) -> list[_Target]:
+    out = []
+    for c in columns:
+        n, low, high = known[c]
+        out += [_Target(c, p, (n - 1) * p, low, high, 0, n, 2.0 / accuracy) for p in probabilities if n]
+    return out
 
-def _narrow(values: DataFrame, targets: list[_Target], accuracy: int, rank_rows: int) -> None:
+
+def _narrow(values: DataFrame, targets: list[_Target], accuracy: int, rank_rows: int = 0) -> None:
     """Draw a narrower bracket for every target and keep it if it holds the position."""
     wanted = [(t.position - t.below) / (t.inside - 1) for t in targets]
     # Targets that still share a range share one sketch.
@@ -132,6 +143,11 @@ def _narrow(values: DataFrame, targets: list[_Target], accuracy: int, rank_rows:
         )
         for t, q, (left, right) in zip(targets, wanted, sketches)
     ]
+    _count(values, targets, brackets, accuracy, rank_rows)
+
+
+def _count(values: DataFrame, targets: list[_Target], brackets: list[tuple[float, float]], accuracy: int, rank_rows: int) -> None:
+    """Count the rows below and inside the brackets and keep those that hold their positions."""
     counts = values.agg(
         *[
             F.struct(
