@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from supportlens.operators.ordered import keep_last
 
-BUCKETS = 64
+#: Buckets of a store; choose more for large ones, so that a bucket holds some 100 MB.
+BUCKETS = 16
 VERSION, BUCKET = "_version", "_bucket"
 
 
