@@ -12,7 +12,7 @@ several components are read, and all pairs under the threshold that join differe
 compared. So no link between components is lost, and a group of copies costs about as many
 links as it has texts. That last step takes the sets to the buckets and returns links, so the
 pairs themselves are never rows; a bucket of many texts is cut into blocks, and tasks hold two
-blocks at a time. Only numbers are shuffled to find those buckets; signatures go to them alone.
+blocks at a time, of which one component never fills both. Only numbers are shuffled to find those buckets; signatures go to them alone.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from supportlens.llm.common import packed, text_of
 from supportlens.llm.shingles import mixed, shingle_sets
@@ -47,6 +47,8 @@ FILTER_WORDS = 1 << 18
 CELLS = 1 << 18
 #: Rows of a bucket from which it is cut into blocks.
 BLOCK_ROWS = 4096
+#: Rows of such a bucket that are in all its blocks when pairs are proposed first, by expectation.
+JOINING_ROWS = 64
 
 _RNG = np.random.default_rng(72)
 _MULTIPLY = _RNG.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -140,12 +142,14 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterat
         yield table, borders(table)
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of the keys that several documents have, with their number."""
-    for table, borders in _whole_groups(batches, ["key"]):
-        sizes = np.repeat(np.diff(borders), np.diff(borders))
-        several = table.append_column("size", pa.array(sizes, pa.int64())).filter(pa.array(sizes > 1))
-        yield from several.select(["key", "doc", "size"]).to_batches()
+def _shared(first: DataFrame) -> DataFrame:
+    """(key, doc, size) for the keys that several documents have.
+
+    Counts are combined before the shuffle and the join can be split, so no task holds a key.
+    """
+    keys = first.select("doc", "signature").mapInArrow(_index, "key long, doc long")
+    sizes = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    return keys.join(sizes, "key").select("key", "doc", "size")
 
 
 def _allowed(bucket: Bucket, rows: slice) -> tuple[np.ndarray, np.ndarray]:
@@ -370,19 +374,54 @@ def _unsettled(shared: DataFrame, labelled: DataFrame) -> DataFrame:
     """The rows of the buckets that hold more than one component."""
     held = shared.join(labelled.select("doc", "part"), "doc").groupBy("key")
     several = held.agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most")
-    return shared.join(several.select("key"), "key", "left_semi")
+    return shared.join(several.select("key"), "key", "left_semi").join(labelled.select("doc", "part"), "doc")
+
 
+def _placed_first(shared: DataFrame) -> DataFrame:
+    """Rows of large buckets cut into blocks that do not meet; a few texts are in all of them.
 
-def _placed(shared: DataFrame) -> DataFrame:
-    """Rows of buckets cut into blocks: each row goes to the pairs of its block with all others."""
+    Which rows these are is decided by a hash. They join the blocks of one group of copies,
+    so that a bucket sends its rows about once.
+    """
     blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
-    block = F.pmod(F.xxhash64("doc"), blocks).cast("int")
-    low, high = F.least("block", "other"), F.greatest("block", "other")
-    return (
-        shared.withColumn("block", block)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("key", low.alias("low"), high.alias("high"), "doc", "block")
+    hashed = F.xxhash64("doc", "key")
+    everywhere = F.pmod(hashed, F.greatest(F.floor(F.col("size") / JOINING_ROWS), F.lit(1))) == 0
+    own = F.pmod(F.shiftright(hashed, 32), blocks).cast("int")
+    places = F.when(everywhere, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))
+    block = F.explode(places).alias("block")
+    return shared.select("key", "doc", block).select("key", F.col("block").alias("low"), F.col("block").alias("high"), "doc", "block")
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """Rows (key, doc, size, part) of buckets cut into blocks that meet all blocks they have to.
+
+    A component of more than a block's rows gets blocks of its own, which do not meet each
+    other; all other rows of the bucket share blocks. So the rows of one large group of copies
+    go to the blocks of the other texts alone.
+    """
+    whole = rows.where(F.col("size") <= BLOCK_ROWS)
+    zero = F.lit(0)
+    together = whole.select("key", zero.alias("low"), zero.alias("high"), "doc", zero.alias("block"))
+    large = rows.where(F.col("size") > BLOCK_ROWS)
+    held = large.groupBy("key", "size", "part").agg(F.count("*").alias("held")).where(F.col("held") > BLOCK_ROWS)
+    blocks = F.ceil(F.col("held") / BLOCK_ROWS).cast("int")
+    before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    own = held.select(
+        "key", "part", blocks.alias("n_own"), F.coalesce(F.sum(blocks).over(before), F.lit(0)).cast("int").alias("own_before")
     )
+    taken = held.groupBy("key").agg(F.sum("held").alias("taken"), F.sum(blocks).cast("int").alias("n_taken"))
+    hashed = F.xxhash64("doc")
+    cut = (
+        large.join(own, ["key", "part"], "left")
+        .join(taken, "key", "left")
+        .withColumn("n_shared", F.ceil((F.col("size") - F.coalesce("taken", F.lit(0))) / BLOCK_ROWS).cast("int"))
+        .withColumn("start", F.col("n_shared") + F.col("own_before"))
+        .withColumn("block", F.coalesce(F.col("start") + F.pmod(hashed, "n_own"), F.pmod(hashed, "n_shared")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_shared") + F.coalesce("n_taken", F.lit(0)) - 1)))
+        .where("start IS NULL OR other < start OR other >= start + n_own")
+    )
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    return together.union(cut.select("key", low.alias("low"), high.alias("high"), "doc", "block"))
 
 
 def _in_buckets(placed: DataFrame, *tables: DataFrame) -> DataFrame:
@@ -429,12 +468,9 @@ def _judged(docs: DataFrame, key: Column) -> DataFrame:
         .withColumn("part", F.col("doc")),
         "first-of-sets",
     )
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = first.select("doc", "signature").mapInArrow(_index, "key long, doc long")
-    sorted_keys = keys.repartition(n, "key").sortWithinPartitions("key", "doc")
-    shared = materialize(sorted_keys.mapInArrow(_shared, "key long, doc long, size long"), "shared-keys")
+    shared = materialize(_shared(first), "shared-keys")
     early = shared.where(F.col("key") < FIRST_CHUNKS * CHUNK << 48)
-    pairs = materialize(_in_buckets(_placed(early), first).mapInArrow(_nearest, "a long, b long").distinct(), "near-pairs")
+    pairs = materialize(_in_buckets(_placed_first(early), first).mapInArrow(_nearest, "a long, b long").distinct(), "near-pairs")
     links = materialize(_confirmed(pairs, _whole_sets(docs, holders, _ends(pairs))), "near-links")
     parts = components(links)
     labelled = first.drop("part").join(parts, "doc", "left").withColumn("part", F.coalesce("part", "doc"))

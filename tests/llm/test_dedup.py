@@ -112,6 +112,33 @@ def test_large_group_of_near_copies(spark, monkeypatch, block_rows):
     assert got == expected
 
 
+def test_one_large_group_sends_its_rows_once(spark, monkeypatch):
+    """The rows of a component that fills a bucket go to the other texts of it, not to each other."""
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 10)
+    monkeypatch.setattr(near_dedup, "JOINING_ROWS", 2)
+    rows = [(7, i, 205, 1 if i < 200 else i) for i in range(205)] + [(8, 900 + i, 30, 900 + i % 2) for i in range(30)]
+    rows += [(9, i, 3, i) for i in range(3)]
+    frame = spark.createDataFrame(rows, "key long, doc long, size long, part long")
+    placed = near_dedup._placed(frame).collect()
+    met = defaultdict(set)
+    for r in placed:
+        met[r["key"], r["low"], r["high"]].add((r["doc"], r["block"]))
+    part = {(k, d): p for k, d, _, p in rows}
+    pairs = defaultdict(int)
+    for (key, low, high), members in met.items():
+        for a, x in members:
+            for b, y in members:
+                if a < b and part[key, a] != part[key, b] and (low == high or x != y):
+                    pairs[key, a, b] += 1
+    wanted = {(k, a, b) for (k, a) in part for (l, b) in part if k == l and a < b and part[k, a] != part[k, b]}
+    assert set(pairs) == wanted and set(pairs.values()) == {1}
+    sent = sum(1 for r in placed if r["key"] == 7)
+    assert sent <= 200 + 5 * 25
+    first = near_dedup._placed_first(frame.drop("part")).collect()
+    assert {(r["key"], r["doc"]) for r in first} == {(k, d) for k, d, _, _ in rows}
+    assert len(first) < 3 * len(rows)
+
+
 def test_ids_repeated_with_other_texts(spark):
     """Each text of an id is linked on its own, and a component has its smallest id."""
     text = {c: " ".join(f"{c}{k}" for k in range(100)) for c in "abcd"}
