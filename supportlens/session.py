@@ -6,6 +6,9 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,6 +70,33 @@ def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="supportlens-")
 
 
+#: Folders made inside the innermost ``work_scope``; none outside of one.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever file system it lies; a missing one is no error."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def work_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end, also after an error, the working folders that were made inside.
+
+    A result that is used later has to be written before the end, to a folder made outside.
+    An inner scope takes care of its own folders only.
+    """
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        yield
+    finally:
+        _MADE.reset(token)
+        for path in made:
+            remove_folder(spark, path)
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder under the shared folder named by ``spark.checkpoint.dir``.
 
@@ -78,7 +108,10 @@ def work_folder(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = _local_folder()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if (made := _MADE.get()) is not None:
+        made.append(path)
+    return path
 
 
 def spread(scan: DataFrame, key: str) -> DataFrame:
@@ -90,13 +123,14 @@ def spread(scan: DataFrame, key: str) -> DataFrame:
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Used where one cleaned frame feeds several passes: later passes prune columns,
-    and a lost executor costs a re-read instead of the whole lineage.
+    and a lost executor costs a re-read instead of the whole lineage. ``path`` names
+    the folder instead of a new one.
     """
     spark = df.sparkSession
-    path = work_folder(spark, name)
+    path = path or work_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
