@@ -10,7 +10,7 @@ from supportlens.llm.near_dedup import keep_one_of_each
 from supportlens.llm.packing import pack
 from supportlens.llm.quality import keep_good
 from supportlens.llm.queries import vocabulary
-from supportlens.session import apply_settings, materialize
+from supportlens.session import apply_settings, materialize, remove_folder, work_folder, work_scope
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +50,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; each result is written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Apply the stages to ``documents``; each result is written and read again.
+
+    What a stage wrote for itself is deleted when its result is written, and that when the
+    next one's is; the last result stays in the shared folder.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        name = name.replace(" ", "-")
+        path = work_folder(spark, name)
+        with work_scope(spark):
+            docs = materialize(stage(spark, docs, sf_dir), name, path)
+        if before:
+            remove_folder(spark, before)
+        before = path
     return docs
