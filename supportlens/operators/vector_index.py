@@ -29,7 +29,7 @@ from supportlens.operators.retrieval import (
     _shared_out,
     vector_topk,
 )
-from supportlens.session import materialize
+from supportlens.session import materialize, work_tasks
 
 #: Inverted lists at most, and rows and bytes at most that centres and codewords are fitted on.
 MAX_LISTS, FIT_ROWS, FIT_BYTES = 4096, 1 << 16, 64 << 20
@@ -37,10 +37,12 @@ MAX_LISTS, FIT_ROWS, FIT_BYTES = 4096, 1 << 16, 64 << 20
 STRETCHES, CODEWORDS = 16, 256
 #: Lists that a query reads, and candidates whose true distances are taken.
 PROBES, RANKED = 8, 32
-#: Neighbouring lists that are read together.
-LISTS_PER_PART = 8
+#: Neighbouring lists that are read together, at least, and the codes that a part of more lists holds by expectation.
+LISTS_PER_PART, PART_CODES = 8, 1 << 15
 #: Codes and queries of a part that meet in a task; larger parts are cut.
 BLOCK_CODES, BLOCK_QUERIES = 1 << 16, 1 << 12
+#: Queries that are placed, or compared with a list, at a time.
+PLACED_ROWS = 1 << 9
 
 
 class Fitted(NamedTuple):
@@ -81,10 +83,12 @@ def _stretches(width: int, n: int) -> list[slice]:
     return [slice(a, b) for a, b in zip(borders[:-1], borders[1:], strict=True)]
 
 
-def fit(sample: np.ndarray, n_lists: int, stretches: int = STRETCHES, codewords: int = CODEWORDS) -> Fitted:
+def fit(
+    sample: np.ndarray, n_lists: int, stretches: int = STRETCHES, codewords: int = CODEWORDS, lists_per_part: int = LISTS_PER_PART
+) -> Fitted:
     centres = centres_of(sample, n_lists)
     # Lists whose centres are near each other form a part, so a query visits few parts.
-    parts = centres_of(centres, -(-len(centres) // LISTS_PER_PART))
+    parts = centres_of(centres, -(-len(centres) // lists_per_part))
     part_of_list = nearest_centres(centres, parts)[:, 0]
     left = sample - centres[nearest_centres(sample, centres)[:, 0]]
     words = [centres_of(left[:, part], codewords) for part in _stretches(sample.shape[1], stretches)]
@@ -103,12 +107,62 @@ def encode(points: np.ndarray, fitted: Fitted) -> tuple[np.ndarray, np.ndarray]:
 def rough_distances(queries: np.ndarray, centre: np.ndarray, codes: np.ndarray, fitted: Fitted) -> np.ndarray:
     """Squared distances of queries to coded vectors of one list, from a table per query."""
     left = queries - centre
-    out = np.zeros((len(queries), len(codes)))
+    # A row for each code, so that whole rows of a table are copied.
+    out = np.zeros((len(codes), len(queries)))
     for s, (part, words) in enumerate(zip(_stretches(queries.shape[1], len(fitted.codewords)), fitted.codewords, strict=True)):
         own = left[:, part]
-        table = (own**2).sum(1)[:, None] - 2.0 * own @ words.T + (words**2).sum(1)
-        out += table[:, codes[:, s]]
-    return out
+        table = (own**2).sum(1) - 2.0 * words @ own.T + (words**2).sum(1)[:, None]
+        out += table[codes[:, s]]
+    return out.T
+
+
+class Closest:
+    """The ``n`` candidates with the smallest rough distances of each of some queries, whatever number of them is seen."""
+
+    def __init__(self, queries: int, n: int):
+        self.distance = np.full((queries, n), np.inf)
+        self.match_id = np.zeros((queries, n), dtype=np.int64)
+
+    def add(self, rows: np.ndarray, match_ids: np.ndarray, rough: np.ndarray) -> None:
+        """Take the candidates ``match_ids`` of the queries ``rows`` into account, with a row of distances for each query."""
+        n = self.distance.shape[1]
+        kept = min(n, rough.shape[1])
+        rough = np.ascontiguousarray(rough)
+        places = np.argpartition(rough, kept - 1, axis=1)[:, :kept]
+        distance = np.hstack([self.distance[rows], np.take_along_axis(rough, places, 1)])
+        ids = np.hstack([self.match_id[rows], match_ids[places]])
+        places = np.argpartition(distance, n - 1, axis=1)[:, :n]
+        self.distance[rows] = np.take_along_axis(distance, places, 1)
+        self.match_id[rows] = np.take_along_axis(ids, places, 1)
+
+    def frame(self, query_ids: np.ndarray) -> pd.DataFrame:
+        rows, places = np.nonzero(np.isfinite(self.distance))
+        return pd.DataFrame(
+            {"query_id": query_ids[rows], "match_id": self.match_id[rows, places], "distance": self.distance[rows, places]}
+        )
+
+
+def closest_codes(asked: pd.DataFrame, held: pd.DataFrame, fitted: Fitted, ranked: int) -> pd.DataFrame:
+    """The ``ranked`` nearest of the codes ``held`` (id, list, code) for every query ``asked`` (id, vector, lists).
+
+    Of a query only these are kept, from list to list, however many lists it reads.
+    """
+    found = Closest(len(asked), ranked)
+    if len(asked) and len(held):
+        vectors = _matrix(asked["vector"])
+        owner = np.repeat(np.arange(len(asked)), asked["lists"].map(len))
+        wanted = np.concatenate(asked["lists"].to_numpy())
+        order = np.argsort(wanted, kind="stable")
+        owner, wanted = owner[order], wanted[order]
+        for number, rows in held.groupby("list"):
+            asking = owner[slice(*np.searchsorted(wanted, [number, number + 1]))]
+            codes = np.frombuffer(b"".join(rows["code"]), dtype=np.uint8).reshape(len(rows), -1)
+            match_ids = rows["id"].to_numpy()
+            step = max(1, min(PLACED_ROWS, CELLS // len(rows)))
+            for at in range(0, len(asking), step):
+                some = asking[at : at + step]
+                found.add(some, match_ids, rough_distances(vectors[some], fitted.centres[number], codes, fitted))
+    return found.frame(asked["id"].to_numpy())
 
 
 class VectorIndex:
@@ -135,7 +189,8 @@ class VectorIndex:
             return cls(found, spark.createDataFrame([], "id BIGINT, list INT, part INT, code BINARY"), None, wanted)
         rows = max(1, min(FIT_ROWS, FIT_BYTES // (8 * width)))
         sample = found.orderBy(F.xxhash64("id"), "id").limit(rows).toPandas()
-        fitted = fit(_matrix(sample["vector"]), min(lists or math.ceil(2 * math.sqrt(n)), MAX_LISTS, n))
+        n_lists = min(lists or math.ceil(2 * math.sqrt(n)), MAX_LISTS, n)
+        fitted = fit(_matrix(sample["vector"]), n_lists, lists_per_part=max(LISTS_PER_PART, PART_CODES * n_lists // n))
         sent = spark.sparkContext.broadcast(fitted)
 
         def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,20 +214,28 @@ class VectorIndex:
         def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held = sent.value
             for batch in batches:
-                if not len(batch):
-                    continue
-                lists = nearest_centres(_matrix(batch["vector"]), held.centres, min(probes, len(held.centres)))
-                rows = pd.DataFrame({"place": np.repeat(np.arange(len(batch)), lists.shape[1]), "list": lists.ravel()})
-                rows["part"] = held.part_of_list[rows["list"].to_numpy()]
-                grouped = rows.groupby(["place", "part"])["list"].apply(list).reset_index()
-                place = grouped["place"].to_numpy()
-                yield pd.DataFrame(
-                    {"id": batch["id"].to_numpy()[place], "vector": batch["vector"].to_numpy()[place], "part": grouped["part"], "lists": grouped["list"]}
-                )
-
-        return queries.select("id", F.col("vector").cast("array<double>").alias("vector")).mapInPandas(
-            placed, "id BIGINT, vector ARRAY<DOUBLE>, part INT, lists ARRAY<INT>"
-        )
+                # A row leaves for every part, so few rows at a time.
+                for at in range(0, len(batch), PLACED_ROWS):
+                    some = batch.iloc[at : at + PLACED_ROWS]
+                    lists = nearest_centres(_matrix(some["vector"]), held.centres, min(probes, len(held.centres)))
+                    part = held.part_of_list[lists]
+                    order = np.argsort(part, axis=1, kind="stable")
+                    lists, part = np.take_along_axis(lists, order, 1), np.take_along_axis(part, order, 1)
+                    first = np.ones(part.shape, dtype=bool)
+                    first[:, 1:] = part[:, 1:] != part[:, :-1]
+                    place = np.nonzero(first)[0]
+                    yield pd.DataFrame(
+                        {
+                            "id": some["id"].to_numpy()[place],
+                            "vector": some["vector"].to_numpy()[place],
+                            "part": part[first],
+                            "lists": np.split(lists.ravel(), np.flatnonzero(first)[1:]),
+                        }
+                    )
+
+        asked = queries.select("id", "vector")
+        kind = asked.schema["vector"].dataType.simpleString()
+        return asked.mapInPandas(placed, f"id BIGINT, vector {kind}, part INT, lists ARRAY<INT>")
 
     def candidates(self, probed: DataFrame, ranked: int = RANKED) -> DataFrame:
         """The ``ranked`` vectors with the smallest rough distances to each query, as query_id, match_id and distance.
@@ -182,6 +245,9 @@ class VectorIndex:
         """
         sent = probed.sparkSession.sparkContext.broadcast(self.fitted)
         blocks = lambda side, name, n: side.groupBy("part").agg(F.ceil(F.count("*") / F.lit(n)).alias(name))
+        cell = ["part", "q_block", "c_block"]
+        # Few bytes and much work, so the tasks are not to be merged by their bytes.
+        tasks = work_tasks(probed.sparkSession)
         counts = blocks(probed, "q_blocks", BLOCK_QUERIES).join(blocks(self.codes, "c_blocks", BLOCK_CODES), "part")
 
         def placed(side: DataFrame, own: str, other: str, own_block: str, other_block: str) -> DataFrame:
@@ -190,41 +256,12 @@ class VectorIndex:
                 .withColumn(own_block, F.pmod(F.xxhash64("id"), F.col(own)))
                 .withColumn(other_block, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other) - 1)))
                 .drop("q_blocks", "c_blocks")
+                .repartition(tasks, *cell)
             )
 
         def best(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-            fitted = sent.value
-            found = []
-            lists_of = asked["lists"].explode().astype("int64")
-            vectors, ids = _matrix(asked["vector"]) if len(asked) else None, asked["id"].to_numpy()
-            rows_of = lists_of.groupby(lists_of).groups
-            for number, rows in held.groupby("list"):
-                if number not in rows_of:
-                    continue
-                codes = np.frombuffer(b"".join(rows["code"]), dtype=np.uint8).reshape(len(rows), -1)
-                match_ids = rows["id"].to_numpy()
-                asking = asked.index.get_indexer(rows_of[number])
-                step = max(1, CELLS // len(rows))
-                for at in range(0, len(asking), step):
-                    some = asking[at : at + step]
-                    rough = rough_distances(vectors[some], fitted.centres[number], codes, fitted)
-                    kept = min(ranked, rough.shape[1])
-                    places = np.argpartition(rough, kept - 1, axis=1)[:, :kept]
-                    found.append(
-                        pd.DataFrame(
-                            {
-                                "query_id": np.repeat(ids[some], kept),
-                                "match_id": match_ids[places].ravel(),
-                                "distance": np.take_along_axis(rough, places, 1).ravel(),
-                            }
-                        )
-                    )
-            if not found:
-                return pd.DataFrame({"query_id": [], "match_id": [], "distance": []})
-            ordered = pd.concat(found).sort_values(["query_id", "distance", "match_id"])
-            return ordered.groupby("query_id", sort=False).head(ranked)
+            return closest_codes(asked, held, sent.value, ranked)
 
-        cell = ["part", "q_block", "c_block"]
         asked = placed(probed, "q_blocks", "c_blocks", "q_block", "c_block")
         held = placed(self.codes, "c_blocks", "q_blocks", "c_block", "q_block")
         partial = asked.groupBy(*cell).cogroup(held.groupBy(*cell)).applyInPandas(best, MATCH_SCHEMA)

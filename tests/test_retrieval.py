@@ -1,6 +1,7 @@
 import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -230,3 +231,30 @@ def test_nearest_of_long_vectors():
         distance = np.round(((vectors - vectors[i]) ** 2).sum(1), 6)
         nearest = sorted((d, j) for j, d in enumerate(distance) if j != i)[:3]
         assert list(found[found.query_id == i].match_id) == [j for _, j in nearest]
+
+
+def test_parts_hold_the_lists_that_are_asked_for():
+    rng = np.random.default_rng(6)
+    points = rng.normal(size=(400, 8))
+    fitted = I.fit(points, 40, lists_per_part=20)
+    assert len(set(fitted.part_of_list)) == 2
+    assert len(set(I.fit(points, 40).part_of_list)) > 2
+
+
+def test_candidates_of_many_lists_stay_in_memory():
+    rng = np.random.default_rng(9)
+    points = rng.normal(size=(20000, 8))
+    fitted = I.fit(points[:4000], 500)
+    lists, codes = I.encode(points, fitted)
+    held = pd.DataFrame({"id": np.arange(len(points)), "list": lists, "code": [c.tobytes() for c in codes]})
+    asked = pd.DataFrame({"id": np.arange(2000), "vector": list(points[:2000]), "lists": [np.arange(500)] * 2000})
+    tracemalloc.start()
+    found = I.closest_codes(asked, held, fitted, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    assert found.groupby("query_id").size().eq(4).all()
+    rough = np.concatenate([I.rough_distances(points[:50], fitted.centres[n], codes[lists == n], fitted) for n in range(500)], axis=1)
+    nearest = np.sort(rough, axis=1)[:, :4]
+    kept = found[found.query_id < 50].sort_values(["query_id", "distance"]).distance.to_numpy().reshape(50, 4)
+    assert np.allclose(kept, nearest)
