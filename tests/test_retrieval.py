@@ -258,3 +258,31 @@ def test_candidates_of_many_lists_stay_in_memory():
     nearest = np.sort(rough, axis=1)[:, :4]
     kept = found[found.query_id < 50].sort_values(["query_id", "distance"]).distance.to_numpy().reshape(50, 4)
     assert np.allclose(kept, nearest)
+
+
+def test_queries_go_once_to_a_region_of_many_cells(spark):
+    rng = np.random.default_rng(11)
+    points = rng.normal(size=(600, 16))
+    rows = [(i, p.tolist(), f"g{i % 5}") for i, p in enumerate(points)]
+    frame = spark.createDataFrame(rows, "id BIGINT, v ARRAY<DOUBLE>, g STRING")
+    found = R.vector_topk_within(frame, frame, "id", "v", ["g"], 3, True, block_rows=20)
+    assert matches(found) == brute_force(rows, 3, same_group=True)
+    side = frame.select("id", F.col("v").alias("vector"), "g")
+    cells, held = R.pivot_cells(side, 20)
+    regions = R._regions(held, cells, ["g"], 160)
+    assert len(cells.pivots) == 60 and set(regions) == {0}
+    everywhere = held.withColumn("kth", F.lit(1e9))
+    assert R.cells_within_reach(everywhere, cells, regions).count() == 600
+    assert R.cells_within_reach(everywhere, cells).count() == 600 * 59
+    assert set(R._regions(held, cells, [], 160)) == {0, 1, 2, 3}
+
+
+def test_bounds_known_before_change_no_result():
+    rng = np.random.default_rng(12)
+    queries, found = rng.normal(size=(300, 5)), np.round(rng.normal(size=(900, 5)), 1)
+    true = R._nearest(np.arange(300), queries, np.arange(900), found, 4, False)
+    best = R.Nearest(np.arange(300), queries, 4, true.groupby("query_id").distance.max().to_numpy())
+    for rows in (np.arange(0, 300, 2), np.arange(1, 300, 2)):
+        best.add(np.arange(500), found[:500], rows=rows)
+        best.add(np.arange(500, 900), found[500:], rows=rows)
+    assert best.frame().equals(true)
