@@ -2,6 +2,7 @@ import tracemalloc
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -286,3 +287,24 @@ def test_bounds_known_before_change_no_result():
         best.add(np.arange(500), found[:500], rows=rows)
         best.add(np.arange(500, 900), found[500:], rows=rows)
     assert best.frame().equals(true)
+
+
+def test_chunks_of_a_large_batch_leave_a_few_texts_at_a_time():
+    texts = [f"{i} " + "word " * 4000 for i in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(texts)], names=["_id", "_text"])
+    tracemalloc.start()
+    found = {}
+    for part in R._split_batches(1000, 100)(iter([batch])):
+        assert part.num_rows <= R.SPLIT_TEXTS
+        for i, chunks in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+            found[i] = len(chunks), chunks[0][:3]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12e6
+    assert len(found) == 1000 and all(n > 20 and head.startswith(str(i)[:3]) for i, (n, head) in found.items())
+
+
+def test_batches_of_long_texts_end_by_their_bytes(spark):
+    frame = spark.range(0, 600, 1, 1).withColumn("t", F.repeat(F.lit("word "), 40000))
+    sizes = frame.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()
+    assert sum(r.n for r in sizes) == 600 and max(r.n for r in sizes) < 200
