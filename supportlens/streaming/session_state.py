@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 STATE = "start_us BIGINT, last_us BIGINT, event_id BIGINT, event_type STRING, turns BIGINT"
+PIECE_COLUMNS = ["start_us", "last_us", "event_id", "event_type", "turns"]
 PIECE = f"user_id BIGINT, ts TIMESTAMP, {STATE}"
 CHANGE = f"user_id BIGINT, {STATE}, closed BOOLEAN"
 GAP, DELAY = "30 minutes", "1 hour"
@@ -21,19 +23,25 @@ def _micros(interval: str) -> int:
 def _pieces(gap_us: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = batch.sort_values(["user_id", "ts_us", "event_id"], kind="stable")
-            new = (rows["user_id"] != rows["user_id"].shift()) | (rows["ts_us"] >= rows["ts_us"].shift() + gap_us)
-            grouped = rows.groupby(new.cumsum().to_numpy(), sort=False)
-            last = grouped.tail(1)
+            if not len(batch):
+                continue
+            user, at = batch["user_id"].to_numpy(), batch["ts_us"].to_numpy()
+            order = np.lexsort((batch["event_id"].to_numpy(), at, user))
+            user, at = user[order], at[order]
+            new = np.ones(len(order), dtype=bool)
+            new[1:] = (user[1:] != user[:-1]) | (at[1:] >= at[:-1] + gap_us)
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(order)) - 1
+            newest = batch.iloc[order[last]]
             yield pd.DataFrame(
                 {
-                    "user_id": last["user_id"].to_numpy(),
-                    "ts": last["ts"].to_numpy(),
-                    "start_us": grouped["ts_us"].first().to_numpy(),
-                    "last_us": last["ts_us"].to_numpy(),
-                    "event_id": last["event_id"].to_numpy(),
-                    "event_type": last["event_type"].to_numpy(),
-                    "turns": grouped.size().to_numpy(),
+                    "user_id": user[last],
+                    "ts": newest["ts"].array,
+                    "start_us": at[first],
+                    "last_us": at[last],
+                    "event_id": newest["event_id"].to_numpy(),
+                    "event_type": newest["event_type"].to_numpy(),
+                    "turns": last - first + 1,
                 }
             )
 
@@ -69,10 +77,11 @@ class SessionState(StatefulProcessor):
         self._keep(None, (int(row.start_us), int(row.last_us), int(row.event_id), row.event_type, int(row.turns)))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        before = self.open.get() if self.open.exists() else None
+        before = self.open.get()
         now, changes = before, []
-        pieces = pd.concat(list(rows)).sort_values(["start_us", "last_us", "event_id"], kind="stable")
-        for piece in pieces[["start_us", "last_us", "event_id", "event_type", "turns"]].itertuples(index=False, name=None):
+        # Plain lists: a user has few rows, for which frames cost more than the work on them.
+        pieces = [p for frame in rows for p in zip(*(frame[name].tolist() for name in PIECE_COLUMNS), strict=True)]
+        for piece in sorted(pieces, key=lambda p: p[:3]):
             if now is None:
                 now = piece
             elif piece[0] >= now[1] + self.gap_us:
@@ -86,15 +95,15 @@ class SessionState(StatefulProcessor):
         yield self._rows(changes)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.open.exists():
-            now = self.open.get()
+        now = self.open.get()
+        if now is not None:
             self.open.clear()
             yield self._rows([(*key, *now, True)])
 
     @staticmethod
     def _rows(changes: list[tuple]) -> pd.DataFrame:
-        names = ["user_id", "start_us", "last_us", "event_id", "event_type", "turns", "closed"]
-        return pd.DataFrame(changes, columns=names)
+        names = ["user_id", *PIECE_COLUMNS, "closed"]
+        return pd.DataFrame(dict(zip(names, map(list, zip(*changes, strict=True)), strict=True)))
 
 
 def last_state(events: DataFrame, gap: str = GAP, delay: str = DELAY, snapshot: DataFrame | None = None) -> DataFrame:

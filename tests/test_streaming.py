@@ -1,8 +1,9 @@
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from supportlens.streaming import streams as S
-from supportlens.streaming.session_state import last_state, session_states
+from supportlens.streaming.session_state import SessionState, last_state, session_states
 
 ROWS = [
     # (event_id, ts, user_id, event_type); user 1 sends most of the rows
@@ -146,3 +147,45 @@ def test_messages_are_scored(spark, folder):
     assert len(found) == len(ROWS) + 1
     assert {r.intent for r in found} == {"order_tracking"}
     assert found[0].next_steps[0] == "When will my order arrive?"
+
+
+class OneRead:
+    """A state value and its handle that offer one read a call, as each is a trip to the JVM."""
+
+    def __init__(self, value=None):
+        self.value, self.reads, self.timers = value, 0, []
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.reads += 1
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+def test_a_user_costs_one_read_of_the_state():
+    handle, state = OneRead(), SessionState(gap_us=1000)
+    state.init(handle)
+    names = ["user_id", "start_us", "last_us", "event_id", "event_type", "turns"]
+    frames = [pd.DataFrame([(7, 9000, 9500, 3, "b", 2)], columns=names), pd.DataFrame([(7, 1000, 2000, 1, "a", 2), (7, 2500, 2500, 2, None, 1)], columns=names)]
+    rows = pd.concat(state.handleInputRows((7,), iter(frames), None))
+    assert rows.astype(object).where(rows.notna(), None).values.tolist() == [
+        [7, 1000, 2500, 2, None, 3, True], [7, 9000, 9500, 3, "b", 2, False]
+    ]
+    assert handle.reads == 1 and handle.timers == [11] and handle.value == (9000, 9500, 3, "b", 2)
+    closed = pd.concat(state.handleExpiredTimer((7,), None, None))
+    assert closed.values.tolist() == [[7, 9000, 9500, 3, "b", 2, True]]
+    assert handle.reads == 2 and handle.value is None
+    assert list(state.handleExpiredTimer((7,), None, None)) == []
