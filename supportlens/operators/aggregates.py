@@ -77,43 +77,82 @@ def word_frequencies(df: DataFrame, cleaned: str, n: int = 100) -> DataFrame:
 PAIR_SCORE = 30.0
 
 
-def _pair_counts(df: DataFrame, cleaned: str) -> tuple[DataFrame, DataFrame]:
-    """Counts of words, and of neighbouring words with the log-likelihood ratio of the two.
+#: The most frequent pairs that are scored first, for a score that the best ones reach.
+FIRST_PAIRS = 10_000
+
+
+def _counted(df: DataFrame, cleaned: str) -> tuple[DataFrame, DataFrame, float]:
+    """Counts of words and of neighbouring words, and the number of all words; the texts are cleaned once.
+
+    Every word but a text's last one is the first of a pair, and the last one is paired with null.
+    """
+    words = df.select(F.filter(F.split(cleaned, " "), lambda w: w != "").alias("words"))
+    after = F.transform("words", lambda w, i: F.struct(w.alias("a"), F.get("words", i + 1).alias("b")))
+    counts = words.select(F.inline(after)).groupBy("a", "b").agg(F.count("*").alias("n"))
+    counts = materialize(counts, "pair-counts")
+    single = materialize(counts.groupBy(F.col("a").alias("word")).agg(F.sum("n").alias("n")), "words")
+    total = single.agg(F.sum("n")).first()[0]
+    return single, counts.where(F.col("b").isNotNull()), float(total or 0)
+
+
+def _scored(pairs: DataFrame, single: DataFrame, total: float) -> DataFrame:
+    """Pairs with the log-likelihood ratio of their two words.
 
     The ratio compares how often they stand together with what their own counts let expect, over the
     four cells of their contingency table.
     """
-    words = df.select(F.filter(F.split(cleaned, " "), lambda w: w != "").alias("words"))
-    single = materialize(words.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")), "words")
-    neighbours = F.zip_with(
-        F.slice("words", F.lit(1), F.greatest(F.size("words") - 1, F.lit(0))),
-        F.slice("words", F.lit(2), F.greatest(F.size("words") - 1, F.lit(0))),
-        lambda a, b: F.struct(a.alias("a"), b.alias("b")),
-    )
-    pairs = words.where(F.size("words") > 1).select(F.inline(neighbours)).groupBy("a", "b").agg(F.count("*").alias("n"))
     first = single.select(F.col("word").alias("a"), F.col("n").cast("double").alias("na"))
     second = single.select(F.col("word").alias("b"), F.col("n").cast("double").alias("nb"))
-    total = single.agg(F.sum("n").cast("double")).scalar()
-    cells = pairs.join(first, "a").join(second, "b").withColumns({"k": F.col("n").cast("double"), "t": total})
+    cells = pairs.join(first, "a").join(second, "b").withColumns({"k": F.col("n").cast("double"), "t": F.lit(total)})
     k, na, nb, t = (F.col(name) for name in ("k", "na", "nb", "t"))
 
     def part(cell, row, column):
         return F.when(cell > 0, cell * F.log(cell * t / (row * column))).otherwise(0.0)
 
     score = 2 * (part(k, na, nb) + part(na - k, na, t - nb) + part(nb - k, t - na, nb) + part(t - na - nb + k, t - na, t - nb))
-    return single, cells.select("a", "b", "n", score.alias("score"))
+    return cells.select("a", "b", "n", score.alias("score"))
+
+
+def pairs_that_reach(pairs: DataFrame, single: DataFrame, total: float, floor: float) -> DataFrame:
+    """All pairs whose ratio may be ``floor`` or more, by bounds that need no join with all words.
+
+    Words that attract each other have the highest ratio for their count where they occur in no other pair,
+    as it falls with the count of either. Words that avoid each other have at most twice Pearson's statistic,
+    which grows with both counts, so both must be frequent.
+    """
+    k = F.col("n").cast("double")
+    rest = F.when(k < total, (total - k) * F.log(total / (total - k))).otherwise(0.0)
+    likely = 2 * (k * F.log(total / k) + rest) * (1 + 1e-9) + 1e-6 >= floor
+    most = single.agg(F.max("n")).first()[0] or 0
+    n = F.col("n").cast("double")
+    frequent = 2 * n * most * total * (1 + 1e-9) >= floor * (total - n) * (total - most)
+    # Written, so that its size is known, and a small table needs no shuffle of all pairs.
+    often = materialize(single.where(frequent).select("word"), "frequent-words")
+    both = pairs.where(~likely)
+    for side in ("a", "b"):
+        both = both.join(often.select(F.col("word").alias(side)), side, "left_semi").select("a", "b", "n")
+    return pairs.where(likely).select("a", "b", "n").unionByName(both)
 
 
 def word_pairs(df: DataFrame, cleaned: str, n: int = 100, least: float = PAIR_SCORE) -> DataFrame:
-    """The ``n`` neighbouring words with the highest log-likelihood ratio above ``least``."""
-    _, pairs = _pair_counts(df, cleaned)
-    return pairs.where(F.col("score") > least).orderBy(F.desc("score"), "a", "b").limit(n)
+    """The ``n`` neighbouring words with the highest log-likelihood ratio above ``least``.
+
+    The ratios of the most frequent pairs show what the best ``n`` reach at least; only pairs that may
+    reach it are joined with the counts of their words.
+    """
+    single, pairs, total = _counted(df, cleaned)
+    first = _scored(pairs.orderBy(F.desc("n"), "a", "b").limit(FIRST_PAIRS), single, total)
+    best = first.where(F.col("score") > least).orderBy(F.desc("score")).limit(n).select("score").collect()
+    floor = min(r.score for r in best) if len(best) == n else least
+    scored = _scored(pairs_that_reach(pairs, single, total, floor), single, total)
+    return scored.where(F.col("score") > least).orderBy(F.desc("score"), "a", "b").limit(n)
 
 
 def term_frequencies(df: DataFrame, cleaned: str, n: int = 100, least: float = PAIR_SCORE) -> DataFrame:
     """The ``n`` most frequent terms: pairs above ``least``, and words without what they occur in such pairs."""
-    single, pairs = _pair_counts(df, cleaned)
-    chosen = materialize(pairs.where(F.col("score") > least), "pairs")
+    single, pairs, total = _counted(df, cleaned)
+    scored = _scored(pairs_that_reach(pairs, single, total, least), single, total)
+    chosen = materialize(scored.where(F.col("score") > least), "pairs")
     parts = F.explode(F.array("a", "b")).alias("word")
     used = chosen.select(parts, "n").groupBy("word").agg(F.sum("n").alias("used"))
     rest = single.join(used, "word", "left").select(F.col("word").alias("term"), (F.col("n") - F.coalesce("used", F.lit(0))).alias("n"))

@@ -1,10 +1,11 @@
 import math
+import random
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from supportlens.operators import evaluate as E, models as M, terms as T
+from supportlens.operators import aggregates as A, evaluate as E, models as M, terms as T
 
 DOCUMENTS = ["order track order", "return item", "order item item x", "", "track"]
 
@@ -146,3 +147,38 @@ def test_neighbours_that_belong_together_are_one_term(spark):
         expected[b] -= n
         expected[f"{a} {b}"] += n
     assert terms == {term: n for term, n in expected.items() if n > 0}
+
+
+def ratio(k, na, nb, t):
+    cells = ((k, na, nb), (na - k, na, t - nb), (nb - k, t - na, nb), (t - na - nb + k, t - na, t - nb))
+    return 2 * sum(c * math.log(c * t / (row * column)) for c, row, column in cells if c > 0)
+
+
+def test_pairs_that_cannot_reach_the_floor_are_left_out_and_no_others(spark):
+    rng = random.Random(4)
+    words = [f"w{min(int(rng.expovariate(0.25)), 40)}" for _ in range(6000)]
+    words[1000:1040] = ["left", "right"] * 20
+    # Two frequent words that never stand together but once: a high ratio from a low count.
+    words = [w for pair in zip(words, words[1:]) if set(pair) != {"w0", "w1"} for w in pair[:1]]
+    lines = [" ".join(words[i : i + 50]) for i in range(0, len(words), 50)] + ["w0 w1", "alone", ""]
+    texts = [line.split() for line in lines]
+    single = Counter(w for t in texts for w in t)
+    pairs = Counter(p for t in texts for p in zip(t, t[1:]))
+    total = sum(single.values())
+    scores = {p: ratio(n, single[p[0]], single[p[1]], total) for p, n in pairs.items()}
+    frame = spark.createDataFrame([(line,) for line in lines], "t STRING")
+    counted, found, n_words = A._counted(frame, "t")
+    assert n_words == total and {r.word: r.n for r in counted.collect()} == dict(single)
+    assert {(r.a, r.b): r.n for r in found.collect()} == dict(pairs)
+    for floor in (3.0, 30.0, 100.0):
+        kept = {(r.a, r.b) for r in A.pairs_that_reach(found, counted, n_words, floor).collect()}
+        assert {p for p, s in scores.items() if s >= floor} <= kept
+    assert ("left", "right") in kept and len(kept) < len(pairs) / 2
+    best = sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:15]
+    top = A.word_pairs(frame, "t", n=15, least=1.0).collect()
+    assert [round(r.score, 6) for r in top] == [round(s, 6) for _, s in best]
+
+
+def test_words_of_nothing(spark):
+    frame = spark.createDataFrame([("",), (None,)], "t STRING")
+    assert A.word_pairs(frame, "t").count() == 0 and A.term_frequencies(frame, "t").count() == 0
